@@ -5,17 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyframe.llm import simhash
+from canopyframe.llm import decontaminate, packing, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.flag_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.digest(F.col("items")).alias("items_sha256"), "contaminated")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_simhash": op6_simhash}
+def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.archive_and_read(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_decontamination": op4_decontamination,
+    "op6_simhash": op6_simhash,
+    "op9_warc_archive": op9_warc_archive,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_decontamination": decontaminate.SQL,
+    "op9_warc_archive": warc.SQL,
+}
