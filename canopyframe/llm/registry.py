@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyframe.llm import classifier, decontaminate, packing, pii, rules, secrets, simhash, warc
+from canopyframe.llm import classifier, decontaminate, licenses, packing, pii, rules, secrets, simhash, tokencount, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate.flag_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.digest(F.col("items")).alias("items_sha256"), "contaminated")
@@ -47,15 +51,23 @@ def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the table has no paths: a source is a tree, with a directory for each language and hundred ids
+    path = F.concat_ws("/", "source", "lang", F.expr("cast(doc_id div 100 as string)"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), path=path, opening_speaks=True)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
     "op5_secret_scan": op5_secret_scan,
     "op6_simhash": op6_simhash,
     "op7_personal_data": op7_personal_data,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc_archive": op9_warc_archive,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL = {
