@@ -4,9 +4,11 @@ A page becomes a WARC/1.1 record. Payload bytes are stored once, under their SHA
 header bytes of each record are stored apart, with that digest. Reading joins the two tables, checks
 each payload against its digest and gives back the records' bytes.
 
-Scale. A payload is shuffled once, pre-aggregated by digest, so a third of all pages with the same
-bytes is a row per task. Reading joins small header rows with payloads by digest; a hot digest's
-header rows are split by AQE's skew join. Both tables are written as Parquet by Spark's committer.
+Scale. Digests are counted first; only those that several pages share matter to the rest. Up to
+``BROADCAST_DIGESTS`` of them are broadcast, and payloads then go from the scan to the store without
+a shuffle; with more, the same join shuffles. A third of all pages with the same bytes is a row per
+task. Reading joins small header rows with payloads by digest; a hot digest's header rows are split
+by AQE's skew join. Both tables are written as Parquet by Spark's committer.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyframe.plans.lineage import ensure_checkpoint_dir
+from canopyframe.plans.lineage import cut, ensure_checkpoint_dir
 
 #: Payloads of fewer bytes are never referred to.
 LEAST_REVISIT = 100
+#: Most digests (of some hundred bytes each) in a broadcast.
+BROADCAST_DIGESTS = 200_000
 CRLF = "\r\n"
 
 
@@ -28,8 +32,15 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     base = base.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload").cast("long"))
-    firsts = base.filter(F.col("n") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"))
-    slim = base.select("page_id", "url", "payload_digest", "n").join(firsts, "payload_digest", "left")
+    twice = base.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    twice = cut(twice.withColumnRenamed("payload_digest", "digest"))
+    if twice.count() <= BROADCAST_DIGESTS:
+        twice = F.broadcast(twice)
+    base = base.join(twice, F.col("payload_digest") == F.col("digest"), "left").drop("digest")
+    single = F.col("copies").isNull()
+    held = base.filter(~single & F.col("page_id").eqNullSafe(F.col("first"))).dropDuplicates(["payload_digest"])
+    payloads = base.filter(single).unionByName(held).select("payload_digest", "payload")
+    slim = base.select("page_id", "url", "payload_digest", "n", F.when(F.col("n") >= least, F.col("first")).alias("first"))
     revisit = F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull())
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))).otherwise(F.lit(""))
     # header values are single lines: line ends in a URL are percent-encoded
@@ -46,7 +57,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("n").cast("string"))),
         F.lit(CRLF),
     )
-    return slim.select("page_id", F.encode(header, "UTF-8").alias("header"), "payload_digest"), base.groupBy("payload_digest").agg(F.first("payload").alias("payload"))
+    return slim.select("page_id", F.encode(header, "UTF-8").alias("header"), "payload_digest"), payloads
 
 
 def write_archive(pages: DataFrame, folder: str, **columns) -> str:
