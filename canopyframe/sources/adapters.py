@@ -71,12 +71,12 @@ def points(lineitem: DataFrame) -> DataFrame:
 
     n = F.max("l_linenumber").over(Window.partitionBy("l_orderkey"))
     return lineitem.withColumn("n", n).selectExpr(
-        "l_orderkey * 8 + l_linenumber AS point_id",
+        "((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS point_id",
         "concat('4366', cast(40 + l_suppkey % 2 as string)) AS tile_id",
         "year(l_shipdate) AS year",
         "(l_partkey % 100) * 0.13D AS x",
         "(l_suppkey % 100) * 0.13D AS y",
-        "l_extendedprice / 20000 AS z",
+        "l_extendedprice / 16384 AS z",
         "l_quantity AS intensity",
         "l_linenumber AS return_number",
         "n AS number_of_returns",
@@ -165,8 +165,8 @@ CTES = {
   FROM gated WHERE reason IN ('manual_or_reviewed', 'threshold_gate')) WHERE rn = 1)""",
     "latest": """latest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY raster, row_off, col_off ORDER BY arrival DESC) AS rn FROM parsed) WHERE rn = 1)""",
     "chips": """chips AS (SELECT raster, tile, year, site, place_key, grid_x, grid_y, row_off, col_off, chunk_size, label, source, model_prob, arrival FROM latest)""",
-    "points": """points AS (SELECT l_orderkey * 8 + l_linenumber AS point_id, '4366' || CAST(40 + l_suppkey % 2 AS VARCHAR) AS tile_id, CAST(year(l_shipdate) AS INTEGER) AS year,
-  (l_partkey % 100) * 0.13::DOUBLE AS x, (l_suppkey % 100) * 0.13::DOUBLE AS y, l_extendedprice / 20000 AS z, l_quantity AS intensity, l_linenumber AS return_number,
+    "points": """points AS (SELECT ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS point_id, '4366' || CAST(40 + l_suppkey % 2 AS VARCHAR) AS tile_id, CAST(year(l_shipdate) AS INTEGER) AS year,
+  (l_partkey % 100) * 0.13::DOUBLE AS x, (l_suppkey % 100) * 0.13::DOUBLE AS y, l_extendedprice / 16384 AS z, l_quantity AS intensity, l_linenumber AS return_number,
   max(l_linenumber) OVER (PARTITION BY l_orderkey) AS number_of_returns, CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 6 END AS classification,
   l_discount * 100 AS scan_angle, l_tax AS nir FROM lineitem)""",
     "tiles": """tiles AS (SELECT vec_id AS tile_id, label, list_transform(embedding, lambda v: CASE WHEN v < CAST(-0.2 AS DOUBLE) THEN NULL ELSE round((CAST(v AS DOUBLE) + 0.55::DOUBLE) * 1.5::DOUBLE, 4) END) AS band FROM embeddings)""",
