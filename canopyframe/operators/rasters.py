@@ -210,8 +210,8 @@ def stretch(pixels: DataFrame, low: float = 0.02, high: float = 0.98, *, accurac
     ``accuracy`` takes approximate percentiles, whose memory is bounded whatever the table's size.
     """
     q = (lambda p: F.percentile_approx("value", F.lit(p), F.lit(accuracy))) if accuracy else (lambda p: F.percentile("value", F.lit(p)))
-    bounds = pixels.agg(q(low).alias("lo"), q(high).alias("hi"))
-    scaled = pixels.filter("value IS NOT NULL").join(F.broadcast(bounds)).withColumn("s", F.floor(255 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))))))
+    bounds = pixels.agg(F.struct(q(low).alias("lo"), q(high).alias("hi")).alias("b")).scalar()
+    scaled = pixels.filter("value IS NOT NULL").withColumn("b", bounds).select("*", "b.*").withColumn("s", F.floor(255 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))))))
     return scaled.groupBy("tile_id").agg(F.min("s").alias("min"), F.max("s").alias("max"), F.round(F.avg("s"), 4).alias("mean"), F.round(F.stddev_pop("s"), 4).alias("std"), F.count("*").alias("valid"))
 
 
