@@ -70,41 +70,38 @@ def neighbour_counts(df: DataFrame, group: list[str], x: str, y: str, step: int,
     return base.join(near, [*group, "__x", "__y"], "left").withColumn("near", F.coalesce("near", F.lit(0).cast("long"))).drop("__x", "__y")
 
 
-def nearest(points: DataFrame, targets: DataFrame, group: list[str], dims: list[str], key: str, target_key: str, k: int, size: float, reach: int = 1, *, rest: list[str] | None = None) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, group: list[str], dims: list[str], key: str, target_key: str, k: int, size: float, *, rest: list[str] | None = None) -> DataFrame:
     """The k nearest targets of each point: ``key, target_key, d, rk`` (ties by target key).
 
-    Targets of the (2 reach + 1) cells on each of the first two axes around a point's cell are tried.
-    A point whose k-th target is farther than ``reach`` cells' side, or that has fewer than k, is tried
-    again over twice the reach, until every point is settled or has met its whole group; each round
-    takes only the points that the one before left.
+    A point meets the targets in the nine grid cells of side ``size`` around it, on the first two axes.
+    It is settled if its k-th target is within ``size``, or if it has met its whole group; the points
+    that are left meet cells of twice the side, so a round costs nine cells a point at any distance.
     """
     from canopyframe.plans.lineage import cut
 
     x, y = dims[:2]
-    extra = rest or []
-    t = targets.select(*group, F.col(target_key).alias("__tk"), *[F.col(d).alias(f"__t{d}") for d in dims], *[F.col(c).alias(f"__r{c}") for c in extra], cell(x, size).alias("__cx"), cell(y, size).alias("__cy"))
-    have = t.groupBy(*group).agg(F.count("*").alias("__have"))
+    extra, own = rest or [], key == target_key
+    t0 = targets.select(*group, F.col(target_key).alias("__tk"), *[F.col(d).alias(f"__t{d}") for d in dims], *[F.col(c).alias(f"__r{c}") for c in extra])
+    have = t0.groupBy(*group).agg((F.count("*") - int(own)).alias("__have")).filter("__have > 0")
     left = points.select(*group, key, *dims).join(have, group)
     done = None
     while True:
-        ring = left.select(*group, key, *dims, "__have", shifted(reach).alias("s"))
+        t = t0.withColumn("__cx", cell(f"__t{x}", size)).withColumn("__cy", cell(f"__t{y}", size))
+        ring = left.select(*group, key, *dims, "__have", shifted(1).alias("s"))
         ring = ring.withColumn("__cx", cell(x, size) + F.col("s.dx")).withColumn("__cy", cell(y, size) + F.col("s.dy")).drop("s")
-        d2 = sum((F.pow(F.col(d) - F.col(f"__t{d}"), F.lit(2.0)) for d in dims), F.lit(0.0))
         met = ring.join(t, [*group, "__cx", "__cy"])
-        if key == target_key:
+        if own:
             met = met.filter(F.col(key) != F.col("__tk"))
-        found = met.withColumn("d", F.sqrt(d2))
+        d2 = sum((F.pow(F.col(d) - F.col(f"__t{d}"), F.lit(2.0)) for d in dims), F.lit(0.0))
         w = Window.partitionBy(*group, key).orderBy("d", "__tk")
-        top = found.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
-        settled = top.groupBy(*group, key).agg(F.count("*").alias("c"), F.max("d").alias("far"), F.first("__have").alias("h"))
-        most = F.col("h") - (1 if key == target_key else 0)
-        settled = settled.filter(((F.col("c") >= k) & (F.col("far") <= reach * size)) | (F.col("c") >= most)).select(*group, key)
-        top = cut(top)
+        top = cut(met.withColumn("d", F.sqrt(d2)).withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k))
+        tried = top.groupBy(*group, key).agg(F.count("*").alias("c"), F.max("d").alias("far"), F.first("__have").alias("h"))
+        settled = tried.filter(((F.col("c") >= k) & (F.col("far") <= size)) | (F.col("c") >= F.col("h"))).select(*group, key)
         rows = top.join(settled, [*group, key], "left_semi")
         done = rows if done is None else done.union(rows)
         left = cut(left.join(settled, [*group, key], "left_anti"))
-        if key == target_key:
-            left = left.filter("__have > 1")
         if not left.limit(1).count():
-            return done.select(*group, key, F.col("__tk").alias(target_key if key != target_key else "neighbour"), "d", "rk", *[F.col(f"__t{d_}") for d_ in dims], *[F.col(f"__r{c}").alias(f"t_{c}") for c in extra])
-        reach *= 2
+            break
+        size *= 2
+    name = "neighbour" if own else target_key
+    return done.select(*group, key, F.col("__tk").alias(name), "d", "rk", *[F.col(f"__t{d}") for d in dims], *[F.col(f"__r{c}").alias(f"t_{c}") for c in extra])

@@ -143,9 +143,9 @@ def _(t):
 # sets
 
 
-@query("set01_split_overlaps", f"WITH {AL}, s AS (SELECT DISTINCT split, place FROM a) SELECT x.split AS a, y.split AS b, count(*) AS shared FROM s x JOIN s y ON x.place = y.place AND x.split < y.split GROUP BY ALL")
+@query("set01_split_overlaps", f"WITH {AL}, s AS (SELECT DISTINCT split, lang FROM a) SELECT x.split AS a, y.split AS b, count(*) AS shared FROM s x JOIN s y ON x.lang = y.lang AND x.split < y.split GROUP BY ALL")
 def _(t):
-    s = {n: alpha(t).filter(F.col("split") == n).select("place") for n in ("test", "train", "val")}
+    s = {n: alpha(t).filter(F.col("split") == n).select("lang") for n in ("test", "train", "val")}
     parts = [s[a].intersect(s[b]).agg(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count("*").alias("shared")) for a, b in (("test", "train"), ("test", "val"), ("train", "val"))]
     return parts[0].union(parts[1]).union(parts[2]).filter("shared > 0")
 
