@@ -32,6 +32,8 @@ SEED = 42
 RADIUS = 4
 #: Fingerprints of a bucket that are compared with each other; above it the midpoint way costs less.
 BUCKET = 4096
+#: Tasks over which the fingerprints of one component are dealt when they learn their smallest id.
+SALTS = 16
 #: Shingles whose bits are counted at a time.
 BLOCK = 8192
 
@@ -176,9 +178,13 @@ def near_duplicate_components(fingerprints: DataFrame, id_col: str = "doc_id", f
     """``(fp, component, component_id)``: the component's name and the smallest id that its links reach."""
     fps = fingerprints.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("least"))
     links = connected_components(link_fingerprints(fps.select("fp")))
-    named = fps.join(links.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return named.join(ids, "component").select("fp", "component", "component_id")
+    named = fps.join(links.withColumnRenamed("node", "fp"), "fp", "left")
+    linked = named.filter("component IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    # a component with very many fingerprints is dealt over SALTS tasks
+    ids = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    alone = named.filter("component IS NULL").select("fp", F.col("fp").alias("component"), F.col("least").alias("component_id"))
+    return alone.unionByName(linked.join(ids, ["component", "salt"]).select("fp", "component", "component_id"))
 
 
 def simhash_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
