@@ -42,6 +42,11 @@ def summary(pixels: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def rounded(c: Column) -> Column:
+    """Six digits; a mean that lies on a tie goes up whatever the order of its sum."""
+    return F.round(c + 1e-9, 6)
+
+
 # chips
 
 
@@ -105,7 +110,7 @@ def feature_bank(pixels: DataFrame) -> DataFrame:
     df = focal(focal(df, "v", F.min, 1, "eroded"), "eroded", F.max, 1, "opened")
     df = df.withColumn("tophat", F.col("v") - F.col("opened")).withColumn("alap", F.abs("lap"))
     df = focal(df, "alap", F.max, 1, "ridge")
-    r = lambda c, name: F.round(c, 6).alias(name)
+    r = lambda c, name: rounded(c).alias(name)
     aggs = [r(F.avg("v"), "mean"), r(F.stddev_pop("v"), "std"), r(F.min("v"), "min"), r(F.max("v"), "max")]
     aggs += [r(F.percentile("v", F.lit(q / 100)), f"q{q}") for q in (10, 25, 50, 75, 90)]
     aggs.append(r(F.avg(F.when(F.col("v") <= 1e-6, 1.0).otherwise(0.0)), "zero_share"))
@@ -253,7 +258,7 @@ def border_uncertainty(pixels: DataFrame, threshold: float = 0.5) -> DataFrame:
     df = focal(focal(df, "m", F.max, 1, "hi"), "m", F.min, 1, "lo")
     u = 1 - F.abs(2 * F.col("c") - 1)
     g = df.groupBy("tile_id").agg(F.avg(F.when(F.col("hi") > F.col("lo"), u)).alias("b"), F.avg(F.when(F.col("m") == 1, u)).alias("i"), F.avg(u).alias("a"))
-    return g.select("tile_id", F.round(F.coalesce("b", "i", "a"), 6).alias("uncertainty"))
+    return g.select("tile_id", rounded(F.coalesce("b", "i", "a")).alias("uncertainty"))
 
 
 def affinity_smooth(maps: DataFrame, beta: float = 7.5, eps: float = 1e-6) -> DataFrame:

@@ -76,9 +76,9 @@ e1 AS (SELECT *, min(v) OVER wr AS e, max(abs(lap)) OVER wr AS g FROM c {W3}),
 e2 AS (SELECT * REPLACE (min(e) OVER wc AS e, max(g) OVER wc AS g) FROM e1 {C3}),
 o1 AS (SELECT *, max(e) OVER wr AS o FROM e2 {W3}),
 o2 AS (SELECT * REPLACE (max(o) OVER wc AS o) FROM o1 {C3})
-SELECT tile_id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, {", ".join(f"round(quantile_cont(v, {q / 100}), 6) AS q{q}" for q in (10, 25, 50, 75, 90))},
-round(avg(CASE WHEN v <= 1e-6 THEN 1.0 ELSE 0.0 END), 6) AS zero_share, {", ".join(f"round(avg({g}), 6) AS {g}_mean, round(stddev_pop({g}), 6) AS {g}_std" for g in NAMES)},
-round(avg(lap), 6) AS lap_mean, round(var_pop(lap), 6) AS lap_var, round(avg(v - o), 6) AS tophat_mean, round(stddev_pop(v - o), 6) AS tophat_std, round(avg(g), 6) AS ridge_mean, round(stddev_pop(g), 6) AS ridge_std
+SELECT tile_id, round(avg(v) + 1e-9, 6) AS mean, round(stddev_pop(v) + 1e-9, 6) AS std, round(min(v) + 1e-9, 6) AS min, round(max(v) + 1e-9, 6) AS max, {", ".join(f"round(quantile_cont(v, {q / 100}) + 1e-9, 6) AS q{q}" for q in (10, 25, 50, 75, 90))},
+round(avg(CASE WHEN v <= 1e-6 THEN 1.0 ELSE 0.0 END) + 1e-9, 6) AS zero_share, {", ".join(f"round(avg({g}) + 1e-9, 6) AS {g}_mean, round(stddev_pop({g}) + 1e-9, 6) AS {g}_std" for g in NAMES)},
+round(avg(lap) + 1e-9, 6) AS lap_mean, round(var_pop(lap) + 1e-9, 6) AS lap_var, round(avg(v - o) + 1e-9, 6) AS tophat_mean, round(stddev_pop(v - o) + 1e-9, 6) AS tophat_std, round(avg(g) + 1e-9, 6) AS ridge_mean, round(stddev_pop(g) + 1e-9, 6) AS ridge_std
 FROM o2 GROUP BY tile_id"""
 
 
@@ -214,7 +214,7 @@ def _(t):
     "ras17_border_uncertainty",
     f"""WITH a AS (SELECT tile_id, row, col, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(value, 0))) AS c FROM pixels), b AS (SELECT *, CASE WHEN c >= 0.5 THEN 1 ELSE 0 END AS m FROM a),
     h AS (SELECT *, max(m) OVER wr AS hi, min(m) OVER wr AS lo FROM b {W3}), g AS (SELECT * REPLACE (max(hi) OVER wc AS hi, min(lo) OVER wc AS lo) FROM h {C3})
-    SELECT tile_id, round(coalesce(avg(1 - abs(2 * c - 1)) FILTER (hi > lo), avg(1 - abs(2 * c - 1)) FILTER (m = 1), avg(1 - abs(2 * c - 1))), 6) AS uncertainty FROM g GROUP BY tile_id""",
+    SELECT tile_id, round(coalesce(avg(1 - abs(2 * c - 1)) FILTER (hi > lo), avg(1 - abs(2 * c - 1)) FILTER (m = 1), avg(1 - abs(2 * c - 1))) + 1e-9, 6) AS uncertainty FROM g GROUP BY tile_id""",
 )
 def _(t):
     return R.border_uncertainty(t.pixels())
