@@ -11,25 +11,37 @@ from pyspark.sql import functions as F
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 FOUND = "array<struct<start:int,end:int,m:string>>"
+#: Matches that are added up at a time: an array grows by copying, which costs the square of its length.
+BLOCK = 128
 
 
 def matches(text: Column, pattern: str, gate: Column | None = None) -> Column:
     """Leftmost non-overlapping matches as ``array<struct<start, end, m>>``.
 
     Matches come from regexp_extract_all and the text between them from split by the same pattern;
-    lengths of both, added up, are the places. ``gate`` is a cheap test that no match can fail.
+    lengths of both, added up block by block, are the places. ``gate`` is a cheap test that no match can fail.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("out"))
+    none_yet = F.array().cast(FOUND).alias("out")
 
     def step(acc: Column, x: Column) -> Column:
         start = (acc["at"] + F.length(x["b"])).cast("int")
         end = (start + F.length(x["m"])).cast("int")
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("out"))
 
+    def add_block(acc: Column, block: Column) -> Column:
+        at = F.coalesce(F.try_element_at(acc, F.lit(-1))["at"], F.lit(0))
+        return F.concat(acc, F.array(F.aggregate(block, F.struct(at.alias("at"), none_yet), step)))
+
+    def places(p: Column) -> Column:
+        last = F.floor((F.size(p) - 1) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(p, i * BLOCK + 1, F.lit(BLOCK)))
+        return F.aggregate(blocks, F.array().cast(f"array<struct<at:int,out:{FOUND}>>"), add_block, lambda acc: F.flatten(F.transform(acc, lambda x: x["out"])))
+
     pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-    out = F.aggregate(pairs, begin, step, lambda acc: acc["out"])
+    # the array of one binds the pairs to a name, so that they are found once
+    out = F.transform(F.array(pairs), places)[0]
     none = F.array().cast(FOUND)
     return out if gate is None else F.when(gate, out).otherwise(none)
 
