@@ -9,8 +9,8 @@ end above ``CERTAIN`` are marked wherever a scored context or not precedes them.
 
 Scale. One pass over texts leaves spans and mentions without text, written once to the checkpoint
 folder. Edges are pre-aggregated to distinct (context, identifier) pairs; a hot context meets AQE's
-skew join, and scores are partial sums. What follows a context is counted over all texts that hold an
-identifier-like token, summed per context before anything is joined.
+skew join, and scores are partial sums. What follows a context is counted over all texts: of up to
+``SENT`` contexts, which are broadcast, alone; of more, summed per context before they are joined.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ ROUNDS = 3
 #: Distinct identifiers that a context must have, and the score from which one is believed.
 SUPPORT = 3
 CERTAIN = 0.8
+#: Contexts, of eight bytes each, that are broadcast to count what follows them.
+SENT = 500_000
 
 #: Stands for a dot or separator that cannot be inside a match; a noncharacter, so no text holds it.
 _NOT = "\uffff"
@@ -98,12 +100,14 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", F.md5("t").alias("key"), "base", F.filter(mentions, lambda m: m["context"].isNotNull()).alias("mentions"))
 
 
-def context_totals(docs: DataFrame, text_col: str, contexts: DataFrame) -> DataFrame:
-    """How often each of ``contexts`` is followed by any word, over texts with an identifier-like token."""
-    words = docs.filter(F.col(text_col).rlike("[0-9@]")).select(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0)).alias("w")).filter(F.size("w") > 2)
+def context_totals(docs: DataFrame, text_col: str, contexts: DataFrame, sent: int = SENT) -> DataFrame:
+    """How often each of the distinct ``contexts`` is followed by any word, over all texts."""
+    words = docs.select(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0)).alias("w")).filter(F.size("w") > 2)
     pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 2), F.slice("w", F.lit(2), F.size("w") - 2), lambda a, b: F.xxhash64(a, b))
-    counts = words.select(F.explode(pairs).alias("context")).groupBy("context").agg(F.count("*").alias("total"))
-    return counts.join(contexts, "context", "left_semi")
+    rows, total = words.select(F.explode(pairs).alias("context")), F.count("*").alias("total")
+    if contexts.limit(sent + 1).count() <= sent:
+        return rows.join(F.broadcast(contexts), "context", "left_semi").groupBy("context").agg(total)
+    return rows.groupBy("context").agg(total).join(contexts, "context", "left_semi")
 
 
 def learn(docs: DataFrame, scanned: DataFrame, text_col: str, rounds: int = ROUNDS, support: int = SUPPORT, certain: float = CERTAIN) -> DataFrame:
@@ -115,7 +119,7 @@ def learn(docs: DataFrame, scanned: DataFrame, text_col: str, rounds: int = ROUN
     edges = cut(edges.join(wide.select("context"), "context", "left_semi"))
     if not edges.filter("NOT seed").limit(1).count():
         return edges.filter("seed AND NOT seed").select("item")
-    totals = cut(context_totals(docs, text_col, edges.select("context").distinct()))
+    totals = cut(context_totals(docs, text_col, cut(edges.select("context").distinct())))
     items = edges.groupBy("item").agg(F.max(F.col("seed").cast("double")).alias("score"))
     for _ in range(rounds):
         sums = edges.join(items, "item").groupBy("context").agg(F.sum(F.col("n") * F.col("score")).alias("weight"), F.sum("score").alias("backing"))

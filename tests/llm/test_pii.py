@@ -80,6 +80,14 @@ def test_contexts_discover_unseen_identifiers_only_where_precise(spark):
             assert kinds == ["email"]
 
 
+def test_followers_in_texts_without_digits_lower_trust(spark):
+    plain_texts = [(300 + i, "blue sky reach me: tomorrow by the river") for i in range(200)]
+    df = spark.createDataFrame(planted() + plain_texts, "doc_id long, text string")
+    assert not [r for r in P.digest_columns(P.find_personal_data(df)).collect() if "context" in r.spans]
+    contexts = df.selectExpr("xxhash64('reach', 'me:') AS context").distinct()
+    assert [P.context_totals(df, "text", contexts, n).first().total for n in (0, 1)] == [235, 235]
+
+
 def test_redaction_keeps_columns_and_rows(spark):
     rows = [(i, t, "en", 5) for i, t in planted()] + [(900, None, None, None), (901, "no data", "en", 7), (901, "no data", "en", 7), (None, "1.2.3.4 a@b.c", "en", 13)]
     df = spark.createDataFrame(rows, "doc_id long, text string, more string, n_chars long")
