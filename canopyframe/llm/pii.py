@@ -89,7 +89,10 @@ def _context(text: Column, start: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, key (text digest), base, mentions``; a mention is a span with context and identifier."""
+    """``doc_id, key (text digest), base, mentions``; a mention is a span with context and identifier.
+
+    Mentions that no pattern took stay without a context too, since other texts may prove their identifier.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
     rows = rows.select("doc_id", "t", base_spans(F.col("t")).alias("base"), matches(F.col("t"), TOKEN, F.col("t").rlike("[0-9@]")).alias("tokens"))
@@ -97,7 +100,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     mention = lambda x, seed: F.struct(x["start"].alias("start"), x["end"].alias("end"), _context(F.col("t"), x["start"]).alias("context"), F.md5(piece(x)).alias("item"), F.lit(seed).alias("seed"))
     free = F.filter("tokens", lambda x: ~overlaps(F.col("base"), x["start"], x["end"]))
     mentions = F.concat(F.transform("base", lambda x: mention(x, True)), F.transform(free, lambda x: mention(x, False)))
-    return rows.select("doc_id", F.md5("t").alias("key"), "base", F.filter(mentions, lambda m: m["context"].isNotNull()).alias("mentions"))
+    return rows.select("doc_id", F.md5("t").alias("key"), "base", F.filter(mentions, lambda m: m["context"].isNotNull() | ~m["seed"]).alias("mentions"))
 
 
 def context_totals(docs: DataFrame, text_col: str, contexts: DataFrame, sent: int = SENT) -> DataFrame:
@@ -112,7 +115,7 @@ def context_totals(docs: DataFrame, text_col: str, contexts: DataFrame, sent: in
 
 def learn(docs: DataFrame, scanned: DataFrame, text_col: str, rounds: int = ROUNDS, support: int = SUPPORT, certain: float = CERTAIN) -> DataFrame:
     """``(item)``: identifiers that no base pattern takes and whose contexts vouch for them."""
-    seen = scanned.select(F.explode("mentions").alias("m")).select("m.context", "m.item", "m.seed")
+    seen = scanned.select(F.explode("mentions").alias("m")).filter("m.context IS NOT NULL").select("m.context", "m.item", "m.seed")
     edges = seen.groupBy("context", "item").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
     wide = edges.groupBy("context").agg(F.count("*").alias("items"), F.max("seed").alias("seeded")).filter(F.col("items") >= support)
     # contexts with seeds alone find nothing, and those without can only be reached through other contexts' finds

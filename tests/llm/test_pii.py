@@ -88,6 +88,16 @@ def test_followers_in_texts_without_digits_lower_trust(spark):
     assert [P.context_totals(df, "text", contexts, n).first().total for n in (0, 1)] == [235, 235]
 
 
+def test_proven_identifiers_are_marked_without_a_context(spark):
+    far = "x" * 120
+    texts = ["agent-0001 called back", "then agent-0002 called back", f"blue {far} agent-0003 called back", "agent-9999 called back"]
+    df = spark.createDataFrame(planted() + [(300 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in P.digest_columns(P.find_personal_data(df)).collect()}
+    assert [got[300 + i] for i in range(4)] == ["context:0:10", "context:5:15", "context:126:136", ""]
+    clean = {r.doc_id: r.text for r in P.redact(df).collect()}
+    assert [clean[300 + i] for i in range(4)] == ["[ID] called back", "then [ID] called back", f"blue {far} [ID] called back", texts[3]]
+
+
 def test_redaction_keeps_columns_and_rows(spark):
     rows = [(i, t, "en", 5) for i, t in planted()] + [(900, None, None, None), (901, "no data", "en", 7), (901, "no data", "en", 7), (None, "1.2.3.4 a@b.c", "en", 13)]
     df = spark.createDataFrame(rows, "doc_id long, text string, more string, n_chars long")
