@@ -38,8 +38,16 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
     ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 2.1."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0. This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -48,8 +56,6 @@ TEMPLATES = [
 LICENSE_FILE = r"(?i)^(license|licence|copying|notice)(\.[a-z]+)?$"
 
 _WORD = re.compile(rb"[a-z0-9]+(?:[.-][a-z0-9]+)*")
-#: A unit without any of these is no notice.
-_CUE = re.compile(rb"licen[sc]e|permi(?:ssion|tted)|redistribut")
 
 
 def terms(text: bytes) -> list[bytes]:
@@ -96,18 +102,27 @@ class Matcher:
         size = math.sqrt(float(v @ v) + other)
         return (v / size if size else v), size
 
+    def _scores(self, unit: bytes) -> np.ndarray | None:
+        """Cosines of a lower-cased unit to the templates; None if no template shares a word with it."""
+        counts = Counter(_WORD.findall(unit))
+        known = [w for w in counts if w in self.place]
+        if not known:
+            return None
+        at = [self.place[w] for w in known]
+        v = np.array([counts[w] * self.weight[w] for w in known])
+        other = sum(c * c for c in counts.values()) - sum(counts[w] ** 2 for w in known)
+        return self.rows[:, at] @ v / math.sqrt(float(v @ v) + other * self.rare**2)
+
     def best(self, text: bytes) -> tuple[str | None, float, bool]:
         """License, cosine and whether the notice opens the text; ties go to the earlier template."""
         low = text.lower()
-        if not _CUE.search(low):
-            return None, 0.0, False
         lines = low.split(b"\n")
         units = [(k == 0, x) for k, x in enumerate(x for x in lines if x.strip())]
         units += [(k == 0, x) for k, x in enumerate(re.split(rb"\n[ \t\r]*\n", low.strip())) if b"\n" in x]
         top = (0.0, 0, False)
         for first, unit in units:
-            if _CUE.search(unit):
-                scores = self.rows @ self._vector(unit)[0]
+            scores = self._scores(unit)
+            if scores is not None:
                 k = int(scores.argmax())
                 top = max(top, (round(float(scores[k]), 9), -k, first))
         return (TEMPLATES[-top[1]][0] if top[0] >= THRESHOLD else None), top[0], top[2] and top[0] >= THRESHOLD

@@ -63,3 +63,25 @@ def test_cosine_equals_a_dense_form():
         dot = sum(a[w] * b.get(w, 0) for w in a)
         best = max(best, dot / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())))
     assert abs(m.best(text)[1] - best) < 1e-8
+
+
+def test_units_without_the_word_license_and_neighbouring_licenses():
+    m = L.Matcher(10_000, {b"the": 6000, b"of": 6000, b"to": 6000, b"a": 6000, b"and": 6000, b"this": 3000, b"version": 300, b"license": 1500, b"licensed": 1000})
+    notices = {
+        "CC BY-NC 4.0": "CC-BY-NC-4.0",
+        "Apache Version 2.0": "Apache-2.0",
+        "Creative Commons Attribution 4.0 International": "CC-BY-4.0",
+        "GNU General Public License, version 2.": "GPL-2.0",
+        "GNU General Public License, version 3.": "GPL-3.0",
+        "GNU Affero General Public License, version 3.": "AGPL-3.0",
+        "BSD 2-Clause License": "BSD-2-Clause",
+        "Released under the ISC License.": "ISC",
+    }
+    prose = b"river stone blue sky of the river\n"
+    for text, name in notices.items():
+        assert m.best(text.encode())[0] == name, text
+        assert m.best(prose * 3 + text.encode() + b"\n" + prose)[0] == name, text
+    assert m.best(prose * 3)[0] is None
+    for _, t in L.TEMPLATES:
+        unit = t.lower().encode() + b" river stone river"
+        assert abs(m._scores(unit) - m.rows @ m._vector(unit)[0]).max() < 1e-12
