@@ -12,6 +12,7 @@ a sequence or so unfilled among its thousands, the same share at every size.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from array import array
@@ -36,7 +37,7 @@ JSON_FORM = "byte_bpe_50k.json"
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 
 def load_encoder(vocabulary: str | None = None):
-    """Byte-level BPE of a ranks file; gives the ids that the same vocabulary's JSON file gives."""
+    """Byte-level BPE of a ranks file; gives the JSON form's ids for texts that ``needs_json`` does not match."""
     import public_tokenizers
     import tiktoken
 
@@ -58,8 +59,17 @@ _encoders: dict = {}
 LONG_SPACE = re.compile(r"\s{5000}")
 
 
-def encode_spaces(text: str) -> list[int]:
-    """Ids of a text with long white space, by the JSON form of the vocabulary and its library."""
+def needs_json() -> re.Pattern:
+    """Matches texts that the ranks form may not take: long white space, or a token the JSON form adds."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(JSON_FORM), encoding="utf-8") as file:
+        added = [re.escape(x["content"]) for x in json.load(file)["added_tokens"]]
+    return re.compile("|".join([LONG_SPACE.pattern, *added]))
+
+
+def encode_json(text: str) -> list[int]:
+    """Ids of a text by the JSON form of the vocabulary and its library."""
     if "json" not in _encoders:
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -76,10 +86,12 @@ def piece_column(text: Column, capacity: int = CAPACITY, vocabulary: str | None
     def kernel(texts: pa.Array) -> pa.Array:
         if vocabulary not in _encoders:
             _encoders[vocabulary] = load_encoder(vocabulary)
+        if vocabulary is None and "needs json" not in _encoders:
+            _encoders["needs json"] = needs_json()
         encode, rows = _encoders[vocabulary].encode_ordinary, []
         for at in range(0, len(texts), SLICE_ROWS):
             for x in texts.slice(at, SLICE_ROWS).to_pylist():
-                ids = encode_spaces(x) if x and vocabulary is None and LONG_SPACE.search(x) else encode(x or "")
+                ids = encode_json(x) if x and vocabulary is None and _encoders["needs json"].search(x) else encode(x or "")
                 rows.append(cut_pieces(array("I", ids).tobytes() + end, capacity))
         flat = [x for r in rows for x in r]
         columns = list(zip(*flat)) or [(), (), (), ()]

@@ -56,3 +56,13 @@ def test_exchanges_empty_a_bin():
     assert len(P.local_search([[0], [2, 1], [3, 4]], sizes, 10)) == 2
     sizes = [5, 5, 4, 4, 7, 3, 2]
     assert len(P.local_search([[0, 2], [1, 3], [4], [5, 6]], sizes, 10)) == 3
+
+
+def test_added_tokens_in_texts_have_their_own_ids(spark):
+    texts = ["end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext| <|endoftext|>" + " " * 50, "<|endoftext"]
+    rows = P.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = np.array([*model.encode(texts[r.doc_id], add_special_tokens=False).ids, 0], "<u4")
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
