@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopyframe.llm.spans import SPANS, as_spans, count_kind, listed, matches, overlaps, replaced
+from canopyframe.llm.spans import CHUNK, SPANS, as_spans, blocked, bound, chunks, count_kind, listed, matches, overlaps, piece, replaced
 from canopyframe.plans.lineage import cut
 
 KINDS = ["email", "ip", "card", "phone", "context"]
@@ -29,21 +29,21 @@ SUPPORT = 3
 CERTAIN = 0.8
 #: Contexts, of eight bytes each, that are broadcast to count what follows them.
 SENT = 500_000
+MENTIONS = "array<struct<start:int,end:int,context:bigint,item:string,seed:boolean>>"
 
-#: Stands for a dot or separator that cannot be inside a match; a noncharacter, so no text holds it.
-_NOT = "\uffff"
 _LOCAL = "A-Za-z0-9._%+-"
-#: Dots not between two domain characters, which no domain contains.
-BAD_DOT = r"\.(?![A-Za-z0-9-])|(?<![A-Za-z0-9-])\."
-EMAIL = rf"(?:(?<![{_NOT}{_LOCAL}])|\G)[{_NOT}{_LOCAL}]++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]++"
+# Possessive groups, which no text can make recurse. A local part starts where its run of characters
+# does, or where the last match ended: any later start of the same run meets the same end.
+EMAIL = rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-#: Separators not between two digits, which no card number contains.
-BAD_GAP = r"[ -](?![0-9])|(?<![0-9])[ -]"
-CARD = r"[0-9][0-9 -]++"
+CARD = r"[0-9](?:[ -]?+[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Tokens with a digit or an at sign.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: White space, two words and white space at the end: the words are whole.
+TWO_WORDS = rf"{SPACE}({WORD}){SPACE}+({WORD}){SPACE}+\z"
 
 
 def _digits(m: Column) -> Column:
@@ -70,22 +70,31 @@ def _small(part: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """Spans of the four base kinds, sorted."""
-    email = matches(F.regexp_replace(text, BAD_DOT, _NOT), EMAIL, F.contains(text, F.lit("@")))
+    email = matches(text, EMAIL, F.contains(text, F.lit("@")))
     ip = matches(text, IP, text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"))
     ip = F.filter(ip, lambda x: F.forall(F.split(x["m"], r"\."), _small))
-    card = matches(F.regexp_replace(text, BAD_GAP, _NOT), CARD, text.rlike("[0-9](?:[ -]?[0-9]){11}"))
+    card = matches(text, CARD, text.rlike("[0-9](?:[ -]?[0-9]){11}"))
     card = F.filter(card, lambda x: F.length(_digits(x["m"])).between(12, 19) & _luhn(_digits(x["m"])))
     phone = matches(text, PHONE, text.rlike(r"\+[0-9]"))
     phone = F.filter(phone, lambda x: F.length(_digits(x["m"])).between(9, 15))
     return F.array_sort(F.concat(*[as_spans(m, k) for k, m in enumerate((email, ip, card, phone))]))
 
 
-def _context(text: Column, start: Column) -> Column:
-    """Hash of the two lower-cased words before ``start``, or null if there are not two near it."""
-    before = F.lower(F.substring(text, F.greatest(start - 99, F.lit(1)), F.least(start, F.lit(100))))
-    pair = F.regexp_extract(before, rf"({WORD})[\x20\x09-\x0D]+({WORD})[\x20\x09-\x0D]+$", 0)
-    words = F.split(F.regexp_replace(pair, r"[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
-    return F.when(F.size(words) == 2, F.xxhash64(words[0], words[1]))
+def _context(text: Column, parts: Column, start: Column) -> Column:
+    """Hash of the two lower-cased words before ``start``, or null if there are not two, each whole.
+
+    They are looked for in the last chunks before ``start``, and if those do not hold them, in all of
+    the text before it. ``parts`` are the text's chunks.
+    """
+
+    def pair(before: Column) -> Column:
+        found = F.array(F.regexp_extract(before, TWO_WORDS, 1), F.regexp_extract(before, TWO_WORDS, 2))
+        return F.when(found[1] != "", F.xxhash64(F.lower(found[0]), F.lower(found[1])))
+
+    begin = F.greatest((F.floor(start / CHUNK).cast("int") - 1) * CHUNK, F.lit(0))
+    # a text's first word is whole; so is one after white space, which the pattern asks for
+    near = F.concat(F.when(begin == 0, " ").otherwise(""), piece(parts, begin, start))
+    return F.coalesce(pair(near), F.when(begin > 0, pair(F.concat(F.lit(" "), F.substring(text, F.lit(1), start)))))
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -93,13 +102,19 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Mentions that no pattern took stay without a context too, since other texts may prove their identifier.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.select("doc_id", "t", base_spans(F.col("t")).alias("base"), matches(F.col("t"), TOKEN, F.col("t").rlike("[0-9@]")).alias("tokens"))
-    piece = lambda x: F.lower(F.substring(F.col("t"), x["start"] + 1, x["end"] - x["start"]))
-    mention = lambda x, seed: F.struct(x["start"].alias("start"), x["end"].alias("end"), _context(F.col("t"), x["start"]).alias("context"), F.md5(piece(x)).alias("item"), F.lit(seed).alias("seed"))
-    free = F.filter("tokens", lambda x: ~overlaps(F.col("base"), x["start"], x["end"]))
-    mentions = F.concat(F.transform("base", lambda x: mention(x, True)), F.transform(free, lambda x: mention(x, False)))
+    text = F.col("t")
+
+    def found(parts: Column) -> Column:
+        def mention(x: Column, seed: bool) -> Column:
+            item = F.md5(F.lower(piece(parts, x["start"], x["end"])))
+            return F.struct(x["start"].alias("start"), x["end"].alias("end"), _context(text, parts, x["start"]).alias("context"), item.alias("item"), F.lit(seed).alias("seed"))
+
+        free = bound(blocked(F.col("base")), lambda base: F.filter("tokens", lambda x: ~overlaps(base, x["start"], x["end"])))
+        return F.concat(F.transform("base", lambda x: mention(x, True)), F.transform(free, lambda x: mention(x, False)))
+
+    mentions = F.when(F.size("base") + F.size("tokens") > 0, bound(chunks(text), found)).otherwise(F.array().cast(MENTIONS))
     return rows.select("doc_id", F.md5("t").alias("key"), "base", F.filter(mentions, lambda m: m["context"].isNotNull() | ~m["seed"]).alias("mentions"))
 
 
@@ -169,16 +184,19 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     """
     scanned = cut(scan(docs, id_col, text_col).select("key", "base", "mentions"))
     more = cut(discovered(scanned, learn(docs, scanned, text_col)))
-    own = F.col(text_col)
+    # the document's columns ride in a struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = F.col("row")[text_col]
     if more.limit(1).count():
-        joined = docs.withColumn("__key", F.md5(F.coalesce(own, F.lit("")))).join(more.select(F.col("key").alias("__key"), F.col("more").alias("__more")), "__key", "left").drop("__key")
+        rows = rows.withColumn("key", F.md5(F.coalesce(own, F.lit("")))).join(more, "key", "left")
     else:
-        joined = docs.withColumn("__more", F.lit(None).cast(SPANS))
-    spans = F.array_sort(F.concat(base_spans(F.coalesce(own, F.lit(""))), F.coalesce("__more", F.array().cast(SPANS))))
-    clean = joined.withColumn("__spans", spans).withColumn(text_col, replaced(own, F.col("__spans"), MARKS))
+        rows = rows.withColumn("more", F.lit(None).cast(SPANS))
+    spans = F.array_sort(F.concat(base_spans(F.coalesce(own, F.lit(""))), F.coalesce("more", F.array().cast(SPANS))))
+    rows = rows.select("row", spans.alias("spans")).withColumn("clean", replaced(own, F.col("spans"), MARKS))
+    new = {text_col: F.col("clean")}
     if length_col in docs.columns:
-        clean = clean.withColumn(length_col, F.when(F.size("__spans") > 0, F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
-    return clean.select(*docs.columns)
+        new[length_col] = F.when(F.size("spans") > 0, F.length("clean")).otherwise(F.col("row")[length_col]).cast(docs.schema[length_col].dataType)
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def digest_columns(rows: DataFrame) -> DataFrame:

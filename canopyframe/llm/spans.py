@@ -6,6 +6,8 @@ natural order of an array of spans is by start, then kind.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ SPANS = "array<struct<start:int,kind:int,end:int>>"
 FOUND = "array<struct<start:int,end:int,m:string>>"
 #: Matches that are added up at a time: an array grows by copying, which costs the square of its length.
 BLOCK = 128
+#: Code points of a text's pieces from which short substrings are taken.
+CHUNK = 256
 
 
 def matches(text: Column, pattern: str, gate: Column | None = None) -> Column:
@@ -54,8 +58,33 @@ def count_kind(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
 
 
-def overlaps(spans: Column, start: Column, end: Column) -> Column:
-    return F.exists(spans, lambda s: (s["start"] < end) & (s["end"] > start))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, though ``use`` names it inside of lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
+def blocked(spans: Column) -> Column:
+    """Sorted spans in blocks, each with its least start and greatest end, for ``overlaps``."""
+    last = F.floor((F.size(spans) - 1) / BLOCK).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(spans, i * BLOCK + 1, F.lit(BLOCK)))
+    return F.transform(parts, lambda p: F.struct(F.array_min(F.transform(p, lambda s: s["start"])).alias("low"), F.array_max(F.transform(p, lambda s: s["end"])).alias("high"), p.alias("part")))
+
+
+def overlaps(blocks: Column, start: Column, end: Column) -> Column:
+    """Whether a span of ``blocked`` spans shares a place with the given range."""
+    return F.exists(blocks, lambda b: (b["low"] < end) & (b["high"] > start) & F.exists(b["part"], lambda s: (s["start"] < end) & (s["end"] > start)))
+
+
+def chunks(text: Column) -> Column:
+    """The text in pieces of ``CHUNK`` code points: a substring of the whole is found by walking all before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def piece(parts: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` (exclusive) of a text in ``chunks``."""
+    first = F.floor(start / CHUNK).cast("int")
+    many = F.floor((F.greatest(end, start + 1) - 1) / CHUNK).cast("int") - first + 1
+    return F.substring(F.array_join(F.slice(parts, first + 1, many), ""), (start - first * CHUNK + 1).cast("int"), (end - start).cast("int"))
 
 
 def listed(spans: Column, kinds: list[str]) -> Column:
@@ -69,10 +98,11 @@ def replaced(text: Column, spans: Column, marks: list[str]) -> Column:
     names = F.lit(marks)
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        before = F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        grown = F.when(x["start"] >= acc["at"], F.concat(acc["out"], before, F.element_at(names, x["kind"] + 1))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).cast("int").alias("at"), grown.alias("out"))
+    def marked(parts: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            grown = F.when(x["start"] >= acc["at"], F.concat(acc["out"], piece(parts, acc["at"], x["start"]), F.element_at(names, x["kind"] + 1))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], x["end"]).cast("int").alias("at"), grown.alias("out"))
+
+        return F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], piece(parts, acc["at"], F.length(text))))
 
-    end = F.aggregate(spans, begin, step)
-    return F.when(F.size(spans) > 0, F.concat(end["out"], F.substring(text, (end["at"] + 1).cast("int"), F.length(text)))).otherwise(text)
+    return F.when(F.size(spans) > 0, bound(chunks(text), marked)).otherwise(text)

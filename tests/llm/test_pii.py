@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from canopyframe.llm import pii as P
 
@@ -59,6 +60,55 @@ def test_base_equals_brute_force(spark):
     assert P.find_personal_data(df.limit(0)).count() == 0
 
 
+def test_base_equals_brute_force_on_any_code_points(spark):
+    rng = random.Random(11)
+    near = list("@@@@....-_%+09 aZ()") + ["a@b.c", "+1555", "4111111111111111", "1.2.3.4", "\uffff", "\ufffe", "\u0000", "\u0085", "\u2028", "\U0010ffff", "İ", "Σ"]
+    anywhere = lambda: chr(rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x110000)]))
+    made = ["x\uffffa@b.c z", "a\uffff.b@c.d"]
+    made += ["".join(rng.choice(near) if rng.random() < 0.85 else anywhere() for _ in range(60)) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    for r in P.digest_columns(P.find_personal_data(df)).collect():
+        counts, digest, _ = plain(made[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts and r.base_sha256 == digest, repr(made[r.doc_id])
+
+
+def test_contexts_are_found_whole_at_any_length(spark):
+    """Words of a context of 20, 120 and 700 letters, at places within and beyond a chunk."""
+    for length in (20, 120, 700):
+        word = "w" * length
+        rows = [(i, f"{'blue sky ' * (i * 7)}{word} reach: user{i}@mail.example.org end") for i in range(30)]
+        rows += [(100 + i, f"{'of the ' * (i * 60)}{word} reach: agent-{i:04d} end") for i in range(5)]
+        got = P.digest_columns(P.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+        assert {r.doc_id for r in got if "context" in r.spans} == set(range(100, 105)), length
+
+
+def test_context_words_equal_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    bits = ["a", "Bé", " ", " ", "\n", "\t ", "x" * 300, "\u2028", "0@", "日本", "İΣ"]
+    made = ["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(300)]
+    at = [rng.choice([0, len(t), *(m.end() for m in re.finditer("[ \t-\r]", t))]) for t in made]
+
+    def want(t, k):
+        m = re.search(r"(?:^|(?<=[ \t-\r]))([^ \t-\r]+)[ \t-\r]+([^ \t-\r]+)[ \t-\r]+\Z", t[:k])
+        return m and [m[1], m[2]]
+
+    rows = [(t, k, want(t, k)) for t, k in zip(made, at)]
+    df = spark.createDataFrame(rows, "t string, k int, w array<string>")
+    df = df.withColumn("want", F.when(F.col("w").isNotNull(), F.xxhash64(F.lower(F.col("w")[0]), F.lower(F.col("w")[1]))))
+    df = df.withColumn("got", P._context(F.col("t"), P.chunks(F.col("t")), F.col("k")))
+    assert df.filter("NOT want <=> got").count() == 0 and df.filter("want IS NOT NULL").count() > 50
+
+
+def test_text_with_very_many_mentions(spark):
+    """Counts stay right and the work stays near to linear in the mentions of one text."""
+    text = " ".join(f"u{i}@b.example call-{i}" for i in range(20_000))
+    began = time.time()
+    r = P.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.n_email == 20_000 and time.time() - began < 60
+
+
 def planted():
     rng = random.Random(2)
     prose = lambda n: " ".join(rng.choice(["blue", "sky", "of", "the", "river", "stone"]) for _ in range(n))
@@ -107,3 +157,12 @@ def test_redaction_keeps_columns_and_rows(spark):
     assert by[900].text is None and by[901].text == "no data" and by[901].n_chars == 7
     assert by[None].text == "[IP] [EMAIL]" and by[None].n_chars == 12
     assert "[ID]" in by[101].text and "agent" not in by[101].text and "[EMAIL]" in by[3].text
+    assert P.redact(df.limit(0)).count() == 0
+
+
+def test_redaction_with_clashing_names(spark):
+    df = spark.createDataFrame([(i, t, "k", 1, "s") for i, t in planted()], "doc_id long, text string, key string, __key int, spans string")
+    df = df.withColumnRenamed("spans", "more").withColumnRenamed("__key", "row")
+    out = P.redact(df, length_col=None)
+    assert out.schema == df.schema
+    assert {(r.key, r.row, r.more) for r in out.collect()} == {("k", 1, "s")} and out.filter("text LIKE '%[ID]%'").count() == 5
