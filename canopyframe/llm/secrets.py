@@ -1,17 +1,25 @@
 """Secret scan with a battery of randomness tests, in DataFrame functions throughout.
 
 Patterns find assignments, access keys and long hex runs (the base). Every other long run of encoding
-characters is a candidate: its encoding is inferred from its characters, and three tests are made of
-the hypothesis that it is uniformly random in that encoding: chi-squared against a uniform alphabet,
-runs above and below the alphabet's middle, and lag-one serial correlation. Fisher's method joins
-them into one p. Within each band of encoding and length (tests of short strings have little power)
-the Benjamini-Hochberg step-up at level ``FDR`` says which candidates are structured; the rest, if
-they carry ``LEAST_BITS`` bits and mix letters with digits, are secrets.
+characters is a candidate. Its body is its longest part between separators (``- _ / +``) if that is
+long enough, else all of it without them, so that prefixes of keys, dashes of UUIDs and the like do
+not hide what is random; the body's encoding is inferred from its characters. A secret must be
+
+- random: three tests of the hypothesis that the body is uniform in its encoding (chi-squared
+  against a uniform alphabet, runs above and below the alphabet's middle, lag-one serial
+  correlation), joined by Fisher's method, do not reject it at level ``ALPHA``; and
+- not ordinary: under the hypothesis of ordinary writing it would be surprising. Two tests are made of
+  that: repeated letters (the sum of squared counts is low for letters drawn as often as the corpus
+  draws them) and changes between lower case, capitals and digits (more than ``CHANGES`` of all
+  neighbours). Their joint p goes through the Benjamini-Hochberg step-up at level ``FDR`` within each
+  band of encoding and length, so of the secrets reported at most about that share is ordinary
+  writing; short bodies, on which the tests have little power, are not reported for want of evidence.
 
 Scale. One pass over texts leaves spans and candidates, which are rare and are written once to the
-checkpoint folder. Band thresholds come from a histogram of p in steps of a tenth of a decade, so the
-step-up sorts a bounded table (bands x ``STEPS``), not the candidates; it is conservative by a step
-at most. Candidates go back to their rows by row number.
+checkpoint folder; letters are counted in a second pass, over all texts, into 36 numbers. Band
+thresholds come from a histogram of p in steps of a tenth of a decade, so the step-up sorts a bounded
+table (bands x ``STEPS``), not the candidates; it is conservative by a step at most. Candidates go
+back to their rows by row number.
 """
 
 from __future__ import annotations
@@ -21,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopyframe.llm.spans import SPANS, as_spans, count_kind, listed, matches, overlaps
+from canopyframe.llm.spans import SPANS, as_spans, blocked, bound, count_kind, listed, matches, overlaps
 from canopyframe.plans.lineage import cut
 
 KINDS = ["assign", "access", "hex", "random"]
@@ -31,6 +39,10 @@ ACCESS = "AKIA[A-Z0-9]{16,}+"  # 20 characters with the prefix, which is of the
 HEX = "(?<![0-9a-f])[0-9a-f]{24,}+"
 CANDIDATE = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 FDR = 0.05
+#: Level at which a body is held not to be random.
+ALPHA = 0.001
+#: Least length of a part that stands for its candidate.
+PART = 20
 LEAST_BITS = 90
 STEPS = 400
 
@@ -43,9 +55,11 @@ ENCODINGS = [
     ("lower36", "^[0-9a-z]+$", _DIGITS + _LOWER),
     ("upper36", "^[0-9A-Z]+$", _DIGITS + _UPPER),
     ("base62", "^[0-9A-Za-z]+$", _DIGITS + _UPPER + _LOWER),
-    ("base64", "^[0-9A-Za-z+/]+$", _UPPER + _LOWER + _DIGITS + "+/"),
-    ("base64url", "^[0-9A-Za-z_+/-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
 ]
+#: Share of neighbours in ordinary writing that differ in class: words of five letters and more with
+#: capitals, and within one case numbers between words.
+CHANGES = {"base62": 0.36}
+CHANGES_ONE_CASE = 0.15
 
 
 def base_spans(text: Column) -> Column:
@@ -69,13 +83,14 @@ def _upper_p(z: Column) -> Column:
 
 
 def battery(candidates: DataFrame) -> DataFrame:
-    """Adds ``encoding, k, n, p_chi, p_runs, p_serial, p`` to rows with a ``token``."""
-    body = F.regexp_replace("token", "=+$", "")
+    """Adds ``body, encoding, k, n, p_chi, p_runs, p_serial, p`` to rows with a ``token``; p is of randomness."""
+    parts = F.transform(F.split("token", "[-_/+=]+"), lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))
+    longest = F.array_max(parts)
+    body = F.when(longest["n"] >= PART, longest["x"]).otherwise(F.regexp_replace("token", "[-_/+=]", ""))
     pick = lambda part: F.coalesce(*[F.when(F.col("body").rlike(e[1]), F.lit(e[part])) for e in ENCODINGS])
     rows = candidates.withColumn("body", body).withColumn("encoding", pick(0)).withColumn("alphabet", pick(2))
-    # + and / beside - and _ count as the same two values
-    plain = F.when(F.col("encoding") == "base64url", F.translate("body", "+/", "-_")).otherwise(F.col("body"))
-    rows = rows.withColumn("body", plain).withColumn("k", F.length("alphabet")).withColumn("n", F.length("body"))
+    # a candidate of separators alone has no body and no encoding
+    rows = rows.filter("encoding IS NOT NULL").withColumn("k", F.length("alphabet")).withColumn("n", F.length("body"))
     k, n = F.col("k").cast("double"), F.col("n").cast("double")
     chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
     squares = F.aggregate(chars(F.col("alphabet")), F.lit(0.0), lambda a, c: a + F.pow(F.length("body") - F.length(F.replace(F.col("body"), c, F.lit(""))), F.lit(2.0)))
@@ -103,11 +118,51 @@ def battery(candidates: DataFrame) -> DataFrame:
     rows = rows.withColumn("p_chi", clamp(_upper_p(z_chi))).withColumn("p_runs", clamp(2 * _tail(z_runs))).withColumn("p_serial", clamp(2 * _tail(z_serial)))
     half = -(F.ln("p_chi") + F.ln("p_runs") + F.ln("p_serial"))
     fisher = F.exp(-half) * (1 + half + half * half / 2)
-    return rows.withColumn("p", clamp(fisher)).drop("body", "alphabet", "chi", "bits", "n1", "runs", "codes", "mean", "off")
+    return rows.withColumn("p", clamp(fisher)).drop("alphabet", "chi", "bits", "n1", "runs", "codes", "mean", "off")
+
+
+def letter_counts(docs: DataFrame, text_col: str) -> dict[str, int]:
+    """How often all texts hold each digit and (case folded) each letter."""
+    low = docs.select(F.lower(F.col(text_col)).alias("t"))
+    chars = _DIGITS + _LOWER
+    row = low.agg(*[F.sum(F.octet_length("t") - F.octet_length(F.replace("t", F.lit(c), F.lit("")))).alias(f"c{i}") for i, c in enumerate(chars)]).first()
+    return {c: row[i] or 0 for i, c in enumerate(chars)}
+
+
+def ordinary(tested: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """Adds ``p_letters``, ``p_changes`` and their joint ``p_ordinary`` to rows of ``battery``.
+
+    The sum of squared letter counts of a body is compared with what letters drawn by ``counts`` give
+    (mean and variance of a multinomial); the count of class changes with a binomial.
+    """
+    n = F.col("n").cast("double")
+    moments = {}
+    for name, _, alphabet in ENCODINGS:
+        kept = [counts.get(c, 0) for c in sorted(set(alphabet.lower()))]
+        total = sum(kept)
+        share = [c / total for c in kept] if total else [1 / len(kept)] * len(kept)
+        moments[name] = (sum(x**2 for x in share), sum(x**3 for x in share), CHANGES.get(name, CHANGES_ONE_CASE))
+    of = lambda i: F.coalesce(*[F.when(F.col("encoding") == name, F.lit(m[i])) for name, m in moments.items()])
+    rows = tested.withColumn("s2", of(0)).withColumn("s3", of(1)).withColumn("rate", of(2)).withColumn("low", F.lower("body"))
+    s2, s3, rate = F.col("s2"), F.col("s3"), F.col("rate")
+    squares = F.aggregate(F.split(F.lit(_DIGITS + _LOWER), ""), F.lit(0.0), lambda a, c: F.when(c == "", a).otherwise(a + F.pow(F.length("low") - F.length(F.replace(F.col("low"), c, F.lit(""))), F.lit(2.0))))
+    mean = n + n * (n - 1) * s2
+    var = 2 * n * (n - 1) * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2)
+    z_letters = F.when(var > 1e-9, (mean - squares) / F.sqrt(var)).otherwise(F.lit(0.0))
+    classes = F.call_function("translate", F.col("body"), F.lit(_DIGITS + _UPPER + _LOWER), F.lit("0" * 10 + "1" * 26 + "2" * 26))
+    changes = F.size(F.regexp_extract_all(classes, F.lit("0+|1+|2+"), F.lit(0))) - 1
+    z_changes = (changes - 0.5 - (n - 1) * rate) / F.sqrt((n - 1) * rate * (1 - rate))
+    clamp = lambda c: F.greatest(F.least(c, F.lit(1.0)), F.lit(1e-300))
+    rows = rows.withColumn("p_letters", clamp(_upper_p(z_letters))).withColumn("p_changes", clamp(_upper_p(z_changes)))
+    half = -(F.ln("p_letters") + F.ln("p_changes"))
+    return rows.withColumn("p_ordinary", clamp(F.exp(-half) * (1 + half))).drop("s2", "s3", "rate", "low")
 
 
 def thresholds(tested: DataFrame) -> DataFrame:
-    """``(band, cut)``: candidates of a band with step >= cut are structured (Benjamini-Hochberg)."""
+    """``(band, cut)``: candidates of a band with step >= cut are not ordinary (Benjamini-Hochberg).
+
+    A step is minus ten times the logarithm of p, rounded down: the step-up's p is never too small.
+    """
     table = tested.groupBy("band", "step").agg(F.count("*").alias("c"))
     by = Window.partitionBy("band")
     down = by.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -125,19 +180,24 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).select("doc_id", base_spans(F.col("t")).alias("base"), matches(F.col("t"), CANDIDATE, F.col("t").rlike(CANDIDATE)).alias("c"))
-    fresh = F.filter("c", lambda x: ~overlaps(F.col("base"), x["start"], x["end"]))
-    scan = cut(rows.select("doc_id", "base", fresh.alias("c"), F.monotonically_increasing_id().alias("row")))
-    one = scan.select("row", F.explode("c").alias("x")).select("row", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.m").alias("token"))
-    tested = battery(one)
-    band = F.concat_ws("/", "encoding", F.floor(F.log2(F.col("n"))).cast("string"))
-    tested = tested.withColumn("band", band).withColumn("step", F.least(F.floor(-10 * F.log10("p")), F.lit(STEPS)).cast("int"))
-    tested = cut(tested.select("row", "start", "end", "token", "k", "n", "band", "step"))
-    # one row per band: eight encodings and the logarithms of lengths bound this table
-    judged = tested.join(F.broadcast(thresholds(tested)), "band", "left").filter(F.col("cut").isNull() | (F.col("step") < F.col("cut")))
-    mixed = F.col("token").rlike("[0-9]") & F.col("token").rlike("[A-Za-z]")
-    random = judged.filter((F.col("n") * F.log2("k") >= LEAST_BITS) & mixed)
-    more = random.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end")).alias("more"))
-    out = scan.join(more, "row", "left")
+    fresh = bound(blocked(F.col("base")), lambda base: F.filter("c", lambda x: ~overlaps(base, x["start"], x["end"])))
+    # only candidates with a letter and a digit can be secrets: words and numbers are not tested
+    mixed = F.filter(fresh, lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]"))
+    scan = cut(rows.select("doc_id", "base", F.when(F.size("c") > 0, mixed).alias("c"), F.monotonically_increasing_id().alias("row")))
+    one = cut(scan.select("row", F.explode("c").alias("x")).select("row", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.m").alias("token")))
+    none = F.lit(None).cast(SPANS).alias("more")
+    if one.limit(1).count():
+        tested = ordinary(battery(one), letter_counts(docs, text_col))
+        tested = tested.filter((F.col("n") * F.log2("k") >= LEAST_BITS) & F.col("body").rlike("[0-9]") & F.col("body").rlike("[A-Za-z]"))
+        band = F.concat_ws("/", "encoding", F.floor(F.log2(F.col("n"))).cast("string"))
+        tested = tested.withColumn("band", band).withColumn("step", F.least(F.floor(-10 * F.log10("p_ordinary")), F.lit(STEPS)).cast("int"))
+        tested = cut(tested.select("row", "start", "end", "band", "step", "p"))
+        # one row per band: six encodings and the logarithms of lengths bound this table
+        random = tested.join(F.broadcast(thresholds(tested)), "band").filter((F.col("step") >= F.col("cut")) & (F.col("p") >= ALPHA))
+        more = random.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end")).alias("more"))
+        out = scan.join(more, "row", "left")
+    else:
+        out = scan.select("*", none)
     spans = F.array_sort(F.concat("base", F.coalesce(F.col("more"), F.array().cast(SPANS))))
     counts = [count_kind(F.col("base"), i).alias(f"n_{KINDS[i]}") for i in range(3)]
     return out.select(F.col("doc_id").alias(id_col), *counts, "base", spans.alias("spans"))

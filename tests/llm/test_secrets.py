@@ -56,6 +56,70 @@ def test_base_equals_brute_force(spark):
     assert S.find_secrets(df.limit(0)).count() == 0
 
 
+def keys(rng):
+    """(kind, random key): the kinds of keys that no base pattern takes."""
+    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    h = draw(dig + "abcdef", 32)
+    return [
+        ("prefixed", "ghp_" + draw(low + up + dig, 36)),
+        ("two prefixes", "sk_live_" + draw(low + up + dig, 32)),
+        ("uuid", f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}"),
+        ("base32", draw(up + "234567", 32)),
+        ("base64", draw(low + up + dig + "+/", 40)),
+        ("base64url", draw(low + up + dig + "-_", 43)),
+        ("slack", f"xoxb-{draw(dig, 12)}-{draw(low + up + dig, 28)}"),
+        ("lower", draw(low + dig, 40)),
+        ("HEX", draw(dig + "ABCDEF", 32)),
+    ]
+
+
+def ordinary_tokens(rng, words):
+    w = lambda: rng.choice(words)
+    return [
+        "get" + "".join(w().capitalize() for _ in range(5)) + str(rng.randrange(10)),
+        f"usr/share/{w()}/{w()}{rng.randrange(20)}/{w()}/{w()}",
+        f"2024-0{rng.randrange(1, 9)}-{rng.randrange(10, 29)}-how-to-{w()}-{w()}-on-{w()}",
+        f"{w()}_{w()}_{w()}_{w()}_{rng.randrange(100)}_{w()}".upper(),
+        f"{w()}{w()}{w()}{w()}{w()}{rng.randrange(1000)}",
+        f"{w().capitalize()}{w().capitalize()}{w().capitalize()}{w().capitalize()}V{rng.randrange(9)}x64Setup",
+    ]
+
+
+def test_recall_and_precision_of_added_spans(spark):
+    """Of 900 random keys of nine kinds at least 0.9 are found, and of what is found at least 0.95 are keys."""
+    rng = random.Random(21)
+    words = ["river", "stone", "account", "window", "server", "reader", "garden", "market", "number", "letter", "station", "history", "picture", "question", "children", "mountain", "problem", "music", "paper", "other"]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows, where, kind_of = [], {}, {}
+    for i in range(100):
+        for kind, key in keys(rng):
+            text = f"{prose(6)} é {key} {prose(4)}"
+            where[len(rows)], kind_of[len(rows)] = (text.index(key), text.index(key) + len(key)), kind
+            rows.append((len(rows), text))
+        for token in ordinary_tokens(rng, words) * 2:
+            rows.append((len(rows), f"{prose(5)} {token} {prose(5)}"))
+    found = {}
+    for r in S.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found |= {(r.doc_id, x.start, x.end): 1 for x in r.spans if x.kind == 3}
+    right = {d for d, s, e in found if d in where and s <= where[d][0] + 5 and e >= where[d][1] - 2}
+    by_kind = {k: sum(kind_of[d] == k for d in right) for k in dict.fromkeys(kind_of.values())}
+    assert len(right) >= 0.9 * 900 and len(right) >= 0.95 * len(found), by_kind
+
+
+def test_short_and_ordinary_strings_are_no_secrets(spark):
+    rows = [(0, "usr/share/doc/python3/examples/index2"), (1, "theSmallRiverRunsPastOld13Stones"), (2, "id-2024-11-28-23-59-59-000001"), (3, "abcdefghijklmnopqrst1"), (4, "-" * 40 + " " + "_" * 20)]
+    got = S.find_secrets(spark.createDataFrame(rows + [(9, "blue sky of the river stone " * 50)], "doc_id long, text string")).collect()
+    assert not [r.doc_id for r in got if any(x.kind == 3 for x in r.spans)]
+
+
+def test_letter_counts_equal_brute_force(spark):
+    made = [t for t in texts() if t] + ["ÄÖ日本 Zz9"]
+    got = S.letter_counts(spark.createDataFrame(list(enumerate(made)) + [(99, None)], "doc_id long, text string"), "text")
+    low = "".join(made).lower()
+    assert got == {c: low.count(c) for c in got} and len(got) == 36
+
+
 def test_battery_tells_random_from_structured(spark):
     rng = random.Random(1)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
