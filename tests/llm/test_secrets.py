@@ -134,7 +134,12 @@ def test_battery_tells_random_from_structured(spark):
     # p is about uniform for random strings and small for others
     assert 0.2 < sum(p < 0.5 for p in true) / len(true) < 0.75
     assert sum(p < 0.01 for p in true) / len(true) < 0.05
-    assert sum(r.p < 0.001 for r in tested if not r.random) > 195
+    # what alternates or repeats is told by randomness, what is written in words by its letters
+    assert sum(r.p < 0.001 for r in tested if not r.random and "path" not in r.token) == 101
+    english = dict(zip("etaoinshrdlcumwfgypbvkjxqz", [127, 91, 82, 75, 70, 67, 63, 61, 60, 43, 40, 28, 28, 24, 24, 22, 20, 20, 19, 15, 10, 8, 2, 2, 1, 1]))
+    scored = S.ordinary(S.battery(df), english).collect()
+    assert all(r.p_ordinary > 0.05 for r in scored if "path" in r.token)
+    assert sum(r.p_ordinary < 0.05 for r in scored if r.random) > 500
 
 
 def test_step_up_equals_a_sort(spark):
