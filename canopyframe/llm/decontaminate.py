@@ -4,10 +4,12 @@ A text's words are the runs of ASCII letters, digits and non-ASCII characters af
 lower-cased. A window is ``n`` consecutive words of an item; an item of fewer words is one window.
 Windows are held as tuples of word numbers under their hash, so a hit is verified by equality.
 
-Scale. The index goes to executors once, as a broadcast. Its size is checked first: items are dealt
-into blocks of at most ``BLOCK_BYTES`` of text, and with more than one block the documents are
-scanned against one block after the other (a stated query set against all rows, in blocks). Only
-texts go to Python; nothing is shuffled.
+Scale. The index goes to executors as a broadcast. Its size is checked first: items are dealt into
+blocks of about ``BLOCK_BYTES`` of text (a longer item is cut into overlapping parts), and with more
+than one block the documents are scanned against one block after the other (a stated query set against
+all rows, in blocks): a block's hits, keyed by their text's digest, are checkpointed and its broadcast
+is destroyed before the next block is fetched, so driver and workers hold one block at a time. With a
+single block nothing is shuffled; with several, hits are small and meet the documents in one join.
 """
 
 from __future__ import annotations
@@ -20,18 +22,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from canopyframe.llm.textio import byte_slices
+from canopyframe.plans.lineage import cut
 
 WINDOW = 10
-#: Most bytes of item text in one broadcast index (an index takes some forty times its text).
+#: Bytes of item text in one broadcast index, about (an index takes some forty times its text).
 BLOCK_BYTES = 4_000_000
 
 _KEEP = bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _KEEP else 0x20 for c in range(256))
 #: The same words in a text whose case is as written, for offsets.
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-RESULT = "struct<n_words:bigint,hits:array<struct<first:bigint,last:bigint>>,items:array<bigint>,chars:array<struct<start:bigint,end:bigint>>>"
+RESULT = "struct<n_words:bigint,hits:array<struct<first:bigint,last:bigint>>,items:array<{item}>,chars:array<struct<start:bigint,end:bigint>>>"
 
 
 def normal_words(text: bytes) -> list[bytes]:
@@ -42,7 +47,7 @@ def normal_words(text: bytes) -> list[bytes]:
 class WindowIndex:
     """Word numbers, and for each window length the windows with their items."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], n: int = WINDOW):
+    def __init__(self, items: list[tuple[object, str | None]], n: int = WINDOW):
         self.number: dict[bytes, int] = {}
         self.windows: dict[int, dict[bytes, tuple]] = {}
         for item, text in items:
@@ -89,10 +94,11 @@ def _struct(name: tuple[str, str], lists: list[list[tuple[int, int]]]) -> pa.Arr
     return pa.array([[dict(zip(name, x)) for x in row] for row in lists], kind)
 
 
-def _scan_column(text: Column, index) -> Column:
-    """``index`` is a Spark broadcast of a WindowIndex."""
+def _scan_column(text: Column, index, kind: DataType) -> Column:
+    """``index`` is a Spark broadcast of a WindowIndex, ``kind`` the item ids' type."""
+    of_items = pa.list_(to_arrow_type(kind))
 
-    @F.arrow_udf(RESULT)
+    @F.arrow_udf(RESULT.format(item=kind.simpleString()))
     def kernel(texts: pa.Array) -> pa.Array:
         counts, hits, items, chars = [], [], [], []
         for part in byte_slices(texts):
@@ -103,25 +109,56 @@ def _scan_column(text: Column, index) -> Column:
                 hits.append(found)
                 items.append(which)
                 chars.append(_char_spans(x, found) if found else [])
-        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), _struct(("first", "last"), hits), pa.array(items, pa.list_(pa.int64())), _struct(("start", "end"), chars)], ["n_words", "hits", "items", "chars"])
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), _struct(("first", "last"), hits), pa.array(items, of_items), _struct(("start", "end"), chars)], ["n_words", "hits", "items", "chars"])
 
     return kernel(text)
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_BYTES) -> tuple[int, Callable[[int], list]]:
-    """Number of blocks, and how to fetch one: items by hash, each block about ``most`` bytes at most."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    total = items.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
-    n = max(1, -(-2 * total // most)) if total > most else 1
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return n, lambda k: [(r.i, r.t) for r in items.filter(part == k).collect()]
+def item_parts(benchmark: DataFrame, id_col: str, text_col: str, most: int, n: int) -> DataFrame:
+    """``(i, t)``: items; one of over ``most`` bytes as parts of its words that hold each window once."""
+    items = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    step = max(n, most // 8)  # words of a part
+    low = F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_extract_all(low, F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0)), F.lit(step))
+    parts = F.transform(starts, lambda at: F.array_join(F.slice("w", at + 1, F.lit(step + n - 1)), " "))
+    long = items.filter(F.octet_length("t") > most).select("i", words.alias("w")).select("i", F.explode(parts).alias("t"))
+    return items.filter(F.coalesce(F.octet_length("t") <= most, F.lit(True))).unionByName(long)
 
 
-def scan_columns(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[Column]:
-    """One result struct per block of items, for use in a single pass over ``docs``."""
-    blocks, fetch = item_blocks(benchmark, item_col, item_text, block_bytes)
-    spark = docs.sparkSession
-    return [_scan_column(docs[text_col], spark.sparkContext.broadcast(WindowIndex(fetch(k), n))) for k in range(blocks)]
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_BYTES, n: int = WINDOW) -> tuple[int, Callable[[int], list]]:
+    """Number of blocks, and how to fetch one: items by hash, each block of about half ``most`` bytes."""
+    items = item_parts(benchmark, id_col, text_col, most, n)
+    total = items.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
+    count = max(1, -(-2 * total // most)) if total > most else 1
+    part = F.pmod(F.xxhash64("i", "t"), F.lit(count))
+    return count, lambda k: [(r.i, r.t) for r in items.filter(part == k).collect()]
+
+
+def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, n: int, block_bytes: int, columns: dict[str, Column]) -> DataFrame:
+    """``columns`` of docs beside ``n_words, hits, items, chars`` of their text over all blocks."""
+    count, fetch = item_blocks(benchmark, item_col, item_text, block_bytes, n)
+    kind = benchmark.schema[item_col].dataType
+    context = docs.sparkSession.sparkContext
+    own = [c.alias(name) for name, c in columns.items()]
+    text = docs.select(docs[text_col].alias("t"))
+    if count == 1:
+        return docs.select(*own, _scan_column(docs[text_col], context.broadcast(WindowIndex(fetch(0), n)), kind).alias("r")).select(*columns, "r.*")
+    found = None
+    for k in range(count):
+        index = context.broadcast(WindowIndex(fetch(k), n))
+        rows = text.select(F.sha2("t", 256).alias("key"), _scan_column(F.col("t"), index, kind).alias("r")).filter(F.size("r.hits") > 0)
+        rows = cut(rows.select("key", F.col("r.hits").alias("hits"), F.col("r.items").alias("items"), F.col("r.chars").alias("chars")).dropDuplicates(["key"]))
+        index.destroy()
+        found = rows if found is None else found.unionByName(rows)
+    flat = lambda name: F.flatten(F.collect_list(name))
+    merged = found.groupBy("key").agg(flat("hits").alias("hits"), flat("items").alias("items"), flat("chars").alias("chars"))
+    merged = merged.select("key", _merged(F.col("hits"), "first", "last", 1).alias("hits"), F.array_sort(F.array_distinct("items")).alias("items"), _merged(F.col("chars"), "start", "end", 0).alias("chars"))
+    none = context.broadcast(WindowIndex([], n))
+    rows = docs.select(F.struct(*own).alias("own"), F.sha2(docs[text_col], 256).alias("key"), _scan_column(docs[text_col], none, kind)["n_words"].alias("n_words"))
+    rows = rows.join(merged, "key", "left")
+    empty = lambda name: F.coalesce(F.col(name), F.array().cast(merged.schema[name].dataType)).alias(name)
+    return rows.select(*[F.col("own")[c].alias(c) for c in columns], "n_words", empty("hits"), empty("items"), empty("chars"))
 
 
 def _merged(spans: Column, first: str, last: str, touch: int) -> Column:
@@ -144,17 +181,9 @@ def flag_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     makes hits but is not listed. Repeated rows stay, repeated items count once by id. Empty tables
     give an empty result, or no hits. Other columns are not looked at. Texts are scanned whole.
     """
-    found = scan_columns(docs, benchmark, text_col, item_col, item_text, n, block_bytes)
-    rows = docs.select(F.col(id_col), F.array(*found).alias("r"))
-    if len(found) == 1:
-        hits, items, chars = F.col("r")[0]["hits"], F.col("r")[0]["items"], F.col("r")[0]["chars"]
-    else:
-        flat = lambda name: F.flatten(F.transform("r", lambda x: x[name]))
-        hits, chars = _merged(flat("hits"), "first", "last", 1), _merged(flat("chars"), "start", "end", 0)
-        items = F.array_sort(F.array_distinct(flat("items")))
+    rows = scanned(docs, benchmark, text_col, item_col, item_text, n, block_bytes, {"id": docs[id_col]})
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1)
-    rows = rows.select(id_col, F.col("r")[0]["n_words"].alias("n_words"), hits.alias("hits"), items.alias("items"), chars.alias("spans"))
-    return rows.select(id_col, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", (n_hit > 0).alias("contaminated"))
+    return rows.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.col("chars").alias("spans"), (n_hit > 0).alias("contaminated"))
 
 
 def _without(text: Column, spans: Column) -> Column:
@@ -168,14 +197,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "drop", tex
     """``docs`` with its own columns, less contaminated rows (``drop``) or hit spans (``spans``)."""
     if mode not in ("drop", "spans"):
         raise ValueError("mode is 'drop' or 'spans'")
-    found = scan_columns(docs, benchmark, text_col, item_col, item_text, n, block_bytes)
-    rows = docs.select("*", F.array(*found).alias("__scan"))
+    # the document's columns ride in a struct, so that no name of theirs can clash
+    row = F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns])
+    rows = scanned(docs, benchmark, text_col, item_col, item_text, n, block_bytes, {"row": row})
     if mode == "drop":
-        return rows.filter(~F.exists("__scan", lambda x: F.size(x["hits"]) > 0)).drop("__scan")
-    chars = _merged(F.flatten(F.transform("__scan", lambda x: x["chars"])), "start", "end", 0)
-    rows = rows.withColumn("__scan", chars)
-    clean = F.when(F.size("__scan") > 0, _without(F.col(text_col), F.col("__scan"))).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, clean).drop("__scan")
+        return rows.filter(F.size("hits") == 0).select("row.*")
+    own = F.col("row")[text_col]
+    clean = F.when(F.size("chars") > 0, _without(own, F.col("chars"))).otherwise(own)
+    return rows.select(*[clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def digest(items: Column) -> Column:
