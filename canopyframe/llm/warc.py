@@ -1,19 +1,23 @@
 """Content-addressed web archive.
 
-A page becomes a WARC/1.1 record. Payload bytes are stored once, under their SHA-256; the exact
-header bytes of each record are stored apart, with that digest. Reading joins the two tables, checks
-each payload against its digest and gives back the records' bytes.
-
-Scale. Digests are counted first; only those that several pages share matter to the rest. Up to
-``BROADCAST_DIGESTS`` of them are broadcast, and payloads then go from the scan to the store without
-a shuffle; with more, the same join shuffles. A third of all pages with the same bytes is a row per
-task. Reading joins small header rows with payloads by digest; a hot digest's header rows are split
-by AQE's skew join. Both tables are written as Parquet by Spark's committer.
+A page becomes a WARC/1.1 record: a response whose block is an HTTP head and the payload, or a revisit
+whose block is the HTTP head alone. Payload bytes are stored once, under their SHA-256; the exact bytes
+of each record's header and HTTP head are stored apart, with that digest. Reading joins the two
+tables, checks each payload against its digest and gives back the records' bytes.
+
+Scale. Digests are counted first, on rows without payload. A bitmap over hashed digests that several
+pages share (``bitmap_construct_agg``: at most ``FILTER_BITS`` bits, in rows of four kilobytes, so its
+broadcast is bounded at any size of input) splits the pages: one whose bit is not set shares its
+payload with no other and goes from the scan to the store without a shuffle, which holds for all but a
+share of about ``1 / SPARE`` of unshared payloads; the rest meet the shared digests in a join, which
+keeps one row of each. Reading joins small header rows with payloads by digest; a hot digest's header
+rows are split by AQE's skew join. Both tables are written as Parquet by Spark's committer.
 """
 
 from __future__ import annotations
 
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,42 +26,81 @@ from canopyframe.plans.lineage import cut, ensure_checkpoint_dir
 
 #: Payloads of fewer bytes are never referred to.
 LEAST_REVISIT = 100
-#: Most digests (of some hundred bytes each) in a broadcast.
-BROADCAST_DIGESTS = 200_000
+#: Bits of a filter for each digest in it, about, and the most bits of one (64 MB).
+SPARE = 16
+FILTER_BITS = 2**29
+ROW_BITS = 32_768  # of one row of bitmap_construct_agg
 CRLF = "\r\n"
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_REVISIT) -> tuple[DataFrame, DataFrame]:
-    """``headers (page_id, header, payload_digest)`` and ``payloads (payload_digest, payload)``."""
+def _bit(digest: Column, rows: int) -> tuple[Column, Column]:
+    """Row and place in it of a digest's bit in a filter of so many rows."""
+    at = F.pmod(F.xxhash64(digest), F.lit(rows * ROW_BITS))
+    return F.floor(at / ROW_BITS).cast("int"), (at % ROW_BITS).cast("int")
+
+
+def digest_filter(digests: DataFrame, most: int = FILTER_BITS) -> tuple[DataFrame, int]:
+    """``(slot, bits)`` and the number of rows: a bitmap of the hashed ``digest`` column."""
+    rows = max(1, min(most, digests.count() * SPARE) // ROW_BITS)
+    slot, bit = _bit(F.col("digest"), rows)
+    return digests.select(slot.alias("slot"), bit.cast("long").alias("bit")).groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bits")), rows
+
+
+def in_filter(bits: Column, digest: Column, rows: int) -> Column:
+    """Whether a digest's bit is set in its slot's ``bits``; a slot without a row has none."""
+    bit = _bit(digest, rows)[1]
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, bit % 8) == 1, F.lit(False))
+
+
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_REVISIT, date: str | Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """``headers (page_id, header, http, payload_digest)`` and ``payloads (payload_digest, payload)``.
+
+    ``date`` is the capture time, a timestamp column or a text as WARC-Date has it; the present if not given.
+    """
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
-    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    base = base.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload").cast("long"))
-    twice = base.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    twice = cut(twice.withColumnRenamed("payload_digest", "digest"))
-    if twice.count() <= BROADCAST_DIGESTS:
-        twice = F.broadcast(twice)
-    base = base.join(twice, F.col("payload_digest") == F.col("digest"), "left").drop("digest")
-    single = F.col("copies").isNull()
-    held = base.filter(~single & F.col("page_id").eqNullSafe(F.col("first"))).dropDuplicates(["payload_digest"])
-    payloads = base.filter(single).unionByName(held).select("payload_digest", "payload")
-    slim = base.select("page_id", "url", "payload_digest", "n", F.when(F.col("n") >= least, F.col("first")).alias("first"))
-    revisit = F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull())
+    if isinstance(date, Column):
+        when = F.date_format(date, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    else:
+        when = F.lit(date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
+    slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), when.alias("date"), F.sha2(payload, 256).alias("payload_digest"), F.octet_length(payload).cast("long").alias("n"))
+    # rows are numbered once and for all, since a page id may stand in several of them
+    slim = cut(slim.withColumn("row", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row"))
+    shared = slim.groupBy("payload_digest").agg(first.alias("m"), F.count("*").alias("copies")).filter("copies > 1")
+    shared = cut(shared.select(F.col("payload_digest").alias("digest"), F.col("m.page_id").alias("first"), F.col("m.row").alias("first_row")))
+
+    base = pages.select(F.sha2(payload, 256).alias("payload_digest"), payload.alias("payload"))
+    marks, rows = digest_filter(shared.select("digest"))
+    slot = _bit(F.col("payload_digest"), rows)[0]
+    met = base.withColumn("slot", slot).join(F.broadcast(marks), "slot", "left")
+    may = in_filter(F.col("bits"), F.col("payload_digest"), rows)
+    sure = met.filter(~may).select("payload_digest", "payload")
+    # equal payloads are one row of each task before they are shuffled, and one row after
+    doubtful = met.filter(may).groupBy("payload_digest").agg(F.any_value("payload").alias("payload"))
+    payloads = sure.unionByName(doubtful)
+
+    slim = slim.join(shared, F.col("payload_digest") == F.col("digest"), "left")
+    revisit = (F.col("n") >= least) & F.col("first_row").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))).otherwise(F.lit(""))
     # header values are single lines: line ends in a URL are percent-encoded
     url = F.regexp_replace(F.regexp_replace(F.col("url"), "\r", "%0D"), "\n", "%0A")
-    urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
+    urn = lambda page, row: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), row.cast("string"), F.lit(">"))
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(2 * CRLF))
     header = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", urn(F.col("page_id"))),
-        line("WARC-Target-URI", url),
+        line("WARC-Record-ID", urn(F.col("page_id"), F.col("row"))),
+        line("WARC-Date", F.coalesce("date", F.lit("1970-01-01T00:00:00Z"))),
+        line("WARC-Target-URI", F.coalesce(url, F.lit("urn:page:unknown"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
-        line("WARC-Refers-To", F.when(revisit, urn(F.col("first")))),
+        line("WARC-Refers-To", F.when(revisit, urn(F.col("first"), F.col("first_row")))),
         line("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-        line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("n").cast("string"))),
+        line("Content-Type", F.lit("application/http; msgtype=response")),
+        line("Content-Length", (F.length(http) + F.when(revisit, 0).otherwise(F.col("n"))).cast("string")),
         F.lit(CRLF),
     )
-    return slim.select("page_id", F.encode(header, "UTF-8").alias("header"), "payload_digest"), payloads
+    return slim.select("page_id", F.encode(header, "UTF-8").alias("header"), F.encode(http, "UTF-8").alias("http"), "payload_digest"), payloads
 
 
 def write_archive(pages: DataFrame, folder: str, **columns) -> str:
@@ -77,8 +120,8 @@ def field(header: Column, name: str) -> Column:
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """Records by join: ``page_id, header, payload, record`` and the parsed header fields.
 
-    ``record`` is the record's exact bytes (header, block, two line ends; a revisit's block is empty)
-    and ``payload`` the full payload, for revisits too. A payload that its digest does not confirm
+    ``record`` is the record's exact bytes (header, block, two line ends; a revisit's block is its
+    HTTP head) and ``payload`` the full payload, for revisits too. A payload that its digest does not confirm
     stops the read, as does a header whose payload is missing.
     """
     headers = spark.read.parquet(f"{folder}/headers")
@@ -87,10 +130,10 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     rows = headers.join(stored.select("payload_digest", sound.alias("payload")), "payload_digest", "left")
     text = F.decode("header", "UTF-8")
     payload = F.coalesce("payload", F.raise_error(F.concat(F.lit("payload is missing: "), "payload_digest")).cast("binary"))
-    rows = rows.select(text.alias("t"), "header", payload.alias("payload"))
+    rows = rows.select(text.alias("t"), "header", "http", payload.alias("payload"))
     kind = field(F.col("t"), "WARC-Type")
-    page = lambda name: F.regexp_extract(F.coalesce(field(F.col("t"), name), F.lit("")), "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
-    block = F.when(kind == "revisit", F.lit(b"")).otherwise(F.col("payload"))
+    page = lambda name: F.regexp_extract(F.coalesce(field(F.col("t"), name), F.lit("")), "^<urn:page:(-?[0-9]+):[0-9]+>$", 1).try_cast("long")
+    block = F.when(kind == "revisit", F.col("http")).otherwise(F.concat("http", "payload"))
     return rows.select(
         page("WARC-Record-ID").alias("page_id"),
         "header",
@@ -107,10 +150,11 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
 def archive_and_read(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
     """Writes ``pages`` as an archive and reads it back, a row per page as ``read_archive`` gives it.
 
-    A null payload counts as empty and so is a response. Rows with a null id have no record id line;
-    beside an equal payload with an id they are revisits. Repeated rows make a record each, and the
-    repeats of a response's own id are responses. A null URL has no line. Other columns are not looked
-    at. An empty table gives an empty archive. Payloads are kept whole.
+    A null payload counts as empty and so is a response. A record id is made of the page id and the
+    row's number, so that repeated rows, which make a record each, differ in it. Rows with a null id are
+    revisits beside an equal payload with an id. The repeats of a response's own id are responses. A
+    null URL reads ``urn:page:unknown``. Other columns are not looked at. An empty table gives an empty
+    archive. Payloads are kept whole.
     """
     spark = pages.sparkSession
     folder = folder or f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
