@@ -52,9 +52,12 @@ def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the table has no paths: a source is a tree, with a directory for each language and hundred ids
-    path = F.concat_ws("/", "source", "lang", F.expr("cast(doc_id div 100 as string)"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"), path=path, opening_speaks=True)
+    # the table has no paths: a source is a tree, with a directory for each language and, in it, for each
+    # hundred ids; every third document lies in each of the three depths
+    depth = F.pmod(F.col("doc_id"), F.lit(3))
+    folder = F.when(depth > 0, F.col("lang")), F.when(depth > 1, F.expr("cast(doc_id div 100 as string)"))
+    path = F.concat_ws("/", "source", *folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), path=path, notice_speaks=True)
 
 
 QUERIES = {
