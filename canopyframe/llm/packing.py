@@ -5,17 +5,18 @@ whole sequences, which need no packing; its first piece, like every shorter docu
 
 Scale. Python sees texts only to count and check-sum their ids; then a piece is a row of numbers.
 Pieces are dealt by hash into groups of about ``GROUP`` pieces whatever the input (so any group fits
-one task), and each group is packed by best fit decreasing and local search. A group leaves at most
-a sequence or so unfilled among its thousands, the same share at every size.
+one task), and each group is packed by best fit decreasing and local search. What a group leaves
+unfilled depends on its lengths alone, so it is the same share at every size: next to nothing where
+there are short pieces, more where hardly two pieces fit together.
 """
 
 from __future__ import annotations
 
-import base64
 import json
 import re
 import zlib
 from array import array
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,54 +29,56 @@ from canopyframe.plans.lineage import cut
 CAPACITY = 2048
 #: Pieces that one task packs, about.
 GROUP = 16_384
-#: Bins of more items give back single items only, not pairs: small items seldom need a pair.
-PAIRED = 12
 #: The id that ends a document.
 END = 0
-VOCABULARY = "byte_bpe_50k.tiktoken"
-JSON_FORM = "byte_bpe_50k.json"
+VOCABULARY = "byte_bpe_50k.json"
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
+#: White space too long for the fast encoder's splitter, whose stack is bounded.
+LONG_SPACE = r"\s{5000}"
 
-def load_encoder(vocabulary: str | None = None):
-    """Byte-level BPE of a ranks file; gives the JSON form's ids for texts that ``needs_json`` does not match."""
-    import public_tokenizers
-    import tiktoken
 
-    with open(vocabulary or public_tokenizers.path(VOCABULARY), "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: itself if printable, else 256 and up."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def cut_pieces(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
-    """(piece, start, length, crc32) of a document's ids, of four bytes each."""
-    n = len(ids) // 4
-    first = n % capacity or capacity
-    bounds = [0, *range(first, n + 1, capacity)]
-    return [(k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+class Encoder:
+    """Ids of a byte-level BPE vocabulary in the JSON form of the ``tokenizers`` library.
 
+    Texts go to tiktoken, which is some times faster, with the same vocabulary; those that hold an added
+    token or very long white space, which it treats otherwise, go to the ``tokenizers`` library itself.
+    """
 
-_encoders: dict = {}
-#: White space too long for the ranks form's splitter, whose stack is bounded.
-LONG_SPACE = re.compile(r"\s{5000}")
+    def __init__(self, vocabulary: str | None = None):
+        import public_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
 
+        path = vocabulary or public_tokenizers.path(VOCABULARY)
+        with open(path, encoding="utf-8") as file:
+            form = json.load(file)
+        added = {x["content"] for x in form["added_tokens"]}
+        letters = byte_letters()
+        ranks = {bytes(letters[c] for c in piece): i for piece, i in form["model"]["vocab"].items() if piece not in added}
+        self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.whole = Tokenizer.from_file(path)
+        self.odd = re.compile("|".join([LONG_SPACE, *map(re.escape, sorted(added))]))
 
-def needs_json() -> re.Pattern:
-    """Matches texts that the ranks form may not take: long white space, or a token the JSON form adds."""
-    import public_tokenizers
+    def __call__(self, text: str) -> list[int]:
+        return self.whole.encode(text, add_special_tokens=False).ids if self.odd.search(text) else self.fast(text)
 
-    with open(public_tokenizers.path(JSON_FORM), encoding="utf-8") as file:
-        added = [re.escape(x["content"]) for x in json.load(file)["added_tokens"]]
-    return re.compile("|".join([LONG_SPACE.pattern, *added]))
 
+def cut_pieces(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
+    """(piece, start, length, crc32) of a document's ids, of four bytes each."""
+    n = len(ids) // 4
+    first = n % capacity or capacity
+    bounds = [0, *range(first, n + 1, capacity)]
+    return [(k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
 
-def encode_json(text: str) -> list[int]:
-    """Ids of a text by the JSON form of the vocabulary and its library."""
-    if "json" not in _encoders:
-        import public_tokenizers
-        from tokenizers import Tokenizer
 
-        _encoders["json"] = Tokenizer.from_file(public_tokenizers.path(JSON_FORM))
-    return _encoders["json"].encode(text, add_special_tokens=False).ids
+_encoders: dict[str | None, Encoder] = {}
 
 
 def piece_column(text: Column, capacity: int = CAPACITY, vocabulary: str | None = None) -> Column:
@@ -85,14 +88,11 @@ def piece_column(text: Column, capacity: int = CAPACITY, vocabulary: str | None
     @F.arrow_udf(PIECES)
     def kernel(texts: pa.Array) -> pa.Array:
         if vocabulary not in _encoders:
-            _encoders[vocabulary] = load_encoder(vocabulary)
-        if vocabulary is None and "needs json" not in _encoders:
-            _encoders["needs json"] = needs_json()
-        encode, rows = _encoders[vocabulary].encode_ordinary, []
+            _encoders[vocabulary] = Encoder(vocabulary)
+        encode, rows = _encoders[vocabulary], []
         for at in range(0, len(texts), SLICE_ROWS):
             for x in texts.slice(at, SLICE_ROWS).to_pylist():
-                ids = encode_json(x) if x and vocabulary is None and _encoders["needs json"].search(x) else encode(x or "")
-                rows.append(cut_pieces(array("I", ids).tobytes() + end, capacity))
+                rows.append(cut_pieces(array("I", encode(x or "")).tobytes() + end, capacity))
         flat = [x for r in rows for x in r]
         columns = list(zip(*flat)) or [(), (), (), ()]
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -125,61 +125,105 @@ def best_fit(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
+class _Backs:
+    """What bins can give back in an exchange: one row for each item of a bin (or pair) of distinct size."""
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], pairs: bool):
+        self.bins, self.sizes, self.pairs = bins, sizes, pairs
+        self.age = np.zeros(len(bins), np.int64)  # rows of an earlier age than their bin's are void
+        self._fill(range(len(bins)))
+
+    def _rows(self, b: int) -> list[tuple[int, int, int, int, int]]:
+        """(bin, age, size, item, other item or -1)"""
+        age, one, two = int(self.age[b]), {}, {}
+        for i in self.bins[b]:
+            if self.sizes[i] in one:
+                two.setdefault(self.sizes[i], i)
+            one.setdefault(self.sizes[i], i)
+        if not self.pairs:
+            return [(b, age, x, i, -1) for x, i in one.items()]
+        sums = {x + y: (i, j) for (x, i), (y, j) in combinations(one.items(), 2)}
+        sums |= {2 * x: (one[x], j) for x, j in two.items()}
+        return [(b, age, x, i, j) for x, (i, j) in sums.items()]
+
+    def _fill(self, which) -> None:
+        self.n, rows = 0, np.array([r for b in which for r in self._rows(b)], np.int64).reshape(-1, 5)
+        self.table = np.zeros((2 * len(rows) + 1024, 5), np.int64)
+        self._append(rows)
+
+    def _append(self, rows: np.ndarray) -> None:
+        self.table[self.n : self.n + len(rows)] = rows
+        self.n += len(rows)
+
+    def changed(self, b: int) -> None:
+        self.age[b] += 1
+        rows = np.array(self._rows(b), np.int64).reshape(-1, 5)
+        if self.n + len(rows) > len(self.table):
+            self._fill(range(len(self.bins)))
+        else:
+            self._append(rows)
+
+    def best(self, outs: np.ndarray, giver: int, fill: np.ndarray, capacity: int) -> tuple[int, int, int, tuple[int, ...]]:
+        """(gain, bin, size out, items back) of the best exchange for one of the sorted sizes ``outs``."""
+        owner, age, size = (self.table[: self.n, k] for k in range(3))
+        level = fill[owner]
+        room = capacity - level + size
+        # the gain grows with what is shifted, so of a row's fitting sizes the largest is its best
+        out = outs[np.maximum(np.searchsorted(outs, room, "right") - 1, 0)] if len(outs) > 1 else outs[0]
+        shift = out - size
+        good = (shift > 0) & (out <= room) & (level >= fill[giver]) & (level < capacity) & (owner != giver) & (age == self.age[owner])
+        if not good.any():
+            return 0, -1, 0, ()
+        gain = np.where(good, shift * (level - fill[giver] + shift), 0)
+        k = int(gain.argmax())
+        b, _, back, i, j = self.table[k].tolist()
+        return int(gain[k]), b, back + int(shift[k]), (i,) if j < 0 else (i, j)
+
+
 def local_search(bins: list[list[int]], sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     """Empties bins by moves, one-for-one and two-for-one exchanges between underfull bins.
 
     The emptiest bin gives: each step moves fill from it into a fuller underfull bin, by the step that
     raises the sum of squared fills most, so every step raises that integer sum and the search ends.
-    Rounds over the bins, the emptiest first, go on until a round finds no step; emptied bins go.
+    Rounds over the bins, the emptiest first, go on until a round finds no step; emptied bins go. Items of
+    one size are alike, so each distinct size (and sum of two) of a bin is tried once. A bin is looked at
+    again only after a step elsewhere; each look is a few passes over arrays of what the bins hold.
     """
+    bins = [list(b) for b in bins]
     fill = np.array([sum(sizes[i] for i in b) for b in bins], np.int64)
-    moved = True
-    while moved:
-        moved = False
-        order = [int(b) for b in np.argsort(fill, kind="stable") if 0 < fill[b] < capacity]
-        for giver in order:
-            while bins[giver]:
-                others = np.array([b for b in order if b != giver and fill[giver] <= fill[b] < capacity], np.int64)
-                if not len(others):
-                    break
-                gap = capacity - fill[others]
-                best = (0, None)
-
-                def offer(out: tuple[int, ...], back_size: np.ndarray, back: np.ndarray | None, at: np.ndarray):
-                    """``out`` leaves the giver for bin ``others[at]``, which gives ``back`` in return."""
-                    nonlocal best
-                    shift = sum(sizes[i] for i in out) - back_size
-                    good = np.flatnonzero((shift > 0) & (shift <= gap[at]))
-                    if len(good):
-                        gain = shift[good] * (fill[others[at[good]]] - fill[giver] + shift[good])
-                        k = int(np.argmax(gain))
-                        if gain[k] > best[0]:
-                            g = int(good[k])
-                            best = (int(gain[k]), (out, () if back is None else tuple(np.atleast_1d(back[g]).tolist()), int(others[at[g]])))
-
-                here = np.arange(len(others))
-                single = [(i, k) for k, b in enumerate(others.tolist()) for i in bins[b]]
-                item, owner = np.array([x[0] for x in single]), np.array([x[1] for x in single])
-                size = np.array([sizes[x[0]] for x in single])
-                mine = list({sizes[i]: i for i in bins[giver]}.values())
-                for i in mine:
-                    offer((i,), np.zeros(len(others), np.int64), None, here)
-                if best[1] is None or len(bins[giver]) > 1:
-                    for i in mine:
-                        offer((i,), size, item, owner)
-                    for k, i in enumerate(mine):
-                        for j in mine[k + 1 :]:
-                            offer((i, j), size, item, owner)
-                    pairs = [(a, b, k) for k, x in enumerate(others.tolist()) if len(bins[x]) <= PAIRED for n, a in enumerate(bins[x]) for b in bins[x][n + 1 :]]
-                    if pairs:
-                        two, who = np.array([x[:2] for x in pairs]), np.array([x[2] for x in pairs])
-                        double = np.array([sizes[x[0]] + sizes[x[1]] for x in pairs])
-                        for i in mine:
-                            offer((i,), double, two, who)
-                if best[1] is None:
+    ones, twos = _Backs(bins, sizes, False), _Backs(bins, sizes, True)
+    steps, seen = 0, [-1] * len(bins)
+
+    def step(giver: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
+        """(bin, items out, items back), or None."""
+        one = {sizes[i]: (i,) for i in bins[giver]}
+        two = {2 * sizes[i]: (i, j) for i, j in combinations(bins[giver], 2) if sizes[i] == sizes[j]} if len(one) < len(bins[giver]) else {}
+        two |= {x + y: (i, j) for (x, (i,)), (y, (j,)) in combinations(one.items(), 2)}
+        single, any_out = np.array(sorted(one)), np.array(sorted(one.keys() | two.keys()))
+        gap = np.where((fill >= fill[giver]) & (fill < capacity), capacity - fill, 0)
+        gap[giver] = 0
+        out = single[np.maximum(np.searchsorted(single, gap, "right") - 1, 0)]
+        gain = np.where(out <= gap, out * (fill - fill[giver] + out), 0)
+        b = int(gain.argmax()) if len(gain) else 0
+        best = (int(gain[b]), b, one[int(out[b])], ())
+        if best[0] == 0 or len(bins[giver]) > 1:
+            got, b, size, back = ones.best(any_out, giver, fill, capacity)
+            if got > best[0]:
+                best = (got, b, one.get(size) or two[size], back)
+            got, b, size, back = twos.best(single, giver, fill, capacity)
+            if got > best[0]:
+                best = (got, b, one[size], back)
+        return best[1:] if best[0] else None
+
+    while True:
+        before = steps
+        for giver in np.argsort(fill, kind="stable").tolist():
+            while 0 < fill[giver] < capacity and seen[giver] != steps:
+                found = step(giver)
+                if found is None:
+                    seen[giver] = steps
                     break
-                moved = True
-                out, back, b = best[1]
+                b, out, back = found
                 for i in out:
                     bins[giver].remove(i)
                 for i in back:
@@ -189,7 +233,12 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int = CAPACI
                 shift = sum(sizes[i] for i in out) - sum(sizes[i] for i in back)
                 fill[b] += shift
                 fill[giver] -= shift
-    return [b for b in bins if b]
+                for table in (ones, twos):
+                    table.changed(b)
+                    table.changed(giver)
+                steps += 1
+        if steps == before:
+            return [b for b in bins if b]
 
 
 def _pack_group(capacity: int):
@@ -215,11 +264,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     any other. Other columns are not looked at. An empty table gives an empty result. A very long
     text is cut into as many whole sequences as it fills. Equal lengths are packed in row order.
     """
-    pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), piece_column(F.col(text_col), capacity, vocabulary).alias("p"), F.monotonically_increasing_id().alias("row"))
+    pieces = docs.select(F.col(id_col).alias("doc_id"), piece_column(F.col(text_col), capacity, vocabulary).alias("p"), F.monotonically_increasing_id().alias("row"))
     pieces = cut(pieces.select("doc_id", "row", F.explode("p").alias("p")).select("doc_id", "row", "p.*"))
     whole = pieces.filter(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     part = pieces.filter(F.col("length") < capacity)
     n = max(1, round(part.count() / group))
     dealt = part.withColumn("pack", F.pmod(F.xxhash64("row", "piece"), F.lit(n)).cast("long"))
-    packed = dealt.groupBy("pack").applyInArrow(_pack_group(capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    packed = dealt.groupBy("pack").applyInArrow(_pack_group(capacity), f"doc_id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return whole.unionByName(packed).withColumnRenamed("doc_id", id_col)

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -66,3 +67,48 @@ def test_added_tokens_in_texts_have_their_own_ids(spark):
     for r in rows:
         ids = np.array([*model.encode(texts[r.doc_id], add_special_tokens=False).ids, 0], "<u4")
         assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_search_is_quick_where_little_fits():
+    rng = random.Random(9)
+    for low, high, n, most in ((1025, 1900, 16_384, 10), (600, 1000, 4096, 20), (1, 2047, 4096, 20), (300, 700, 4096, 20)):
+        sizes = [rng.randint(low, high) for _ in range(n)]
+        start = P.best_fit(sizes)
+        began = time.time()
+        end = P.local_search(start, sizes)
+        took = time.time() - began
+        print(low, high, n, len(start), len(end), -(-sum(sizes) // 2048), round(took, 1))
+        assert sorted(i for b in end for i in b) == list(range(n)) and len(end) <= len(start)
+        assert took < most, (low, high, took)
+
+
+def test_equal_sizes_can_leave_as_a_pair_and_large_bins_give_pairs():
+    # 4 + 4 for 7: the giver's two equal items; 7 for 3 + 3 of a bin of many items
+    assert len(P.local_search([[0, 1], [2, 3], [4, 5]], [4, 4, 7, 2, 5, 4], 10)) <= 3
+    sizes = [7, *[1] * 8, 3, 3, 9]
+    end = P.local_search([[0], [*range(1, 9), 9, 10], [11]], sizes, 15)
+    assert len(end) == 2
+
+
+def test_string_ids_and_own_vocabulary(spark, tmp_path):
+    import shutil
+
+    own = shutil.copy(public_tokenizers.path("byte_bpe_50k.json"), tmp_path / "own.json")
+    texts = {"a": "hi <|endoftext|> there", "b": " " * 1_200_000, "c": "plain é 日本 text\n\tx"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    model = Tokenizer.from_file(str(own))
+    for vocabulary in (None, str(own)):
+        got = defaultdict(int)
+        for r in P.pack(df, vocabulary=vocabulary).collect():
+            got[r.doc_id] += r.length
+        assert got == {k: len(model.encode(t, add_special_tokens=False).ids) + 1 for k, t in texts.items()}
+
+
+def test_encoder_equals_the_library_on_any_code_points():
+    rng = random.Random(3)
+    encode, model = P.Encoder(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    near = ["<|endoftext|>", "<|", " ", "\n", "\r\n", "'s", "a", "é", "12", "\u00a0", "\u2028", "\x00", "…"]
+    anywhere = lambda: chr(rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x110000)]))
+    for _ in range(1500):
+        text = "".join(rng.choice(near) if rng.random() < 0.7 else anywhere() for _ in range(30))
+        assert encode(text) == model.encode(text, add_special_tokens=False).ids, repr(text)
