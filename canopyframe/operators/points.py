@@ -71,10 +71,13 @@ def local_fallback(reference: DataFrame, local: DataFrame, by: list[str], thresh
     return rows.select(*key, F.when(F.col("fallback") | F.col("r").isNull(), F.col("l")).otherwise(F.col("r")).alias("ground"), "fallback")
 
 
-def idw_heights(points: DataFrame, by: list[str], k: int = 3, size: float = 0.5, eps: float = 1e-8) -> DataFrame:
-    """``hag`` over the inverse-distance mean of the k nearest ground points."""
+def idw_heights(points: DataFrame, by: list[str], k: int = 3, eps: float = 1e-8) -> DataFrame:
+    """``hag`` over the inverse-distance mean of the k nearest ground points.
+
+    A ground point on the very spot weighs ``1 / eps`` and so settles it; several are taken by id.
+    """
     ground = points.filter(F.col("classification") == GROUND).select(*by, F.col("point_id").alias("ground_id"), "x", "y", "z")
-    near = spatial.nearest(points, ground, by, ["x", "y"], "point_id", "ground_id", k, size, rest=["z"])
+    near = spatial.nearest(points, ground, by, ["x", "y"], "point_id", "ground_id", k, rest=["z"])
     w = 1 / (F.col("d") + eps)
     base = near.groupBy(*by, "point_id").agg((F.sum(w * F.col("t_z")) / F.sum(w)).alias("ground"))
     return points.join(base, [*by, "point_id"]).withColumn("hag", F.col("z") - F.col("ground"))
@@ -157,6 +160,18 @@ def eigen_features(neighbours: DataFrame, by: list[str]) -> DataFrame:
     for n in ("l1", "l2", "l3"):
         g = g.withColumn(n, F.greatest(c(n), F.lit(1e-12)))
     s = c("l1") + c("l2") + c("l3")
-    r = lambda x, n: F.round(x, 4).alias(n)
     ent = -sum((c(n) / s * F.ln(c(n) / s) for n in ("l1", "l2", "l3")), F.lit(0.0))
-    return g.select(*by, "point_id", r((c("l1") - c("l2")) / c("l1"), "linearity"), r((c("l2") - c("l3")) / c("l1"), "planarity"), r(c("l3") / c("l1"), "sphericity"), r((c("l1") - c("l3")) / c("l1"), "anisotropy"), r(c("l3") / s, "curvature"), r(ent, "eigenentropy"), r(F.cbrt(c("l1") * c("l2") * c("l3")), "omnivariance"), r(s, "eigensum"), r(c("dz"), "dz"), r(c("radius"), "radius"), r(c("k") / (F.pow(c("radius"), F.lit(2.0)) + 1e-6), "density"))
+    shapes = {
+        "linearity": (c("l1") - c("l2")) / c("l1"),
+        "planarity": (c("l2") - c("l3")) / c("l1"),
+        "sphericity": c("l3") / c("l1"),
+        "anisotropy": (c("l1") - c("l3")) / c("l1"),
+        "curvature": c("l3") / s,
+        "eigenentropy": ent,
+        "omnivariance": F.cbrt(c("l1") * c("l2") * c("l3")),
+        "eigensum": s,
+        "dz": c("dz"),
+        "radius": c("radius"),
+        "density": c("k") / (F.pow(c("radius"), F.lit(2.0)) + 1e-6),
+    }
+    return g.select(*by, "point_id", *[x.alias(n) for n, x in shapes.items()])

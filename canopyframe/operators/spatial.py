@@ -6,6 +6,8 @@ they can meet, the other side to its own cell, and the exact test follows the eq
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,38 +72,80 @@ def neighbour_counts(df: DataFrame, group: list[str], x: str, y: str, step: int,
     return base.join(near, [*group, "__x", "__y"], "left").withColumn("near", F.coalesce("near", F.lit(0).cast("long"))).drop("__x", "__y")
 
 
-def nearest(points: DataFrame, targets: DataFrame, group: list[str], dims: list[str], key: str, target_key: str, k: int, size: float, *, rest: list[str] | None = None) -> DataFrame:
+def cell_sides(targets: DataFrame, group: list[str], dims: list[str], want: float) -> DataFrame:
+    """``(*group, side)``: for each group a side of cells that hold about ``want`` targets.
+
+    It follows from the group's extent and count, and is halved for the groups in which a cell holds
+    over ``32 * want``, so that a dense spot of a group does not meet itself as a whole.
+    """
+    from canopyframe.plans.lineage import cut
+
+    extents = [F.max(d) - F.min(d) for d in dims]
+    g = targets.groupBy(*group).agg(F.count("*").alias("n"), F.greatest(*extents).alias("w"), *[e.alias(f"e{i}") for i, e in enumerate(extents)])
+    volume = F.lit(1.0)
+    for i in range(len(dims)):
+        volume = volume * F.greatest(f"e{i}", F.col("w") / 100)
+    side = F.pow(volume * want / F.col("n"), F.lit(1.0 / len(dims)))
+    sides = cut(g.select(*group, F.when(F.col("w") > 0, side).otherwise(1.0).alias("side")))
+    while True:
+        full = targets.join(sides, group).groupBy(*group, *[cell(F.col(d), F.col("side")).alias(f"c{i}") for i, d in enumerate(dims)]).count()
+        dense = cut(full.groupBy(*group).agg(F.max("count").alias("most")).filter(F.col("most") > 32 * want))
+        if not dense.limit(1).count():
+            return sides
+        halved = F.when(F.col("most").isNotNull(), F.col("side") / 2).otherwise(F.col("side"))
+        sides = cut(sides.join(dense, group, "left").select(*group, halved.alias("side")))
+
+
+def nearest(points: DataFrame, targets: DataFrame, group: list[str], dims: list[str], key: str, target_key: str, k: int, *, rest: list[str] | None = None) -> DataFrame:
     """The k nearest targets of each point: ``key, target_key, d, rk`` (ties by target key).
 
-    A point meets the targets in the nine grid cells of side ``size`` around it, on the first two axes.
-    It is settled if its k-th target is within ``size``, or if it has met its whole group; the points
-    that are left meet cells of twice the side, so a round costs nine cells a point at any distance.
+    A point meets the targets in its own grid cell and those around it. It is settled if its k-th target
+    is within a cell's side, or if it has met its whole group; the points that are left meet cells of
+    twice the side. Sides follow the targets' density (``cell_sides``). Of targets at one place only the
+    ``k`` (with ``key`` = ``target_key``: ``k + 1``) first keys can be among the nearest, and points at one
+    place that look for others' keys share their search, so a crowded place costs no pairs. Rows with a
+    null coordinate or group, and points of a group without targets, are left out.
     """
     from canopyframe.plans.lineage import cut
 
-    x, y = dims[:2]
     extra, own = rest or [], key == target_key
-    t0 = targets.select(*group, F.col(target_key).alias("__tk"), *[F.col(d).alias(f"__t{d}") for d in dims], *[F.col(c).alias(f"__r{c}") for c in extra])
+    at = [f"__t{d}" for d in dims]
+    t0 = targets.select(*group, F.col(target_key).alias("__tk"), *[F.col(d).cast("double").alias(f"__t{d}") for d in dims], *[F.col(c).alias(f"__r{c}") for c in extra]).dropna(subset=[*group, *at])
+    first = Window.partitionBy(*group, *at).orderBy("__tk")
+    t0 = cut(t0.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= k + int(own)).drop("__n"))
+    # a ball of the side's radius holds k targets for most points: a circle has 3.1, a ball 4.2 sides of volume
+    sides = cell_sides(t0, group, at, 0.75 * k if len(dims) == 2 else 0.5 * k)
     have = t0.groupBy(*group).agg((F.count("*") - int(own)).alias("__have")).filter("__have > 0")
-    left = points.select(*group, key, *dims).join(have, group)
-    done = None
+    seekers = points.select(*group, *([key] if own else []), *[F.col(d).cast("double").alias(d) for d in dims]).dropna(subset=[*group, *dims])
+    who = [*group, key] if own else [*group, *dims]
+    left = (seekers if own else seekers.distinct()).join(have.join(sides, group), group)
+    t0 = t0.join(sides, group)
+    done, times = None, 1
+    around = F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"s{i}") for i, x in enumerate(s)]) for s in product((-1, 0, 1), repeat=len(dims))]))
+    cells = [f"__c{i}" for i in range(len(dims))]
     while True:
-        t = t0.withColumn("__cx", cell(f"__t{x}", size)).withColumn("__cy", cell(f"__t{y}", size))
-        ring = left.select(*group, key, *dims, "__have", shifted(1).alias("s"))
-        ring = ring.withColumn("__cx", cell(x, size) + F.col("s.dx")).withColumn("__cy", cell(y, size) + F.col("s.dy")).drop("s")
-        met = ring.join(t, [*group, "__cx", "__cy"])
+        side = F.col("side") * times
+        t = t0.select("*", *[cell(F.col(d), side).alias(c) for d, c in zip(at, cells)]).drop("side")
+        ring = left.select("*", *[cell(F.col(d), side).alias(f"{c}0") for d, c in zip(dims, cells)], around.alias("s"))
+        ring = ring.select(*left.columns, *[(F.col(f"{c}0") + F.col(f"s.s{i}")).alias(c) for i, c in enumerate(cells)])
+        met = ring.join(t, [*group, *cells])
         if own:
             met = met.filter(F.col(key) != F.col("__tk"))
-        d2 = sum((F.pow(F.col(d) - F.col(f"__t{d}"), F.lit(2.0)) for d in dims), F.lit(0.0))
-        w = Window.partitionBy(*group, key).orderBy("d", "__tk")
+        d2 = F.lit(0.0)
+        for d, o in zip(dims, at):
+            d2 = d2 + (F.col(d) - F.col(o)) * (F.col(d) - F.col(o))
+        w = Window.partitionBy(*who).orderBy("d", "__tk")
         top = cut(met.withColumn("d", F.sqrt(d2)).withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k))
-        tried = top.groupBy(*group, key).agg(F.count("*").alias("c"), F.max("d").alias("far"), F.first("__have").alias("h"))
-        settled = tried.filter(((F.col("c") >= k) & (F.col("far") <= size)) | (F.col("c") >= F.col("h"))).select(*group, key)
-        rows = top.join(settled, [*group, key], "left_semi")
+        tried = top.groupBy(*who).agg(F.count("*").alias("c"), F.max("d").alias("far"), F.first("__have").alias("h"), F.first("side").alias("u"))
+        settled = tried.filter(((F.col("c") >= k) & (F.col("far") <= F.col("u") * times)) | (F.col("c") >= F.col("h"))).select(*who)
+        rows = top.join(settled, who, "left_semi")
         done = rows if done is None else done.union(rows)
-        left = cut(left.join(settled, [*group, key], "left_anti"))
+        left = cut(left.join(settled, who, "left_anti"))
         if not left.limit(1).count():
             break
-        size *= 2
-    name = "neighbour" if own else target_key
-    return done.select(*group, key, F.col("__tk").alias(name), "d", "rk", *[F.col(f"__t{d}") for d in dims], *[F.col(f"__r{c}").alias(f"t_{c}") for c in extra])
+        times *= 2
+    found = done.select(*who, F.col("__tk").alias("neighbour" if own else target_key), "d", "rk", *at, *[F.col(f"__r{c}").alias(f"t_{c}") for c in extra])
+    if own:
+        return found
+    mine = points.select(*group, key, *[F.col(d).cast("double").alias(d) for d in dims])
+    return mine.join(found, who).drop(*dims)

@@ -85,24 +85,23 @@ def _(t):
     return P.local_fallback(ref, loc, ["tile_id"], 2.0).withColumn("ground", F.round("ground", 6))
 
 
-SMALL = "small AS (SELECT * FROM points WHERE year = 2001)"
-NN = f"{SMALL}, nn AS (SELECT * FROM (SELECT p.tile_id, p.point_id, p.z, g.point_id AS ground_id, g.z AS gz, sqrt((p.x - g.x) * (p.x - g.x) + (p.y - g.y) * (p.y - g.y)) AS d, row_number() OVER (PARTITION BY p.tile_id, p.point_id ORDER BY sqrt((p.x - g.x) * (p.x - g.x) + (p.y - g.y) * (p.y - g.y)), g.point_id) AS rk FROM small p JOIN small g ON p.tile_id = g.tile_id AND g.classification = 2) WHERE rk <= 3)"
+# of the ground points at one place only the three first ids can be among the three nearest
+NN = """g AS (SELECT * FROM (SELECT tile_id, year, x, y, z, point_id, row_number() OVER (PARTITION BY tile_id, year, x, y ORDER BY point_id) AS r FROM points WHERE classification = 2) WHERE r <= 3),
+pos AS (SELECT DISTINCT tile_id, year, x, y FROM points),
+near AS (SELECT p.tile_id, p.year, p.x, p.y, min({'d': sqrt((p.x - g.x) * (p.x - g.x) + (p.y - g.y) * (p.y - g.y)), 'id': g.point_id, 'z': g.z}, 3) AS n FROM pos p JOIN g USING (tile_id, year) GROUP BY ALL),
+nn AS (SELECT point_id, z, unnest(range(1, len(n) + 1)) AS rk, unnest(n) AS n FROM points JOIN near USING (tile_id, year, x, y))"""
 
 
-@query("join18_nearest_ground", f"WITH {NN} SELECT point_id, CAST(rk AS INTEGER) AS rk, round(d, 6) AS d FROM nn")
+@query("join18_nearest_ground", f"WITH {NN} SELECT point_id, CAST(rk AS INTEGER) AS rk, n.id AS ground_id, round(n.d, 6) AS d FROM nn")
 def _(t):
-    p = t.points().filter("year = 2001")
+    p = t.points()
     g = p.filter("classification = 2").withColumnRenamed("point_id", "ground_id")
-    return spatial.nearest(p, g, ["tile_id"], ["x", "y"], "point_id", "ground_id", 3, 0.5).select("point_id", "rk", F.round("d", 6).alias("d"))
+    return spatial.nearest(p, g, BY, ["x", "y"], "point_id", "ground_id", 3).select("point_id", "rk", "ground_id", F.round("d", 6).alias("d"))
 
 
-@query("pc06_idw_height", f"WITH {NN} SELECT point_id, round(any_value(z) - sum(gz / (d + 1e-8)) / sum(1 / (d + 1e-8)), 4) AS hag FROM nn WHERE d > 0.01 OR true GROUP BY point_id HAVING min(d) > 0.01")
+@query("pc06_idw_height", f"WITH {NN} SELECT point_id, round(any_value(z) - sum(n.z / (n.d + 1e-8)) / sum(1 / (n.d + 1e-8)), 4) AS hag FROM nn GROUP BY point_id")
 def _(t):
-    p = t.points().filter("year = 2001")
-    rows = P.idw_heights(p, ["tile_id"])
-    # a ground point on the very spot weighs 1e8 and ties there are broken by id alone
-    g = p.filter("classification = 2").select("tile_id", "x", "y").distinct()
-    return rows.join(g, ["tile_id", "x", "y"], "left_anti").select("point_id", F.round("hag", 4).alias("hag"))
+    return P.idw_heights(t.points(), BY).select("point_id", F.round("hag", 4).alias("hag"))
 
 
 @query("pc07_max_height", f"WITH {CELL}, {MED}, {HAG} SELECT tile_id, year, row, col, round(max(hag), 6) AS chm FROM hag WHERE hag BETWEEN 0 AND 1.3 GROUP BY ALL")
@@ -183,25 +182,34 @@ def _(t):
     return P.return_features(t.points()).select("point_id", *cols, F.round("return_ratio", 6).alias("return_ratio"), F.round("index", 6).alias("index"))
 
 
-K8 = "s8 AS (SELECT * FROM points WHERE year = 2001 AND point_id % 4 = 1), n8 AS (SELECT * FROM (SELECT p.tile_id, p.point_id, g.point_id AS neighbour, g.x, g.y, g.z, sqrt(power(p.x - g.x, 2) + power(p.y - g.y, 2) + power(p.z - g.z, 2)) AS d, row_number() OVER (PARTITION BY p.tile_id, p.point_id ORDER BY sqrt(power(p.x - g.x, 2) + power(p.y - g.y, 2) + power(p.z - g.z, 2)), g.point_id) AS rk FROM s8 p JOIN s8 g ON p.tile_id = g.tile_id AND p.point_id <> g.point_id) WHERE rk <= 8)".replace("point_id % 4 = 1", "return_number = 1")
+K8 = """near AS (SELECT p.point_id, min({'d': sqrt((p.x - g.x) * (p.x - g.x) + (p.y - g.y) * (p.y - g.y) + (p.z - g.z) * (p.z - g.z)), 'id': g.point_id, 'x': g.x, 'y': g.y, 'z': g.z}, 8) AS n
+FROM points p JOIN points g ON p.tile_id = g.tile_id AND p.year = g.year AND p.point_id <> g.point_id GROUP BY ALL),
+n8 AS (SELECT point_id, unnest(range(1, len(n) + 1)) AS rk, unnest(n) AS n FROM near)"""
+# the eigenvalues of a symmetric 3x3 matrix in closed form, largest first
+EIGEN = """cov AS (SELECT point_id, var_samp(n.x) AS xx, var_samp(n.y) AS yy, var_samp(n.z) AS zz, covar_samp(n.x, n.y) AS xy, covar_samp(n.x, n.z) AS xz, covar_samp(n.y, n.z) AS yz, max(n.d) AS radius, max(n.z) - min(n.z) AS dz, count(*) AS k FROM n8 GROUP BY ALL),
+q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM cov), p AS (SELECT *, sqrt((power(xx - q, 2) + power(yy - q, 2) + power(zz - q, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM q),
+r AS (SELECT *, CASE WHEN p > 0 THEN ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (p * p * p) / 2 END AS r FROM p),
+phi AS (SELECT *, acos(greatest(-1, least(1, r))) / 3 AS phi FROM r),
+raw AS (SELECT *, coalesce(q + 2 * p * cos(phi), q) AS a, coalesce(q + 2 * p * cos(phi + 2 * 3.141592653589793 / 3), q) AS c FROM phi),
+l AS (SELECT *, greatest(a, 1e-12) AS l1, greatest(3 * q - a - c, 1e-12) AS l2, greatest(c, 1e-12) AS l3 FROM raw)"""
+SHAPES = """round((l1 - l2) / l1, 3) AS linearity, round((l2 - l3) / l1, 3) AS planarity, round(l3 / l1, 3) AS sphericity, round((l1 - l3) / l1, 3) AS anisotropy, round(l3 / (l1 + l2 + l3), 3) AS curvature,
+round(-(l1 / (l1 + l2 + l3) * ln(l1 / (l1 + l2 + l3)) + l2 / (l1 + l2 + l3) * ln(l2 / (l1 + l2 + l3)) + l3 / (l1 + l2 + l3) * ln(l3 / (l1 + l2 + l3))), 3) AS eigenentropy, round(cbrt(l1 * l2 * l3), 3) AS omnivariance, round(l1 + l2 + l3, 3) AS eigensum,
+round(dz, 3) AS dz, round(radius, 3) AS radius, round(k / (power(radius, 2) + 1e-6), 3) AS density"""
+SHAPE_NAMES = ["linearity", "planarity", "sphericity", "anisotropy", "curvature", "eigenentropy", "omnivariance", "eigensum", "dz", "radius", "density"]
 
 
 def eight(t):
-    p = t.points().filter("year = 2001 AND return_number = 1")
-    return spatial.nearest(p, p, ["tile_id"], ["x", "y", "z"], "point_id", "point_id", 8, 1.0)
+    return spatial.nearest(t.points(), t.points(), BY, ["x", "y", "z"], "point_id", "point_id", 8)
 
 
-@query("join19_nearest_neighbours", f"WITH {K8} SELECT point_id, CAST(rk AS INTEGER) AS rk, round(d, 6) AS d FROM n8")
+@query("join19_nearest_neighbours", f"WITH {K8} SELECT point_id, CAST(rk AS INTEGER) AS rk, n.id AS neighbour, round(n.d, 6) AS d FROM n8")
 def _(t):
-    return eight(t).select("point_id", "rk", F.round("d", 6).alias("d"))
+    return eight(t).select("point_id", "rk", "neighbour", F.round("d", 6).alias("d"))
 
 
-@query(
-    "pc16_shape_features",
-    f"WITH {K8} SELECT point_id, round(max(d), 4) AS radius, round(max(z) - min(z), 4) AS dz, round(var_samp(x) + var_samp(y) + var_samp(z), 4) AS eigensum, round(count(*) / (power(max(d), 2) + 1e-6), 4) AS density FROM n8 GROUP BY point_id",
-)
+@query("pc16_shape_features", f"WITH {K8}, {EIGEN} SELECT point_id, {SHAPES} FROM l")
 def _(t):
-    return P.eigen_features(eight(t), ["tile_id"]).select("point_id", "radius", "dz", "eigensum", "density")
+    return P.eigen_features(eight(t), BY).select("point_id", *[F.round(c, 3).alias(c) for c in SHAPE_NAMES])
 
 
 @query(

@@ -113,7 +113,7 @@ def test_eigen_features_against_numpy(spark):
     rng = np.random.default_rng(5)
     xyz = rng.random((30, 3)) * [3, 1, 0.3]
     df = spark.createDataFrame([(i, "t", *map(float, p)) for i, p in enumerate(xyz)], "point_id long, tile_id string, x double, y double, z double")
-    near = spatial.nearest(df, df, ["tile_id"], ["x", "y", "z"], "point_id", "point_id", 8, 1.0)
+    near = spatial.nearest(df, df, ["tile_id"], ["x", "y", "z"], "point_id", "point_id", 8)
     got = {r.point_id: r for r in P.eigen_features(near, ["tile_id"]).collect()}
     for i in (0, 7, 19):
         d = np.linalg.norm(xyz - xyz[i], axis=1)

@@ -56,7 +56,7 @@ def test_nearest_equals_brute_force(spark):
     df = spark.createDataFrame(pts, "id long, g string, x double, y double")
     tg = df.filter("id % 5 = 0").withColumnRenamed("id", "tid")
     got = {}
-    for r in SP.nearest(df, tg, ["g"], ["x", "y"], "id", "tid", 3, 1.0).collect():
+    for r in SP.nearest(df, tg, ["g"], ["x", "y"], "id", "tid", 3).collect():
         got.setdefault(r.id, []).append((r.rk, r.tid))
     for i, _, x, y in pts:
         want = sorted(((x - a) ** 2 + (y - b) ** 2, j) for j, _, a, b in pts if j % 5 == 0)[:3]
