@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopyframe.plans.ranking import global_row_number
+from canopyframe.plans.ranking import global_row_number, quantiles, running_sums
 
 #: 97.5 % quantiles of Student's t for 1 to 10 degrees of freedom (fixed values).
 T975 = [12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228]
@@ -41,9 +41,24 @@ def compare_models(scores: DataFrame, a: str, b: str) -> DataFrame:
 
 def change_stats(pairs: DataFrame, limits: dict[str, float]) -> DataFrame:
     d = F.col("q") - F.col("p")
-    a = F.abs(d)
-    over = [F.count_if(a > v).alias(k) for k, v in limits.items()]
-    return pairs.agg(F.count("*").alias("n"), r6(F.avg(a), "mean_abs"), r6(F.median(a), "median_abs"), r6(F.avg(d), "mean_signed"), r6(F.percentile(a, F.lit(0.25)), "q1"), r6(F.percentile(a, F.lit(0.75)), "q3"), *over)
+    rows = pairs.select(d.alias("d"), F.abs(d).alias("a"))
+    over = [F.count_if(F.col("a") > v).alias(k) for k, v in limits.items()]
+    means = rows.agg(F.count("*").alias("n"), r6(F.avg("a"), "mean_abs"), r6(F.avg("d"), "mean_signed"), *over)
+    shares = quantiles(rows, [], "a", {"median_abs": 0.5, "q1": 0.25, "q3": 0.75}).select(*[r6(F.col(c), c) for c in ("median_abs", "q1", "q3")])
+    return means.join(shares, F.lit(True), "left")  # one row each
+
+
+def grouped_stats(df: DataFrame, sets: list[list[str]], cols: list[str], value: str) -> DataFrame:
+    """Count, mean, deviation, extremes and median of a value over grouping sets."""
+    v = F.col(value)
+    marked = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("set"), *[(F.col(c) if c in s else F.lit(None)).alias(c) for c in cols]) for i, s in enumerate(sets)])).alias("g"), v.alias(value)).select("g.*", value)
+    key = ["set", *cols]
+    g = marked.groupBy(*key).agg(F.count("*").alias("n"), r6(F.avg(v), "mean"), r6(F.stddev_samp(v), "std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    m = quantiles(marked, key, value, {"median": 0.5}).select(*[F.col(c).alias(f"__{c}") for c in key], r6(F.col("median"), "median"))
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return g.join(m, same, "left").select(*cols, "n", "mean", "std", "min", "max", "median")
 
 
 def mode_intervals(df: DataFrame, mode: str, value: str) -> DataFrame:
@@ -109,8 +124,8 @@ def calibration(df: DataFrame, bins: int = 10) -> DataFrame:
 def roc_auc(df: DataFrame, by: list[str]) -> DataFrame:
     """AUC with average ranks for ties, from counts per distinct probability."""
     g = df.groupBy(*by, "prob").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") != 1).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    g = g.withColumn("wins", F.col("p") * (below + F.col("n") / 2))
+    g = running_sums(g, [F.asc("prob")], by, {"upto": F.col("n")})
+    g = g.withColumn("wins", F.col("p") * (F.col("upto") - F.col("n") / 2))
     P, N = F.sum("p"), F.sum("n")
     return g.groupBy(*by).agg(r6(F.when((P > 0) & (N > 0), F.sum("wins") / (P * N)), "auc"))
 
@@ -158,8 +173,7 @@ def precision_thresholds(df: DataFrame, targets: list[float]) -> DataFrame:
     Counts per distinct probability are summed downwards.
     """
     g = df.groupBy("prob").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("p"))
-    down = Window.orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
-    prec = g.withColumn("precision", F.sum("p").over(down) / F.sum("n").over(down))
+    prec = running_sums(g, [F.desc("prob")], [], {"hits": F.col("p"), "rows": F.col("n")}).withColumn("precision", F.col("hits") / F.col("rows"))
     best = prec.agg(*[F.max(F.when(F.col("precision") + 1e-12 >= t, F.col("prob"))).alias(f"t{i}") for i, t in enumerate(targets)])
     rows = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("target"), F.col(f"t{i}").alias("threshold")) for i, t in enumerate(targets)]))
     return best.select(rows.alias("r")).select("r.*")
@@ -185,14 +199,14 @@ def dice_iou(counts: DataFrame, eps: float = 1e-6) -> DataFrame:
 def hausdorff95(boundary_a: DataFrame, boundary_b: DataFrame, group: str) -> DataFrame:
     """95th percentile of nearest distances between two boundaries of each group, both ways pooled.
 
-    Boundaries meet within their group, a tile, whose size bounds the pairs.
+    Distances come from the nearest-neighbour search, so a large tile's boundaries are not paired off.
     """
-    a = boundary_a.select(group, F.struct("row", "col").alias("p"))
-    b = boundary_b.select(group, F.struct("row", "col").alias("q"))
-    d = F.sqrt(F.pow(F.col("p.row") - F.col("q.row"), F.lit(2.0)) + F.pow(F.col("p.col") - F.col("q.col"), F.lit(2.0)))
-    both = a.join(b, group).select(group, "p", "q", d.alias("d"))
-    near = both.groupBy(group, "p").agg(F.min("d").alias("d")).select(group, "d").union(both.groupBy(group, "q").agg(F.min("d").alias("d")).select(group, "d"))
-    g = near.groupBy(group).agg(r6(F.percentile("d", F.lit(0.95)), "hd95"))
+    from canopyframe.operators import spatial
+
+    side = lambda df, key: df.select(group, "row", "col", F.concat_ws("_", "row", "col").alias(key))
+    ways = [(boundary_a, boundary_b), (boundary_b, boundary_a)]
+    near = [spatial.nearest(side(a, "p"), side(b, "q"), [group], ["row", "col"], "p", "q", 1).select(group, "d") for a, b in ways]
+    g = quantiles(near[0].union(near[1]), [group], "d", {"hd95": 0.95}).select(group, r6(F.col("hd95"), "hd95"))
     return g.withColumn("score", F.round(1 / (1 + F.col("hd95")), 6))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopyframe.operators import spatial
+from canopyframe.plans.ranking import quantiles
 
 GROUND = 2
 
@@ -122,8 +123,10 @@ def consensus(target: DataFrame, voted: DataFrame, by: list[str], *, least: int
 
 def robust_scale(points: DataFrame, columns: list[str]) -> DataFrame:
     """Columns scaled from their 1st to 99th percentile into [0, 1]; nulls become 0."""
-    bounds = points.agg(F.struct(*[F.percentile(c, F.lit(q)).alias(f"__{c}{i}") for c in columns for i, q in enumerate((0.01, 0.99))]).alias("b"))
-    rows = points.withColumn("__b", bounds.scalar()).select("*", "__b.*")
+    rows = points
+    for c in columns:
+        bounds = quantiles(points, [], c, {f"__{c}0": 0.01, f"__{c}1": 0.99})
+        rows = rows.withColumn("__b", bounds.select(F.struct("*").alias("b")).scalar()).select("*", "__b.*").drop("__b")
     lo, hi = (lambda c: F.col(f"__{c}0")), (lambda c: F.col(f"__{c}1"))
     for c in columns:
         rows = rows.withColumn(c, F.coalesce(F.when(hi(c) > lo(c), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(c) - lo(c)) / (hi(c) - lo(c))))).otherwise(0.0), F.lit(0.0)))

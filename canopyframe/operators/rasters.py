@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopyframe.plans.ranking import quantiles
+
 PIXEL = ["tile_id", "row", "col"]
 
 
@@ -86,6 +88,15 @@ def focal(df: DataFrame, column: str, f, radius: int, name: str) -> DataFrame:
     return df.withColumn("__f", one).withColumn(name, two).drop("__f")
 
 
+def by_tile(pixels: DataFrame) -> DataFrame:
+    """Pixels dealt by tile once, for operators whose windows go both along rows and along columns.
+
+    Windows then sort within a task and shuffle no more. A task holds whole tiles on disk or in memory as
+    its sorts spill; cut a raster into chips first if one of them is too much for a task.
+    """
+    return pixels.repartition("tile_id")
+
+
 def filled(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("v", F.coalesce("value", F.lit(0.0)))
 
@@ -106,7 +117,7 @@ def laplacian(df: DataFrame, v: str = "v") -> DataFrame:
 
 def feature_bank(pixels: DataFrame) -> DataFrame:
     """24 features per tile: moments, quantiles, gradients, Laplacian, top-hat and ridgeness."""
-    df = laplacian(gradients(filled(pixels)))
+    df = laplacian(gradients(filled(by_tile(pixels))))
     df = focal(focal(df, "v", F.min, 1, "eroded"), "eroded", F.max, 1, "opened")
     df = df.withColumn("tophat", F.col("v") - F.col("opened")).withColumn("alap", F.abs("lap"))
     df = focal(df, "alap", F.max, 1, "ridge")
@@ -209,13 +220,9 @@ def bilinear(pixels: DataFrame, size: int, source: int = 8) -> DataFrame:
     return rows.groupBy("tile_id", F.col("r.i").alias("row"), F.col("c.i").alias("col")).agg(F.round(F.sum(w * F.col("value")) / F.sum(w), 6).alias("value"))
 
 
-def stretch(pixels: DataFrame, low: float = 0.02, high: float = 0.98, *, accuracy: int | None = None) -> DataFrame:
-    """Tiles stretched by the table's percentiles to 0-255, with statistics; empty tiles go.
-
-    ``accuracy`` takes approximate percentiles, whose memory is bounded whatever the table's size.
-    """
-    q = (lambda p: F.percentile_approx("value", F.lit(p), F.lit(accuracy))) if accuracy else (lambda p: F.percentile("value", F.lit(p)))
-    bounds = pixels.agg(F.struct(q(low).alias("lo"), q(high).alias("hi")).alias("b")).scalar()
+def stretch(pixels: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """Tiles stretched by the table's exact percentiles to 0-255, with statistics; empty tiles go."""
+    bounds = quantiles(pixels, [], "value", {"lo": low, "hi": high}).select(F.struct("lo", "hi").alias("b")).scalar()
     scaled = pixels.filter("value IS NOT NULL").withColumn("b", bounds).select("*", "b.*").withColumn("s", F.floor(255 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))))))
     return scaled.groupBy("tile_id").agg(F.min("s").alias("min"), F.max("s").alias("max"), F.round(F.avg("s"), 4).alias("mean"), F.round(F.stddev_pop("s"), 4).alias("std"), F.count("*").alias("valid"))
 
@@ -253,7 +260,7 @@ def cap_positive(pixels: DataFrame, mask: Column, ratio: float) -> DataFrame:
 
 def border_uncertainty(pixels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Mean of 1 - abs(2c - 1) on the mask's border, else inside it, else over the tile."""
-    df = pixels.withColumn("c", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("value", F.lit(0.0)))))
+    df = by_tile(pixels).withColumn("c", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("value", F.lit(0.0)))))
     df = df.withColumn("m", (F.col("c") >= threshold).cast("int"))
     df = focal(focal(df, "m", F.max, 1, "hi"), "m", F.min, 1, "lo")
     u = 1 - F.abs(2 * F.col("c") - 1)
@@ -265,7 +272,7 @@ def affinity_smooth(maps: DataFrame, beta: float = 7.5, eps: float = 1e-6) -> Da
     """3x3 mean of ``prob`` weighted by exp(-beta * height gradients); the last gradient repeats."""
     right = F.abs(F.lead("v").over(along_row()) - F.col("v"))
     down = F.abs(F.lead("v").over(along_col()) - F.col("v"))
-    df = maps.withColumn("gx", right).withColumn("gy", down)
+    df = by_tile(maps).withColumn("gx", right).withColumn("gy", down)
     df = df.withColumn("gx", F.coalesce("gx", F.lag("gx").over(along_row()))).withColumn("gy", F.coalesce("gy", F.lag("gy").over(along_col())))
     df = df.withColumn("a", F.exp(-beta * (F.col("gx") + F.col("gy")))).withColumn("pa", F.col("a") * F.col("prob"))
     for c in ("a", "pa"):

@@ -6,12 +6,17 @@ of blocks is a place or a raster, and the table of roles is joined back to chips
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopyframe.operators import spatial
 from canopyframe.operators.graph import connected_components
+from canopyframe.plans.lineage import cut
+from canopyframe.plans.ranking import global_row_number
 
 
 def hashed(seed: str, *cols: str | Column) -> Column:
@@ -37,41 +42,74 @@ def block_of(size: int) -> list[Column]:
     return [F.coalesce(F.floor(F.col("grid_x") / size), 10_000_000 + h % 10000).alias("bx"), F.coalesce(F.floor(F.col("grid_y") / size), 10_000_000 + F.floor(h / 10000) % 10000).alias("by")]
 
 
-def fill_target(sizes: list[int], target: int) -> list[int]:
-    """Places picked greedily: each time the one that brings the sum nearest the target, larger at ties,
-    first in order at equals; until the target is reached."""
-    left, picked, total = list(range(len(sizes))), [], 0
-    while left and total < target:
-        best = min(left, key=lambda i: (abs(target - total - sizes[i]), -sizes[i]))
-        picked.append(best)
-        left.remove(best)
-        total += sizes[best]
-    return picked
+def fill_sizes(counts: dict[int, int], target: int) -> dict[int, int]:
+    """How many blocks of each size are picked greedily: each time one of the size that brings the sum
+    nearest the target, the larger at ties, until the target is reached or nothing is left."""
+    left, sizes, picked, total = dict(counts), sorted(counts), dict.fromkeys(counts, 0), 0
+    while sizes and total < target:
+        at = bisect_right(sizes, target - total)
+        around = sizes[max(at - 1, 0) : at + 1]
+        best = min(around, key=lambda s: (abs(target - total - s), -s))
+        # while one more still falls short of the target, it stays the largest that fits
+        many = min(left[best], max(1, (target - total) // best)) if best and best <= target - total and at == len(sizes) else 1
+        picked[best] += many
+        left[best] -= many
+        total += many * best
+        if not left[best]:
+            sizes.remove(best)
+    return {s: n for s, n in picked.items() if n}
+
+
+def best_swap(classes: pd.DataFrame, tolerance: float) -> pd.DataFrame:
+    """The exchange of one picked for one other block that brings the picked share of cdw nearest that of
+    all, if it is off by more than ``tolerance``; ties by n and cdw of the one that goes, then of the other.
+
+    ``classes`` has a row for each n, cdw and picked, with the count ``c`` and its first block.
+    """
+    rows = classes.sort_values(["n", "cdw"])
+    n, cdw, c = (rows[k].to_numpy(float) for k in ("n", "cdw", "c"))
+    inside = rows["picked"].to_numpy(bool)
+    share = (cdw * c).sum() / max(1.0, (n * c).sum())
+    size, hits = (n * c)[inside].sum(), (cdw * c)[inside].sum()
+    now = abs(hits / max(1.0, size) - share)
+    goes, comes = np.flatnonzero(inside), np.flatnonzero(~inside)
+    if now <= tolerance or not len(goes) or not len(comes):
+        return rows.iloc[:0]
+    off = np.abs((hits - cdw[goes][:, None] + cdw[comes]) / np.maximum(1.0, size - n[goes][:, None] + n[comes]) - share)
+    a, b = np.unravel_index(int(off.argmin()), off.shape)
+    return rows.iloc[[goes[a], comes[b]]] if off[a, b] < now else rows.iloc[:0]
 
 
 def greedy_blocks(blocks: DataFrame, group: list[str], fraction: float, seed: str, *, tolerance: float = 1.0) -> DataFrame:
     """Test blocks of each group: ``group, bx, by``; blocks come with n and cdw.
 
-    Runs per group on its blocks, a few rows. If the test share of cdw is off by more than
-    ``tolerance``, the single exchange of blocks that helps most is made.
+    Only counts of blocks by size (and for the exchange by size and cdw) go through a Python function; of
+    equal sizes the first in hashed order are taken, by row numbers over the whole table. If the test
+    share of cdw is off by more than ``tolerance``, the single exchange of blocks that helps most is made.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "bx", "by"]).reset_index(drop=True)
-        sizes, cdw = pdf["n"].astype(int).tolist(), pdf["cdw"].astype(int).tolist()
-        picked = fill_target(sizes, max(1, round(sum(sizes) * fraction)))
-        share = sum(cdw) / sum(sizes)
-        gap = lambda rows: abs(sum(cdw[i] for i in rows) / max(1, sum(sizes[i] for i in rows)) - share)
-        if gap(picked) > tolerance:
-            swaps = [[*(x for x in picked if x != a), b] for a in picked for b in range(len(sizes)) if b not in picked]
-            picked = min([picked, *swaps], key=gap)
-        return pdf.loc[picked, [*group, "bx", "by"]]
-
+    own = group or ["__all"]
     ordered = blocks.withColumn("h", hashed(seed, *group, "bx", "by"))
-    fields = [f"{c} {blocks.schema[c].dataType.simpleString()}" for c in [*group, "bx", "by"]]
     if not group:
         ordered = ordered.withColumn("__all", F.lit(1))
-    return ordered.groupBy(*(group or ["__all"])).applyInPandas(run, ", ".join(fields))
+    of = {c: ordered.schema[c].dataType.simpleString() for c in [*own, "n"]}
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = dict(zip(pdf["n"].astype(int), pdf["c"].astype(int)))
+        picked = fill_sizes(counts, max(1, round(sum(s * k for s, k in counts.items()) * fraction)))
+        out = pd.DataFrame({"n": list(picked), "take": list(picked.values())})
+        return out.assign(**{c: pdf[c].iloc[0] for c in own})[[*own, "n", "take"]]
+
+    takes = ordered.groupBy(*own, "n").agg(F.count("*").alias("c")).groupBy(*own).applyInPandas(fill, ", ".join(f"{c} {k}" for c, k in of.items()) + ", take long")
+    rows = global_row_number(ordered, [F.col("h"), F.col("bx"), F.col("by")], [*own, "n"])
+    rows = rows.join(takes, [*own, "n"], "left").withColumn("picked", F.coalesce(F.col("rn") <= F.col("take"), F.lit(False))).drop("rn", "take")
+    if tolerance < 1:  # no two shares differ by more than one
+        rows = cut(rows)
+        classes = rows.groupBy(*own, "n", "cdw", "picked").agg(F.count("*").alias("c"), F.min(F.struct("h", "bx", "by")).alias("f"))
+        classes = classes.select(*own, "n", "cdw", "picked", "c", F.col("f.bx").alias("bx"), F.col("f.by").alias("by"))
+        change = classes.groupBy(*own).applyInPandas(lambda pdf: best_swap(pdf, tolerance), classes.schema)
+        change = change.select(*own, "bx", "by", F.lit(True).alias("__change"))
+        rows = rows.join(change, [*own, "bx", "by"], "left").withColumn("picked", F.col("picked") != F.coalesce("__change", F.lit(False)))
+    return rows.filter("picked").select(*group, "bx", "by")
 
 
 def block_split(places: DataFrame, *, block: int = 2, ring: int = 1, fraction: float = 0.2, seed: str = "42") -> DataFrame:
@@ -226,8 +264,6 @@ def grouped_folds(df: DataFrame, group: Column, folds: int, seed: str) -> DataFr
 
 def size_ordered_folds(groups: DataFrame, key: str, size: str, folds: int) -> DataFrame:
     """Groups dealt to folds by falling size, back and forth (snake order); ties by key."""
-    from canopyframe.plans.ranking import global_row_number
-
     rows = global_row_number(groups.select(key, size), [F.desc(size), F.asc(key)])
     at = (F.col("rn") - 1) % (2 * folds)
     return rows.withColumn("fold", F.when(at < folds, at).otherwise(2 * folds - 1 - at).cast("int")).drop("rn")

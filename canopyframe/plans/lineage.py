@@ -1,8 +1,9 @@
-"""Lineage cuts that survive the loss of an executor."""
+"""Lineage cuts that survive the loss of an executor, and folders for what jobs pass on."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where that setting is absent, as in local tests.
+    Where that setting is absent, a session on a single machine (``local``, as in tests) gets a folder of
+    its own; any other is refused, since executors would not see it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -19,10 +21,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(folder)
         return folder
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-canopyframe-"))
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path to write to in the shared folder; what is written there is deleted when the application ends."""
+    folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)  # a folder must exist to be marked for deletion
+    fs.deleteOnExit(path)
+    return f"{folder}/data"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: computes ``df`` once and returns it without its lineage."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -1,4 +1,4 @@
-"""Row numbers over whole tables without a single-task window."""
+"""Row numbers, running sums and exact quantiles over whole tables without a single-task window."""
 
 from __future__ import annotations
 
@@ -29,3 +29,46 @@ def global_row_number(df: DataFrame, order: list[Column], by: list[str] | None =
         same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
     number = F.col("__id") - F.col("__first") + F.col("__before") + 1
     return laid.join(start, same).select(*cols, number.alias(name))
+
+
+def running_sums(df: DataFrame, order: list[Column], by: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with inclusive running sums within ``by`` (or the whole table) under ``order``, which leaves no ties.
+
+    As with ``global_row_number`` a row's sum is that of its partition so far plus the sums of earlier partitions.
+    """
+    cols = df.columns
+    keys = [F.col(c) for c in by] + order
+    named = df.select("*", *[c.alias(f"__v{i}") for i, c in enumerate(sums.values())])
+    laid = cut(named.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id()))
+    laid = laid.withColumn("__p", F.shiftright("__id", 33))
+    so_far = Window.partitionBy("__p", *by).orderBy("__id").rowsBetween(Window.unboundedPreceding, 0)
+    parts = laid.groupBy("__p", *by).agg(*[F.sum(f"__v{i}").alias(f"__s{i}") for i in range(len(sums))])
+    earlier = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.coalesce(F.sum(f"__s{i}").over(earlier), F.lit(0)).alias(f"__b{i}") for i in range(len(sums))]
+    start = parts.select(F.col("__p").alias("__p2"), *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], *before)
+    same = F.col("__p") == F.col("__p2")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    rows = laid.select("*", *[F.sum(f"__v{i}").over(so_far).alias(f"__r{i}") for i in range(len(sums))]).join(start, same)
+    return rows.select(*cols, *[(F.col(f"__r{i}") + F.col(f"__b{i}")).alias(name) for i, name in enumerate(sums)])
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``by`` and exact, linearly interpolated quantiles of the non-null values, one column for each share.
+
+    Values are counted, and the counts are summed over range partitions, so no task holds all distinct
+    values as the state of an aggregate does. An empty table gives no row (with ``by`` or without).
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__q")).agg(F.count("*").alias("__c"))
+    run = running_sums(counts, [F.col("__q")], by, {"__to": F.col("__c")})
+    total = run.groupBy(*by).agg(F.max("__to").alias("__n")).select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], "__n")
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    rows = run.join(total, same) if by else run.join(F.broadcast(total))  # a row for the whole table
+    at = {name: q * (F.col("__n") - 1) for name, q in shares.items()}
+    first = lambda place: F.min(F.when(F.col("__to") > place, F.col("__q")))
+    ends = [e for name, x in at.items() for e in (first(F.floor(x)).alias(f"__lo_{name}"), first(F.ceil(x)).alias(f"__hi_{name}"))]
+    g = rows.groupBy(*by).agg(*ends, F.max("__n").alias("__n")).filter("__n IS NOT NULL")
+    between = lambda name, x: F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * (x - F.floor(x))
+    return g.select(*by, *[between(name, x).alias(name) for name, x in at.items()])

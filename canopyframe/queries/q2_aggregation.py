@@ -235,8 +235,9 @@ def _(t):
     "SELECT y, split, count(*) AS n, round(avg(prob), 6) AS mean, round(stddev_samp(prob), 6) AS std, min(prob) AS min, max(prob) AS max, round(quantile_cont(prob, 0.5), 6) AS median FROM scores GROUP BY GROUPING SETS ((), (y), (split))",
 )
 def _(t):
-    p = F.col("prob")
-    return t.scores().groupingSets([[], ["y"], ["split"]], "y", "split").agg(F.count("*").alias("n"), F.round(F.avg(p), 6).alias("mean"), F.round(F.stddev_samp(p), 6).alias("std"), F.min(p).alias("min"), F.max(p).alias("max"), F.round(F.percentile(p, F.lit(0.5)), 6).alias("median"))
+    from canopyframe.operators import metrics as M
+
+    return M.grouped_stats(t.scores(), [[], ["y"], ["split"]], ["y", "split"], "prob")
 
 
 @query(

@@ -525,10 +525,10 @@ def _(t):
 
 @query(
     "ras21_mosaic_groups",
-    "WITH RECURSIVE t AS (SELECT DISTINCT year, tile, grid_x, grid_y FROM parsed WHERE (grid_x + grid_y) % 3 <> 0), e AS (SELECT a.year, a.tile AS a, b.tile AS b FROM t a JOIN t b ON a.year = b.year AND abs(a.grid_x - b.grid_x) <= 1 AND abs(a.grid_y - b.grid_y) <= 1), r(year, a, b) AS (SELECT year, tile, tile FROM t UNION SELECT r.year, r.a, e.b FROM r JOIN e ON r.year = e.year AND r.b = e.a) SELECT year, a AS tile, min(b) AS component FROM r GROUP BY year, a",
+    "WITH RECURSIVE t AS (SELECT DISTINCT year, tile, grid_x, grid_y FROM parsed), e AS (SELECT a.year, a.tile AS a, b.tile AS b FROM t a JOIN t b ON a.year = b.year AND abs(a.grid_x - b.grid_x) <= 1 AND abs(a.grid_y - b.grid_y) <= 1), r(year, a, b) AS (SELECT year, tile, tile FROM t UNION SELECT r.year, r.a, e.b FROM r JOIN e ON r.year = e.year AND r.b = e.a) SELECT year, a AS tile, min(b) AS component FROM r GROUP BY year, a",
 )
 def _(t):
-    p = K.with_identity(t.label_events()).filter("(grid_x + grid_y) % 3 <> 0").select("year", "tile", F.col("grid_x").alias("x"), F.col("grid_y").alias("y"))
+    p = K.with_identity(t.label_events()).select("year", "tile", F.col("grid_x").alias("x"), F.col("grid_y").alias("y"))
     return S.touching_components(p, "year")
 
 

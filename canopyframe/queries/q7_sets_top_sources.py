@@ -240,11 +240,13 @@ def _(t):
     return IO.latest_annotations(tasks.select(F.to_json(F.struct(F.col("conv_id").alias("id"), "annotations")).alias("task")), "task", "assistant")
 
 
-@query("src12_manifest_reader", f"SELECT {KEYS} FROM curated WHERE arrival % 5 = 0 OR arrival % 5 = 1")
+@query("src12_manifest_reader", f"SELECT {KEYS} FROM curated WHERE arrival % 5 < 2")
 def _(t):
     c = curated(t).withColumn("role", F.when(F.col("arrival") % 5 < 2, "test").otherwise("train"))
-    a = IO.split_manifest(c.filter("arrival % 5 = 0"))
-    b = c.filter("arrival % 5 = 1").groupBy("place_key").agg(F.create_map(F.lit("test"), F.collect_list(F.struct(*L.KEY))).alias("splits"))
+    # half of the rows in each of the two shapes of manifests
+    a = IO.split_manifest(c.filter("arrival % 2 = 0"))
+    b = c.filter("arrival % 2 = 1").groupBy("place_key", "role").agg(F.collect_list(F.struct(*L.KEY)).alias("keys"))
+    b = b.select(F.create_map("role", "keys").alias("splits"))
     folder = IO.scratch(t.spark, "manifests")
     IO.write_json(a, f"{folder}/a")
     IO.write_json(b, f"{folder}/b")
@@ -327,7 +329,7 @@ def _(t):
 @query("str02_latest_state", f"SELECT {KEYS}, arrival, label, source FROM latest")
 def _(t):
     s, folder = stream(t)
-    return ST.drain(ST.latest_state(s), folder, "complete")
+    return ST.drain(ST.latest_state(s), folder, "update", L.KEY)
 
 
 TPUT = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", source, count(*) AS n FROM label_events JOIN events ON arrival = event_id GROUP BY ALL"
@@ -403,12 +405,13 @@ def _(t):
     return t.raw("pages").select("page_id", IO.image_name(url).alias("name"))
 
 
-@query("udtf01_chip_offsets", "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(unnest(CASE WHEN 60 + (p_partkey * 53) % 1100 <= 128 THEN [0] ELSE range(0, 60 + (p_partkey * 53) % 1100 - 127, 64) END) AS INTEGER) AS row_off FROM samples WHERE (60 + (p_partkey * 53) % 1100 - 128) % 64 <= 32 OR 60 + (p_partkey * 53) % 1100 <= 128")
+SIZE = "(60 + (p_partkey * 53) % 1100)"
+
+
+@query("udtf01_chip_offsets", f"SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(unnest(CASE WHEN {SIZE} <= 128 THEN [0] WHEN ({SIZE} - 128) % 64 > 32 THEN list_append(range(0, {SIZE} - 127, 64), {SIZE} - 128) ELSE range(0, {SIZE} - 127, 64) END) AS INTEGER) AS row_off FROM samples")
 def _(t):
     from canopyframe.functions import udtf
 
     udtf.register(t.spark)
     t.samples().createOrReplaceTempView("canopyframe_samples")
-    rows = t.spark.sql("SELECT p_partkey, 60 + (p_partkey * 53) % 1100 AS size FROM canopyframe_samples")
-    rows.filter("(size - 128) % 64 <= 32 OR size <= 128").createOrReplaceTempView("canopyframe_sizes")
-    return t.spark.sql("SELECT p_partkey, o.row_off FROM canopyframe_sizes s, LATERAL chip_offsets(cast(s.size as int), 128, 64) o")
+    return t.spark.sql(f"SELECT p_partkey, o.row_off FROM canopyframe_samples s, LATERAL chip_offsets(cast({SIZE} as int), 128, 64) o")

@@ -5,22 +5,15 @@ Folders must be ones that all executors share. Schemas are explicit, so nothing
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyframe.plans.lineage import ensure_checkpoint_dir
+from canopyframe.plans.lineage import scratch  # noqa: F401
 
 LABEL_FIELDS = ["raster", "row_off", "col_off", "chunk_size", "label", "source", "annotator", "model_name", "model_prob", "timestamp"]
 LABEL_SCHEMA = ", ".join(f"{c} string" for c in LABEL_FIELDS)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def write_labels(labels: DataFrame, folder: str, by: str = "raster") -> str:
     """One directory of sorted CSV per value of ``by``. Rows of a value are salted over a few tasks
     by row offset, so that a value with very many rows is not one task's."""

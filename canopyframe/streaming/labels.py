@@ -55,20 +55,47 @@ def review_sink(folder: str, low: float = 0.4, high: float = 0.6) -> Callable[[D
     return write
 
 
-def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now and gives back the rows it wrote.
+def merge_sink(folder: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function for update mode: each batch's rows replace those of their keys.
 
-    Append results are Parquet by the file sink; update and complete results go through foreachBatch,
-    complete ones replacing what was there.
+    Batch ``n`` reads the table of batch ``n - 1`` and writes its own, so a batch that is run again
+    replaces itself. The table is rewritten with each batch; keys may be null.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        merged = batch
+        if number:
+            before = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/version={number - 1}").alias("a")
+            changed = batch.select(*keys).distinct().alias("b")
+            same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+            merged = before.join(changed, same, "left_anti").unionByName(batch)
+        merged.write.mode("overwrite").parquet(f"{folder}/version={number}")
+
+    return write
+
+
+def drain(stream: DataFrame, folder: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over what is there now and gives back the rows of its result so far.
+
+    Append results are Parquet by the file sink; update and complete results go through foreachBatch:
+    complete ones replace what was there, update ones are merged by ``keys``, which they must name.
     """
     spark = stream.sparkSession
     out = f"{folder}/out"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         q = writer.format("parquet").option("path", out).start()
+    elif mode == "update":
+        if not keys:
+            raise ValueError("update mode needs the keys that rows are merged by")
+        q = writer.foreachBatch(merge_sink(out, keys)).start()
     else:
         q = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return spark.read.schema(stream.schema).parquet(out)
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(out)
+    found = spark.read.schema(f"{stream.schema.toDDL()}, version int").parquet(out)
+    last = found.agg(F.max("version")).first()[0]
+    return found.filter(F.col("version") == (0 if last is None else last)).drop("version")

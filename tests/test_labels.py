@@ -57,3 +57,30 @@ def test_review_queue_keeps_the_first_check(spark):
     df = frame(spark, [(1, R, 0, 0, "cdw", "auto", 0.1, "a"), (2, R, 64, 0, "cdw", "auto", 0.5, "a")])
     got = {(r.row_off): r.check for r in L.review_queue([("x", 2, df), ("y", 1, df.filter("row_off = 0"))]).collect()}
     assert got == {0: "y", 64: "x"}
+
+
+def test_stream_in_update_mode_merges_batches_by_key(spark, tmp_path):
+    """Three batches: a key of an earlier batch stays, a later event of a key replaces it."""
+    from canopyframe.plans.lineage import scratch
+    from canopyframe.streaming import labels as ST
+
+    def event(arrival, row, label):
+        return (arrival, None, "r", row, None if row == 9 else 0, label, "manual", "u", 0.5)
+
+    folder = f"{tmp_path}/in"
+    for batch in ([event(1, 0, "cdw"), event(2, 64, "cdw")], [event(3, 64, "no_cdw"), event(4, 9, "cdw")], [event(5, 9, "unknown")]):
+        spark.createDataFrame(batch, ST.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    out = ST.drain(ST.latest_state(ST.ingest(spark, folder, files_per_trigger=1)), scratch(spark, "update"), "update", ST.KEY)
+    assert sorted((r.row_off, r.arrival, r.label) for r in out.collect()) == [(0, 1, "cdw"), (9, 5, "unknown"), (64, 3, "no_cdw")]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    import pytest
+    from types import SimpleNamespace
+
+    from canopyframe.plans.lineage import ensure_checkpoint_dir
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            ensure_checkpoint_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))

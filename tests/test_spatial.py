@@ -1,12 +1,13 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from canopyframe.operators import detections as D
 from canopyframe.operators import graph as G
 from canopyframe.operators import spatial as SP
 from canopyframe.operators import splits as S
-from canopyframe.plans.ranking import global_row_number
+from canopyframe.plans.ranking import global_row_number, quantiles, running_sums
 
 
 def boxes(n=120):
@@ -137,4 +138,85 @@ def test_stride(spark):
     df = spark.createDataFrame([(0, 128), (64, 192), (640, 0)], "row_off int, col_off int")
     assert S.infer_stride(df).first().stride == 64
     assert S.infer_stride(df.limit(0)).first().stride == 64
-    assert S.fill_target([5, 3, 9], 8) == [2]
+
+
+def plain_fill(sizes, target):
+    left, picked, total = list(range(len(sizes))), [], 0
+    while left and total < target:
+        best = min(left, key=lambda i: (abs(target - total - sizes[i]), -sizes[i]))
+        picked.append(best)
+        left.remove(best)
+        total += sizes[best]
+    return picked
+
+
+def test_greedy_fill_equals_brute_force(spark):
+    rng = random.Random(8)
+    assert S.fill_sizes({5: 1, 3: 1, 9: 1}, 8) == {9: 1}
+    for _ in range(300):
+        sizes = [rng.randint(1, rng.choice((5, 60))) for _ in range(rng.randint(1, 40))]
+        target = rng.randint(1, sum(sizes) + 5)
+        want = {}
+        for i in plain_fill(sizes, target):
+            want[sizes[i]] = want.get(sizes[i], 0) + 1
+        assert S.fill_sizes({s: sizes.count(s) for s in sizes}, target) == want, (sizes, target)
+    rows = [(g, x, y, rng.randint(1, 12), rng.randint(0, 1)) for g in ("a", "b") for x in range(6) for y in range(5)]
+    df = spark.createDataFrame([(g, x, y, n, n * c) for g, x, y, n, c in rows], "g string, bx int, by int, n long, cdw long")
+    for tolerance in (1.0, 0.01):
+        got = {(r.g, r.bx, r.by) for r in S.greedy_blocks(df, ["g"], 0.2, "7", tolerance=tolerance).collect()}
+        want = set()
+        for g in ("a", "b"):
+            own = sorted((r for r in df.withColumn("h", S.hashed("7", "g", "bx", "by")).collect() if r.g == g), key=lambda r: (r.h, r.bx, r.by))
+            total, share = sum(r.n for r in own), sum(r.cdw for r in own) / sum(r.n for r in own)
+            picked = [own[i] for i in plain_fill([r.n for r in own], max(1, round(total * 0.2)))]
+            gap = lambda rows: abs(sum(r.cdw for r in rows) / max(1, sum(r.n for r in rows)) - share)  # noqa: B023, E731
+            if gap(picked) > tolerance:
+                others = [r for r in own if r not in picked]
+                swaps = [((gap([*(x for x in picked if x is not a), b]), a.n, a.cdw, b.n, b.cdw, a.h, b.h), a, b) for a in picked for b in others]
+                best = min(swaps, key=lambda x: x[0])
+                if best[0][0] < gap(picked):
+                    picked = [*(x for x in picked if x is not best[1]), best[2]]
+            want |= {(r.g, r.bx, r.by) for r in picked}
+        assert got == want
+
+
+def test_running_sums_and_quantiles_equal_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(("a", "b", None)), rng.choice((None, rng.randint(0, 9) / 4, rng.random()))) for _ in range(400)] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.98, "e": 1.0}
+    got = {r.g: r for r in quantiles(df, ["g"], "v", shares).collect()}
+    for g in ("a", "b", None, "one"):
+        own = [v for h, v in rows if h == g and v is not None]
+        assert all(abs(got[g][k] - np.quantile(own, q)) < 1e-12 for k, q in shares.items())
+    assert set(got) == {"a", "b", None, "one"}
+    whole = quantiles(df, [], "v", shares).collect()
+    assert len(whole) == 1 and abs(whole[0].b - np.quantile([v for _, v in rows if v is not None], 0.25)) < 1e-12
+    assert quantiles(df.limit(0), [], "v", shares).count() == 0 and quantiles(df.limit(0), ["g"], "v", shares).count() == 0
+    run = running_sums(df.filter("v IS NOT NULL").groupBy("g", "v").count(), [F.col("v")], ["g"], {"upto": F.col("count")}).collect()
+    assert all(r.upto == sum(1 for h, v in rows if h == r.g and v is not None and v <= r.v) for r in run)
+
+
+def test_nearest_with_crowds_ties_nulls_and_own_keys(spark):
+    """A third of all points on one spot, a dense cluster, null places, and a group without targets."""
+    rng = random.Random(12)
+    pts = [(i, "a", 5.0, 5.0, 1.0) for i in range(60)]
+    pts += [(100 + i, "a", 9 + rng.random() / 1e6, 9 + rng.random() / 1e6, rng.random()) for i in range(60)]
+    pts += [(200 + i, rng.choice("ab"), rng.random() * 10, rng.random() * 10, rng.random() * 3) for i in range(60)]
+    pts += [(900, "a", None, 1.0, 1.0), (901, "c", 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(pts, "id long, g string, x double, y double, z double").repartition(4)
+    good = [p for p in pts if p[2] is not None]
+    for dims in (2, 3):
+        names = ["x", "y", "z"][:dims]
+        far = lambda p, q: sum((a - b) ** 2 for a, b in zip(p[2 : 2 + dims], q[2 : 2 + dims])) ** 0.5  # noqa: B023, E731
+        tg = df.filter("id % 2 = 0").withColumnRenamed("id", "t")
+        for own in (False, True):
+            rows = SP.nearest(df, df if own else tg, ["g"], names, "id", "id" if own else "t", 4).collect()
+            got = {}
+            for r in rows:
+                got.setdefault(r.id, []).append((r.rk, r.neighbour if own else r.t))
+            for p in good:
+                want = sorted((far(p, q), q[0]) for q in good if q[1] == p[1] and (q[0] != p[0] if own else q[0] % 2 == 0))[:4]
+                assert [t for _, t in sorted(got.get(p[0], []))] == [t for _, t in want], (p, dims, own)
+            assert 900 not in got
+    assert SP.nearest(df.limit(0), df, ["g"], ["x", "y"], "id", "id", 2).count() == 0
