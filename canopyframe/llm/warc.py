@@ -16,13 +16,12 @@ rows are split by AQE's skew join. Both tables are written as Parquet by Spark's
 
 from __future__ import annotations
 
-import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyframe.plans.lineage import cut, ensure_checkpoint_dir
+from canopyframe.plans.lineage import cut, scratch
 
 #: Payloads of fewer bytes are never referred to.
 LEAST_REVISIT = 100
@@ -157,7 +156,7 @@ def archive_and_read(pages: DataFrame, folder: str | None = None, **columns) ->
     archive. Payloads are kept whole.
     """
     spark = pages.sparkSession
-    folder = folder or f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = folder or scratch(spark, "warc")
     return read_archive(spark, write_archive(pages, folder, **columns))
 
 
