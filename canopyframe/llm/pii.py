@@ -9,8 +9,8 @@ end above ``CERTAIN`` are marked wherever a scored context or not precedes them.
 
 Scale. One pass over texts leaves spans and mentions without text, written once to the checkpoint
 folder. Edges are pre-aggregated to distinct (context, identifier) pairs; a hot context meets AQE's
-skew join, and scores are partial sums. What follows a context is counted over all texts: of up to
-``SENT`` contexts, which are broadcast, alone; of more, summed per context before they are joined.
+skew join, and scores are partial sums. What follows a context is counted over all texts: pairs of
+words are counted within each task, then summed, and only the sums meet the contexts.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ ROUNDS = 3
 #: Distinct identifiers that a context must have, and the score from which one is believed.
 SUPPORT = 3
 CERTAIN = 0.8
-#: Contexts, of eight bytes each, that are broadcast to count what follows them.
-SENT = 500_000
 MENTIONS = "array<struct<start:int,end:int,context:bigint,item:string,seed:boolean>>"
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -118,14 +116,12 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", F.md5("t").alias("key"), "base", F.filter(mentions, lambda m: m["context"].isNotNull() | ~m["seed"]).alias("mentions"))
 
 
-def context_totals(docs: DataFrame, text_col: str, contexts: DataFrame, sent: int = SENT) -> DataFrame:
+def context_totals(docs: DataFrame, text_col: str, contexts: DataFrame) -> DataFrame:
     """How often each of the distinct ``contexts`` is followed by any word, over all texts."""
     words = docs.select(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0)).alias("w")).filter(F.size("w") > 2)
     pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 2), F.slice("w", F.lit(2), F.size("w") - 2), lambda a, b: F.xxhash64(a, b))
-    rows, total = words.select(F.explode(pairs).alias("context")), F.count("*").alias("total")
-    if contexts.limit(sent + 1).count() <= sent:
-        return rows.join(F.broadcast(contexts), "context", "left_semi").groupBy("context").agg(total)
-    return rows.groupBy("context").agg(total).join(contexts, "context", "left_semi")
+    rows = words.select(F.explode(pairs).alias("context"))
+    return rows.groupBy("context").agg(F.count("*").alias("total")).join(contexts, "context", "left_semi")
 
 
 def learn(docs: DataFrame, scanned: DataFrame, text_col: str, rounds: int = ROUNDS, support: int = SUPPORT, certain: float = CERTAIN) -> DataFrame:
