@@ -21,6 +21,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +114,19 @@ def term_frequencies(docs: DataFrame, text_col: str) -> tuple[int, np.ndarray]:
     return int(n[at == -1].sum()), found
 
 
+class Weights(dict):
+    """Weights of words, worked out when first met; a worker remembers at most ``TERMS`` words."""
+
+    def __init__(self, idf: np.ndarray):
+        self.idf = idf
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= TERMS:
+            self.clear()
+        got = self[word] = float(self.idf[term(word)])
+        return got
+
+
 class Matcher:
     """Sparse unit vectors of the templates under given document frequencies of hashed terms."""
 
@@ -131,25 +145,32 @@ class Matcher:
     def weight(self, word: bytes) -> float:
         return float(self.idf[term(word)])
 
-    def _scores(self, unit: bytes) -> np.ndarray | None:
-        """Cosines of a lower-cased unit to the templates; None if no template shares a word with it."""
-        counts = Counter(_WORD.findall(unit))
-        known = [w for w in counts if w in self.place]
-        if not known:
+    def _scores(self, words: list[bytes]) -> np.ndarray | None:
+        """Cosines of a unit to the templates; None if no template shares a word with it."""
+        if self.place.keys().isdisjoint(words):
             return None
-        at = [self.place[w] for w in known]
-        v = np.array([counts[w] * self.weight(w) for w in known])
-        size = sum((c * self.weight(w)) ** 2 for w, c in counts.items())
-        return self.rows[:, at] @ v / math.sqrt(size)
+        counts, weights, at, v, size = Counter(words), self.weights, [], [], 0.0
+        for w, c in counts.items():
+            x = c * weights[w]
+            size += x * x
+            if w in self.place:
+                at.append(self.place[w])
+                v.append(x)
+        return self.rows[:, at] @ np.array(v) / math.sqrt(size)
 
     def best(self, text: bytes) -> tuple[str | None, float, bool]:
         """License, cosine and whether the notice opens or closes the text; ties go to the earlier template."""
-        low = text.lower()
-        lines = [x for x in low.split(b"\n") if x.strip()]
-        parts = [x for x in re.split(rb"\n[ \t\r]*\n", low.strip()) if x.strip()]
+        lines, parts = [], [[]]
+        for line in text.lower().split(b"\n"):
+            if line.strip():
+                lines.append(_WORD.findall(line))
+                parts[-1].append(lines[-1])
+            elif parts[-1]:
+                parts.append([])
+        parts = [p for p in parts if p]
         units = [(k in (0, len(lines) - 1), x) for k, x in enumerate(lines)]
-        units += [(k in (0, len(parts) - 1), x) for k, x in enumerate(parts) if b"\n" in x]
-        units += [(True, low)] if len(parts) > 1 else []
+        units += [(k in (0, len(parts) - 1), [w for x in p for w in x]) for k, p in enumerate(parts) if len(p) > 1]
+        units += [(True, [w for x in lines for w in x])] if len(parts) > 1 else []
         top = (0.0, 0, False)
         for edge, unit in units:
             scores = self._scores(unit)
@@ -158,6 +179,10 @@ class Matcher:
                 top = max(top, (round(float(scores[k]), 6), -k, edge))
         return (self.templates[-top[1]][0] if top[0] >= THRESHOLD else None), top[0], top[2] and top[0] >= THRESHOLD
 
+    @cached_property
+    def weights(self) -> Weights:
+        return Weights(self.idf)
+
 
 def license_column(text: Column, matcher) -> Column:
     """``matcher`` is a Spark broadcast of a Matcher, whose size the templates and ``TERMS`` fix."""
