@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canopyframe.llm.shingles import linked_groups, text_key
 from canopyframe.llm.textio import byte_slices, space_words
 from canopyframe.operators.graph import connected_components
 from canopyframe.plans.lineage import cut
@@ -201,19 +202,27 @@ def simhash_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest id (any one, if none has an id).
+    """``docs`` with one row of each group: that of its smallest id (any one, if none has an id).
 
-    All columns stay. The choice is made on ids and fingerprints alone; texts pass one join by id.
-    Ids that stand in several rows are told apart by fingerprint, and exact repeats leave one row.
+    A group hangs together by fingerprints within four bits and by pairs whose five-word shingles have a
+    Jaccard similarity of 0.8 or more (``shingles``). All columns stay. The choice is made on ids and
+    digests; texts pass one join by id, and those with a similar text another. Ids that stand in several
+    rows are told apart by their texts, and exact repeats leave one row. Texts without words
+    link like any other. An empty table gives an empty result.
     """
-    slim = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")))
-    rows = slim.groupBy("doc_id", "fp").count()
-    member = rows.join(near_duplicate_components(slim), "fp")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp"))
-    best = member.groupBy("component").agg(first.alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.fp").alias("__fp"))
-    times = slim.groupBy(F.col("doc_id").alias("__times_id")).agg(F.count("*").alias("__times"))
-    best = cut(best.join(times, F.col("__id").eqNullSafe(F.col("__times_id"))).drop("__times_id"))
-    own = docs[id_col].eqNullSafe(best["__id"])
-    once = docs.join(best.filter("__times = 1"), own, "left_semi")
-    several = docs.join(best.filter("__times > 1"), own).filter(fingerprint_column(F.col(text_col)) == F.col("__fp"))
-    return once.union(several.dropDuplicates(["__id", "__fp"]).drop("__id", "__fp", "__times"))
+    text = F.col(text_col)
+    slim = cut(docs.select(F.col(id_col).alias("id"), text_key(text).alias("sid"), fingerprint_column(text).alias("fp")))
+    groups = cut(slim.select("sid", "fp").distinct().join(near_duplicate_components(slim, "id"), "fp").select("sid", F.col("component").alias("c")))
+    texts = docs.select(text_key(text).alias("sid"), text.alias("text")).filter(F.col("text").isNotNull())
+    joined = linked_groups(texts, groups)
+    groups = groups.join(joined, "c", "left").select("sid", F.coalesce("group", "c").alias("c"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sid"))
+    best = slim.join(groups, "sid").groupBy("c").agg(first.alias("m")).select(F.col("m.id").alias("id"), F.col("m.sid").alias("sid"))
+    times = slim.groupBy(F.col("id").alias("times_id")).agg(F.count("*").alias("times"))
+    best = cut(best.join(times, F.col("id").eqNullSafe(F.col("times_id"))).drop("times_id"))
+    # the document's columns ride in a struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = F.col("row")[id_col].eqNullSafe(F.col("id"))
+    kept = rows.join(best.filter("times = 1"), own, "left_semi")
+    several = rows.join(best.filter("times > 1"), own).filter(text_key(F.col("row")[text_col]) == F.col("sid"))
+    return kept.unionByName(several.dropDuplicates(["id", "sid"]).select("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])

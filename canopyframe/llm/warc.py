@@ -6,10 +6,10 @@ of each record's header and HTTP head are stored apart, with that digest. Readin
 tables, checks each payload against its digest and gives back the records' bytes.
 
 Scale. Digests are counted first, on rows without payload. A bitmap over hashed digests that several
-pages share (``bitmap_construct_agg``: at most ``FILTER_BITS`` bits, in rows of four kilobytes, so its
-broadcast is bounded at any size of input) splits the pages: one whose bit is not set shares its
+pages share (``bitmap_construct_agg``: see ``bitmaps``; its broadcast is bounded at any size of
+input) splits the pages: one whose bit is not set shares its
 payload with no other and goes from the scan to the store without a shuffle, which holds for all but a
-share of about ``1 / SPARE`` of unshared payloads; the rest meet the shared digests in a join, which
+share of about one in sixteen unshared payloads; the rest meet the shared digests in a join, which
 keeps one row of each. Reading joins small header rows with payloads by digest; a hot digest's header
 rows are split by AQE's skew join. Both tables are written as Parquet by Spark's committer.
 """
@@ -21,37 +21,14 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopyframe.llm.bitmaps import marked
 from canopyframe.plans.lineage import cut, scratch
 
 #: Payloads of fewer bytes are never referred to.
 LEAST_REVISIT = 100
-#: Bits of a filter for each digest in it, about, and the most bits of one (64 MB).
-SPARE = 16
-FILTER_BITS = 2**29
-ROW_BITS = 32_768  # of one row of bitmap_construct_agg
 CRLF = "\r\n"
 
 
-def _bit(digest: Column, rows: int) -> tuple[Column, Column]:
-    """Row and place in it of a digest's bit in a filter of so many rows."""
-    at = F.pmod(F.xxhash64(digest), F.lit(rows * ROW_BITS))
-    return F.floor(at / ROW_BITS).cast("int"), (at % ROW_BITS).cast("int")
-
-
-def digest_filter(digests: DataFrame, most: int = FILTER_BITS) -> tuple[DataFrame, int]:
-    """``(slot, bits)`` and the number of rows: a bitmap of the hashed ``digest`` column."""
-    rows = max(1, min(most, digests.count() * SPARE) // ROW_BITS)
-    slot, bit = _bit(F.col("digest"), rows)
-    return digests.select(slot.alias("slot"), bit.cast("long").alias("bit")).groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bits")), rows
-
-
-def in_filter(bits: Column, digest: Column, rows: int) -> Column:
-    """Whether a digest's bit is set in its slot's ``bits``; a slot without a row has none."""
-    bit = _bit(digest, rows)[1]
-    byte = F.conv(F.hex(F.substring(bits, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, bit % 8) == 1, F.lit(False))
-
-
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_REVISIT, date: str | Column | None = None) -> tuple[DataFrame, DataFrame]:
     """``headers (page_id, header, http, payload_digest)`` and ``payloads (payload_digest, payload)``.
 
@@ -70,10 +47,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     shared = cut(shared.select(F.col("payload_digest").alias("digest"), F.col("m.page_id").alias("first"), F.col("m.row").alias("first_row")))
 
     base = pages.select(F.sha2(payload, 256).alias("payload_digest"), payload.alias("payload"))
-    marks, rows = digest_filter(shared.select("digest"))
-    slot = _bit(F.col("payload_digest"), rows)[0]
-    met = base.withColumn("slot", slot).join(F.broadcast(marks), "slot", "left")
-    may = in_filter(F.col("bits"), F.col("payload_digest"), rows)
+    met, may = marked(base, "payload_digest", shared.select("digest"))
     sure = met.filter(~may).select("payload_digest", "payload")
     # equal payloads are one row of each task before they are shuffled, and one row after
     doubtful = met.filter(may).groupBy("payload_digest").agg(F.any_value("payload").alias("payload"))

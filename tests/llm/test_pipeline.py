@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.llm.test_decontaminate import brute
 from tests.llm.test_pii import plain as plain_spans
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_shingles import plain_groups
 
 MARKS = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]"]
 
@@ -67,7 +67,7 @@ def test_stages_against_plain_versions(spark, tmp_path):
     assert set(range(70)) - bad == set(kept) & set(range(70))
 
     ids = sorted(kept)
-    groups = plain_components([plain_fingerprint(kept[i]) for i in ids])
+    groups = plain_groups([kept[i] for i in ids])
     first = {ids[g] for g in groups}
     assert {r["doc_id"] for r in seen[1]} == first and len(seen[1]) == len(first)
 
