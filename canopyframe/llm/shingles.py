@@ -8,11 +8,13 @@ two texts meet if the ``ROWS`` minima of one of ``BANDS`` bands agree, which pai
 Scale. Only bands that several texts share go on. What is looked for is which groups hang together, so
 a pair is compared only if its ends are not yet in one group. First each bucket's best connected text is
 compared with its other members (in small buckets all of the first ``SMALL`` are), which settles groups
-of copies, however large, by a pair a member. Then members of one bucket that are in different groups
-are compared by their sketches, a byte of each minimum, in blocks of a bounded size, and only pairs
-with ``ALIKE`` equal bytes (four deviations below the least similarity) are looked at as sets. A bucket
-of over ``BUCKET`` texts takes another exact way: rounds that compare ``SMALL`` texts with all others and
-lay them aside, until those left are in one group. Sets are built of texts with a pair to compare only.
+of copies, however large, by a pair a member. Then the members of a bucket that are in different groups
+meet in one task, which holds at most ``BUCKET`` texts and ``BULK`` shingles: sketches, a byte of each
+minimum, say which pairs are worth a look (``ALIKE`` equal bytes, four deviations below the least
+similarity), their sets decide, and a link joins their groups there and then, so at most one link a
+member leaves the task. A larger bucket takes another exact way: rounds that compare ``SMALL`` texts with
+all others and lay them aside, until those left are in one group. Sets are built of texts with a pair to
+compare only.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ LEAST = 0.8
 ROWS, BANDS = 7, 40
 SMALL = 16
 BUCKET = 4096
+BULK = 4_000_000
 ALIKE = 196  # of ROWS * BANDS
 BLOCK = 2048
 
@@ -74,20 +77,27 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return ((low.reshape(BANDS, ROWS) * _family()[2]).sum(1, dtype=np.uint64) * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def signature_column(text: Column) -> Column:
-    """``struct<keys, sketch>``; a text without words has no keys."""
+def keys_column(text: Column) -> Column:
+    """``struct<keys, size>``: band keys and number of shingles; a text without words has no keys."""
 
-    @F.arrow_udf("struct<keys:array<bigint>,sketch:binary>")
+    @F.arrow_udf("struct<keys:array<bigint>,size:int>")
     def kernel(texts: pa.Array) -> pa.Array:
-        keys, sketches = [], []
-        for part in byte_slices(texts):
-            for x in part:
-                hashes = shingle_hashes(x)
-                low = minima(hashes)
-                keys.append(band_keys(low) if len(hashes) else np.zeros(0, np.int64))
-                # the multiplied low bits, as minima's own are near zero at the top
-                sketches.append((low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes())
-        return pa.StructArray.from_arrays([pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["keys", "sketch"])
+        found = [shingle_hashes(x) for part in byte_slices(texts) for x in part]
+        keys = [band_keys(minima(h)) if len(h) else np.zeros(0, np.int64) for h in found]
+        return pa.StructArray.from_arrays([pa.array(keys, pa.list_(pa.int64())), pa.array([len(h) for h in found], pa.int32())], ["keys", "size"])
+
+    return kernel(text)
+
+
+def sketch_column(text: Column) -> Column:
+    """``struct<sketch, hashes>``: a byte of each minimum, and the sorted shingle hashes, as bytes."""
+
+    @F.arrow_udf("struct<sketch:binary,hashes:binary>")
+    def kernel(texts: pa.Array) -> pa.Array:
+        found = [shingle_hashes(x) for part in byte_slices(texts) for x in part]
+        # of the multiplied minima, since their own top bytes are near zero
+        sketches = [(minima(h) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes() for h in found]
+        return pa.StructArray.from_arrays([pa.array(sketches, pa.binary()), pa.array([h.tobytes() for h in found], pa.binary())], ["sketch", "hashes"])
 
     return kernel(text)
 
@@ -100,38 +110,47 @@ def shingles_column(text: Column) -> Column:
     return kernel(text)
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one bucket (rows sorted by key) in different groups with sketches alike; holds one bucket."""
-    names = ["key", "sid", "c", "sketch"]
-    held = pa.table({"key": pa.array([], pa.int64()), "sid": pa.array([], pa.binary()), "c": pa.array([], pa.int64()), "sketch": pa.array([], pa.binary())})
-
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        key = rows["key"].to_numpy()
-        sids, group = rows["sid"].to_pylist(), rows["c"].to_numpy()
-        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(sids), ROWS * BANDS)
-        ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) + 1 if len(key) else []
-        a, b, start = [], [], 0
-        for end in ends:
-            for i in range(start, end - 1):
-                other = np.arange(i + 1, end)[group[i + 1 : end] != group[i]]
-                if len(other):
-                    near = other[(sketch[other] == sketch[i]).sum(1) >= ALIKE]
-                    a += [i] * len(near)
-                    b += near.tolist()
-            start = end
-        ids = pa.array(sids, pa.binary())
-        at, to = pa.array(a, pa.int64()), pa.array(b, pa.int64())
-        groups = pa.array(group)
-        return pa.RecordBatch.from_arrays([ids.take(at), ids.take(to), groups.take(at), groups.take(to)], ["a", "b", "ca", "cb"])
+def bucket_links(group: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of groups that links between a bucket's texts join: a forest, so fewer than texts."""
+    label, links = group.copy(), []
+    size = np.array([len(x) for x in sets])
+    for i in range(len(sets) - 1):
+        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        other = other[np.minimum(size[other], size[i]) >= LEAST * np.maximum(size[other], size[i])]
+        other = other[(sketch[other] == sketch[i]).sum(1) >= ALIKE]
+        for j in other.tolist():
+            if label[j] != label[i]:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if common >= LEAST * (size[i] + size[j] - common):
+                    links.append((int(group[i]), int(group[j])))
+                    label[label == label[j]] = label[i]
+    return links
+
+
+def _link_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of groups within buckets; rows ``key, c, sketch, hashes`` come sorted by key. Holds one bucket."""
+    kinds = {"key": pa.int64(), "c": pa.int64(), "sketch": pa.binary(), "hashes": pa.binary()}
+    held = pa.table({n: pa.array([], k) for n, k in kinds.items()})
+
+    def settle(rows: pa.Table) -> pa.RecordBatch:
+        key, group = rows["key"].to_numpy(), rows["c"].to_numpy()
+        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(key), ROWS * BANDS)
+        ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) + 1 if len(key) else np.zeros(0, np.int64)
+        links = []
+        for s, e in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            sets = [np.frombuffer(x, np.uint64) for x in rows["hashes"].slice(s, e - s).to_pylist()]
+            links += bucket_links(group[s:e], sketch[s:e], sets)
+        a, b = zip(*links) if links else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["ca", "cb"])
 
     for batch in batches:
-        held = pa.concat_tables([held, pa.Table.from_batches([batch]).select(names)])
+        held = pa.concat_tables([held, pa.Table.from_batches([batch]).select(list(kinds))])
         key = held["key"].to_numpy()
-        done = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last bucket may go on
+        done = int(np.flatnonzero(key == key[-1])[0]) if len(key) else 0  # the last bucket may go on
         if done:
-            yield pairs(held.slice(0, done))
+            yield settle(held.slice(0, done))
             held = held.slice(done)
-    yield pairs(held)
+    yield settle(held)
 
 
 def linked_groups(texts: DataFrame, groups: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -140,11 +159,10 @@ def linked_groups(texts: DataFrame, groups: DataFrame, bucket: int = BUCKET) ->
     ``texts`` has ``sid, text`` (text keys, repeats included) and ``groups`` has ``sid, c``: what is
     already known to hang together. Groups that no link joins to another are not listed.
     """
-    keys = texts.select("sid", signature_column(F.col("text"))["keys"].alias("keys"))
-    keys = cut(keys.groupBy("sid").agg(F.any_value("keys").alias("keys")))
-    rows = keys.select("sid", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = cut(rows.join(shared, "key"))
+    keys = texts.select("sid", keys_column(F.col("text")).alias("k")).groupBy("sid").agg(F.any_value("k").alias("k"))
+    rows = cut(keys).select("sid", F.explode("k.keys").alias("key"), F.col("k.size").alias("size"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bulk")).filter("n > 1")
+    rows = cut(rows.drop("size").join(shared, "key"))
     rows = cut(rows.join(rows.groupBy("sid").agg(F.sum("n").alias("weight")), "sid").join(groups, "sid"))
     edges = None
 
@@ -183,13 +201,13 @@ def linked_groups(texts: DataFrame, groups: DataFrame, bucket: int = BUCKET) ->
     add(confirmed(with_pivots(rows, ranked.filter(f"rank = 1 OR n <= {SMALL}"))))
 
     rows = current(rows.filter(F.col("n") > SMALL))
-    medium = cut(rows.filter(F.col("n") <= bucket))
-    sketches = texts_of(medium.select("sid").distinct()).select("sid", signature_column(F.col("text"))["sketch"].alias("sketch"))
-    medium = medium.join(sketches, "sid")
-    dealt = medium.select("key", "sid", "c", "sketch").repartition("key").sortWithinPartitions("key")
-    add(confirmed(dealt.mapInArrow(_alike, "a binary, b binary, ca long, cb long")))
+    fits = (F.col("n") <= bucket) & (F.col("bulk") <= BULK)
+    medium = rows.filter(fits).select("key", "sid", "c")
+    known = texts_of(medium.select("sid").distinct()).select("sid", sketch_column(F.col("text")).alias("s")).select("sid", "s.*")
+    dealt = medium.join(known, "sid").drop("sid").repartition("key").sortWithinPartitions("key")
+    add(cut(dealt.mapInArrow(_link_buckets, "ca long, cb long").distinct()))
 
-    rows = current(rows.filter(F.col("n") > bucket))
+    rows = current(rows.filter(~fits))
     while rows.limit(1).count():
         ranked = cut(rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= SMALL))
         add(confirmed(with_pivots(rows, ranked)))

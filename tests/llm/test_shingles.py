@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from canopyframe.llm import shingles as G
@@ -80,17 +82,30 @@ def test_large_buckets_take_another_way_to_the_same_groups(spark, monkeypatch):
     assert name[17] == name[4096] and len(name[17]) > 100
 
 
-def test_kernel_holds_one_bucket_and_pairs_across_batches():
-    import numpy as np
-    import pyarrow as pa
-
+def test_kernel_links_groups_of_each_bucket_across_batches():
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 256, G.ROWS * G.BANDS).astype(np.uint8)
-    rows = [(k, b"%d-%d" % (k, i), k * 10 + i % 3, base.tobytes() if i != 4 else bytes(280)) for k in range(6) for i in range(5)]
-    cut = lambda a, b: pa.RecordBatch.from_pydict({"key": pa.array([r[0] for r in rows[a:b]], pa.int64()), "sid": [r[1] for r in rows[a:b]], "c": pa.array([r[2] for r in rows[a:b]], pa.int64()), "sketch": [r[3] for r in rows[a:b]]})
-    for step in (30, 7, 1):
-        out = [x for b in G._alike(iter([cut(i, i + step) for i in range(0, 30, step)])) for x in b.to_pylist()]
-        got = {(x["a"], x["b"]) for x in out}
-        want = {(b"%d-%d" % (k, i), b"%d-%d" % (k, j)) for k in range(6) for j in range(4) for i in range(j) if i % 3 != j % 3}
-        assert got == want
-    assert sum(b.num_rows for b in G._alike(iter([]))) == 0
+    rows, want = [], {}
+    for k in range(6):
+        base = rng.integers(0, 2**63, 60).astype(np.uint64)
+        own = [np.unique(np.concatenate([base[i % 3 * 2 :], rng.integers(0, 2**63, 3 * (i % 4)).astype(np.uint64)])) for i in range(9)]
+        group = {i: k * 100 + i // 2 for i in range(9)}
+        rows += [(k, group[i], (G.minima(h) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes(), h.tobytes()) for i, h in enumerate(own)]
+        for i in range(9):
+            for j in range(i):
+                common = len(np.intersect1d(own[i], own[j]))
+                if common >= 0.8 * (len(own[i]) + len(own[j]) - common):
+                    want.setdefault(group[i], set()).add(group[j])
+    names = ["key", "c", "sketch", "hashes"]
+    cut = lambda a, b: pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in rows[a:b]], pa.int64() if k < 2 else pa.binary()) for k, n in enumerate(names)})
+
+    def joined(pairs):
+        label = {r[1]: r[1] for r in rows}
+        for a, b in pairs:
+            x, y = label[a], label[b]
+            label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+        return label
+
+    for step in (54, 7, 1):
+        out = [(x["ca"], x["cb"]) for b in G._link_buckets(iter([cut(i, i + step) for i in range(0, 54, step)])) for x in b.to_pylist()]
+        assert joined(out) == joined((a, b) for a, bs in want.items() for b in bs) and len(out) < 54 and all(a // 100 == b // 100 for a, b in out)
+    assert sum(b.num_rows for b in G._link_buckets(iter([]))) == 0
