@@ -8,6 +8,7 @@ from canopyframe.operators import detections as D
 from canopyframe.operators import labels as L
 from canopyframe.operators import spatial
 from canopyframe.operators import splits as S
+from canopyframe.queries import split_sql as Q
 from canopyframe.queries.base import query
 
 
@@ -339,12 +340,12 @@ def _(t):
 # splits
 
 
-@query("spl01_block_split")
+@query("spl01_block_split", f"WITH RECURSIVE {Q.block_roles("['42']")} SELECT place_key, rows, role FROM ro")
 def _(t):
     return S.block_split(S.place_registry(curated(t))).select("place_key", "rows", "role")
 
 
-@query("spl02_pseudo_blocks")
+@query("spl02_pseudo_blocks", f"WITH p AS (SELECT DISTINCT place_key, grid_x, grid_y, {Q.CRC32.format('place_key')} AS h FROM curated) SELECT place_key, CASE WHEN grid_x % 2 = 0 THEN grid_x // 2 ELSE 10000000 + h % 10000 END AS bx, CASE WHEN grid_x % 2 = 0 THEN grid_y // 2 ELSE 10000000 + h // 10000 % 10000 END AS by FROM p")
 def _(t):
     p = S.place_registry(curated(t)).withColumn("grid_x", F.when(F.col("grid_x") % 2 == 0, F.col("grid_x"))).withColumn("grid_y", F.when(F.col("grid_x").isNotNull(), F.col("grid_y")))
     return p.select("place_key", *S.block_of(2))
@@ -355,22 +356,22 @@ def _(t):
     return S.distance_split(S.place_registry(curated(t))).select("place_key", "region", "rows", "role")
 
 
-@query("spl04_lloyd_regions")
+@query("spl04_lloyd_regions", f"WITH RECURSIVE {Q.LLOYD} SELECT place_key, CAST(CASE WHEN d1 <= d2 AND d1 <= d3 THEN 0 WHEN d2 <= d3 THEN 1 ELSE 2 END AS INTEGER) AS region FROM (SELECT DISTINCT place_key, " + ", ".join(f"(grid_x - a{k}) ** 2 + (grid_y - b{k}) ** 2 AS d{k}" for k in (1, 2, 3)) + " FROM curated, ce)")
 def _(t):
     return S.lloyd(S.place_registry(curated(t)), 3, "42").select("place_key", "region")
 
 
-@query("spl05_raster_chip_split")
+@query("spl05_raster_chip_split", f"WITH RECURSIVE {Q.chip_roles('raster')} SELECT raster, row_off, col_off, role FROM ro")
 def _(t):
     return S.chip_split(curated(t), group="raster").select("raster", "row_off", "col_off", "role")
 
 
-@query("spl06_place_chip_split")
+@query("spl06_place_chip_split", f"WITH RECURSIVE {Q.chip_roles('place_key')} SELECT place_key, raster, row_off, col_off, role FROM ro")
 def _(t):
     return S.chip_split(curated(t)).select("place_key", "raster", "row_off", "col_off", "role")
 
 
-@query("spl06_year_invariant", "SELECT count(*) AS positions, CAST(0 AS BIGINT) AS mixed FROM (SELECT DISTINCT place_key, row_off, col_off FROM curated)")
+@query("spl06_year_invariant", f"WITH RECURSIVE {Q.chip_roles('place_key')} SELECT count(*) AS positions, count(*) FILTER (roles > 1) AS mixed FROM (SELECT count(DISTINCT role) AS roles FROM ro GROUP BY place_key, row_off, col_off)")
 def _(t):
     """Positions of a place, and those with more than one role among its years: none."""
     s = S.chip_split(curated(t)).groupBy("place_key", "row_off", "col_off").agg(F.countDistinct("role").alias("roles"))
@@ -402,7 +403,11 @@ def _(t):
     return g.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("method")), 4))
 
 
-@query("spl09_cluster_split")
+@query(
+    "spl09_cluster_split",
+    f"""WITH RECURSIVE {Q.block_roles("list_transform(range(10), lambda x: x::VARCHAR)")}, o AS (SELECT g, abs(coalesce(sum(cdw) FILTER (role = 'test') / sum(rows) FILTER (role = 'test'), 0) - sum(cdw) / sum(rows)) AS off FROM ro GROUP BY g),
+    w AS (SELECT coalesce((SELECT min(g) FROM o WHERE off <= 0.02::DOUBLE), (SELECT arg_min(g, (off, g)) FROM o)) AS g) SELECT place_key, rows, role, CAST(g AS INTEGER) AS seed FROM ro JOIN w USING (g)""",
+)
 def _(t):
     """First of ten seeds whose block split's test share of cdw is within tolerance, else the nearest."""
     places = S.place_registry(curated(t)).cache()
@@ -532,7 +537,10 @@ def _(t):
     return S.touching_components(p, "year")
 
 
-@query("ens06_suppression")
+BOXES = f"{INST}, bo AS (SELECT inst.*, coalesce(model_prob, 0.5::DOUBLE) AS confidence FROM inst JOIN curated ON arrival = id)"
+
+
+@query("ens06_suppression", f"WITH RECURSIVE {BOXES}, {Q.SUPPRESS} SELECT id, confidence FROM kept")
 def _(t):
     return suppressed(t).select("id", "confidence")
 
@@ -545,7 +553,10 @@ def suppressed(t):
     return D.non_maximum_suppression(boxes(t), 128, "raster", least=0.2)
 
 
-@query("ens06_suppression_invariant", "SELECT CAST(0 AS BIGINT) AS overlapping, CAST(0 AS BIGINT) AS unexplained")
+@query(
+    "ens06_suppression_invariant",
+    f"WITH RECURSIVE {BOXES}, {Q.SUPPRESS} SELECT (SELECT count(*) FROM kept a JOIN kept b ON {Q.OVERLAP} AND a.id < b.id) AS overlapping, (SELECT count(*) FROM bo a WHERE id NOT IN (SELECT id FROM kept) AND NOT EXISTS (SELECT 1 FROM kept b WHERE {Q.OVERLAP} AND (b.confidence, -b.id) > (a.confidence, -a.id))) AS unexplained",
+)
 def _(t):
     """Kept boxes that overlap another kept one, and dropped boxes without a better kept one: none."""
     from canopyframe.plans.lineage import cut

@@ -7,6 +7,7 @@ from canopyframe.functions import keys as K
 from canopyframe.operators import labels as L
 from canopyframe.operators import splits as S
 from canopyframe.plans.ranking import global_row_number
+from canopyframe.queries import split_sql as Q
 from canopyframe.queries.base import query
 from canopyframe.sources import files as IO
 from canopyframe.streaming import labels as ST
@@ -272,7 +273,7 @@ def _(t):
     return t.spark.read.parquet(folder).groupBy("raster", "variant").agg(F.count("*").alias("n"))
 
 
-@query("snk03_split_manifest")
+@query("snk03_split_manifest", f"WITH RECURSIVE {Q.chip_roles('place_key')} SELECT raster, row_off, col_off FROM ro WHERE role = 'test'")
 def _(t):
     return IO.read_manifests(t.spark, IO.write_json(IO.split_manifest(S.chip_split(curated(t))), IO.scratch(t.spark, "split")))
 

@@ -15,8 +15,8 @@ SOME = """curated_class_balance prj01_raster_identity prj14_label_confidence flt
 agg02_balance_per_year agg04_sheet_year_cube agg07_data_quality agg12_label_counts_rollup agg21_gini agg25_variant_by_architecture top02_queue_page top05_stratified_sample top10_ratio_split
 set03_split_coverage set06_column_union join02_labels_by_variant join06_window_labels join09_overlap_pairs join13_chip_buffer join14_rectangle_anti_join join16_visible_instances join22_temporal_views
 pc05_local_fallback pc09_feature_bands pc13_consensus_class ras01_chip_offsets ras04_feature_bank ras14_otsu ras17_border_uncertainty met02_threshold_sweep met04_roc_auc met07_breakdown stat03_bootstrap
-spl07_stride spl08_zone_split spl10_bisection_split leak02_overlap_pairs leak03_remediation win09_review_queue src01_label_csv_scan src10_session_scan src11_annotation_export src12_manifest_reader snk04_place_geojson
-str02_latest_state str03_throughput str04_annotator_sessions str05_review_queue x14_diverse_top x19_image_names udtf01_chip_offsets""".split()
+spl01_block_split spl02_pseudo_blocks spl04_lloyd_regions spl05_raster_chip_split spl06_year_invariant spl07_stride spl08_zone_split spl10_bisection_split leak02_overlap_pairs leak03_remediation win09_review_queue src01_label_csv_scan src10_session_scan src11_annotation_export src12_manifest_reader snk04_place_geojson
+snk03_split_manifest ens06_suppression str02_latest_state str03_throughput str04_annotator_sessions str05_review_queue x14_diverse_top x19_image_names udtf01_chip_offsets""".split()
 
 
 def plain(v):
