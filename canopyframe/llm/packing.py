@@ -126,57 +126,73 @@ def best_fit(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 
 class _Backs:
-    """What bins can give back in an exchange: one row for each item of a bin (or pair) of distinct size."""
+    """What underfull bins can give back in an exchange: a row for each item (or pair) of distinct size of a bin.
 
-    def __init__(self, bins: list[list[int]], sizes: list[int], pairs: bool):
-        self.bins, self.sizes, self.pairs = bins, sizes, pairs
-        self.age = np.zeros(len(bins), np.int64)  # rows of an earlier age than their bin's are void
-        self._fill(range(len(bins)))
+    Rows keep the fill that their bin had, which stays right because a bin's rows are voided when it changes.
+    """
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], fill: np.ndarray, pairs: bool, capacity: int):
+        self.bins, self.sizes, self.fill, self.pairs, self.capacity = bins, sizes, fill, pairs, capacity
+        self._build()
 
-    def _rows(self, b: int) -> list[tuple[int, int, int, int, int]]:
-        """(bin, age, size, item, other item or -1)"""
-        age, one, two = int(self.age[b]), {}, {}
+    def _rows(self, b: int) -> list[tuple[int, int, int, int]]:
+        """(bin, size, item, other item or -1); a full bin has none."""
+        one, two = {}, {}
+        if self.fill[b] >= self.capacity:
+            return []
         for i in self.bins[b]:
             if self.sizes[i] in one:
                 two.setdefault(self.sizes[i], i)
             one.setdefault(self.sizes[i], i)
         if not self.pairs:
-            return [(b, age, x, i, -1) for x, i in one.items()]
+            return [(b, x, i, -1) for x, i in one.items()]
         sums = {x + y: (i, j) for (x, i), (y, j) in combinations(one.items(), 2)}
         sums |= {2 * x: (one[x], j) for x, j in two.items()}
-        return [(b, age, x, i, j) for x, (i, j) in sums.items()]
-
-    def _fill(self, which) -> None:
-        self.n, rows = 0, np.array([r for b in which for r in self._rows(b)], np.int64).reshape(-1, 5)
-        self.table = np.zeros((2 * len(rows) + 1024, 5), np.int64)
-        self._append(rows)
-
-    def _append(self, rows: np.ndarray) -> None:
-        self.table[self.n : self.n + len(rows)] = rows
-        self.n += len(rows)
+        return [(b, x, i, j) for x, (i, j) in sums.items()]
+
+    def _build(self) -> None:
+        self.place = [(0, 0)] * len(self.bins)
+        of = [self._rows(b) for b in range(len(self.bins))]
+        many = sum(map(len, of))
+        self.n, self.table, self.level = 0, np.zeros((4, 2 * many + 1024), np.int64), np.zeros(2 * many + 1024, np.int64)
+        at = 0
+        for b, rows in enumerate(of):
+            self.place[b] = (at, at + len(rows))
+            at += len(rows)
+        self.table[:, :many] = np.array([r for rows in of for r in rows], np.int64).reshape(-1, 4).T
+        self.level[:many] = self.fill[self.table[0, :many]]
+        self.n = many
 
     def changed(self, b: int) -> None:
-        self.age[b] += 1
-        rows = np.array(self._rows(b), np.int64).reshape(-1, 5)
-        if self.n + len(rows) > len(self.table):
-            self._fill(range(len(self.bins)))
-        else:
-            self._append(rows)
-
-    def best(self, outs: np.ndarray, giver: int, fill: np.ndarray, capacity: int) -> tuple[int, int, int, tuple[int, ...]]:
+        low, high = self.place[b]
+        self.level[low:high] = -1
+        rows = self._rows(b)
+        if self.n + len(rows) > len(self.level):
+            self._build()
+            return
+        self.place[b] = (self.n, self.n + len(rows))
+        if rows:
+            self.table[:, self.n : self.n + len(rows)] = np.array(rows, np.int64).T
+            self.level[self.n : self.n + len(rows)] = self.fill[b]
+            self.n += len(rows)
+
+    def best(self, outs: np.ndarray, giver: int) -> tuple[int, int, int, tuple[int, ...]]:
         """(gain, bin, size out, items back) of the best exchange for one of the sorted sizes ``outs``."""
-        owner, age, size = (self.table[: self.n, k] for k in range(3))
-        level = fill[owner]
-        room = capacity - level + size
+        low = self.fill[giver]
+        rows = np.flatnonzero((self.level[: self.n] >= low) & (self.table[1, : self.n] < outs[-1]))
+        rows = rows[self.table[0, rows] != giver]
+        if not len(rows):
+            return 0, -1, 0, ()
+        level, size = self.level[rows], self.table[1, rows]
+        room = self.capacity - level + size
         # the gain grows with what is shifted, so of a row's fitting sizes the largest is its best
-        out = outs[np.maximum(np.searchsorted(outs, room, "right") - 1, 0)] if len(outs) > 1 else outs[0]
+        out = outs[np.maximum(np.searchsorted(outs, room, "right") - 1, 0)]
         shift = out - size
-        good = (shift > 0) & (out <= room) & (level >= fill[giver]) & (level < capacity) & (owner != giver) & (age == self.age[owner])
-        if not good.any():
-            return 0, -1, 0, ()
-        gain = np.where(good, shift * (level - fill[giver] + shift), 0)
+        gain = np.where((shift > 0) & (out <= room), shift * (level - low + shift), 0)
         k = int(gain.argmax())
-        b, _, back, i, j = self.table[k].tolist()
+        if gain[k] == 0:
+            return 0, -1, 0, ()
+        b, back, i, j = self.table[:, rows[k]].tolist()
         return int(gain[k]), b, back + int(shift[k]), (i,) if j < 0 else (i, j)
 
 
@@ -191,7 +207,7 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int = CAPACI
     """
     bins = [list(b) for b in bins]
     fill = np.array([sum(sizes[i] for i in b) for b in bins], np.int64)
-    ones, twos = _Backs(bins, sizes, False), _Backs(bins, sizes, True)
+    ones, twos = (_Backs(bins, sizes, fill, pairs, capacity) for pairs in (False, True))
     steps, seen = 0, [-1] * len(bins)
 
     def step(giver: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
@@ -200,17 +216,19 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int = CAPACI
         two = {2 * sizes[i]: (i, j) for i, j in combinations(bins[giver], 2) if sizes[i] == sizes[j]} if len(one) < len(bins[giver]) else {}
         two |= {x + y: (i, j) for (x, (i,)), (y, (j,)) in combinations(one.items(), 2)}
         single, any_out = np.array(sorted(one)), np.array(sorted(one.keys() | two.keys()))
-        gap = np.where((fill >= fill[giver]) & (fill < capacity), capacity - fill, 0)
-        gap[giver] = 0
-        out = single[np.maximum(np.searchsorted(single, gap, "right") - 1, 0)]
-        gain = np.where(out <= gap, out * (fill - fill[giver] + out), 0)
-        b = int(gain.argmax()) if len(gain) else 0
-        best = (int(gain[b]), b, one[int(out[b])], ())
+        best = (0, -1, (), ())
+        takers = np.flatnonzero((fill >= fill[giver]) & (fill <= capacity - single[0]))
+        takers = takers[takers != giver]
+        if len(takers):
+            out = single[np.searchsorted(single, capacity - fill[takers], "right") - 1]
+            gain = out * (fill[takers] - fill[giver] + out)
+            k = int(gain.argmax())
+            best = (int(gain[k]), int(takers[k]), one[int(out[k])], ())
         if best[0] == 0 or len(bins[giver]) > 1:
-            got, b, size, back = ones.best(any_out, giver, fill, capacity)
+            got, b, size, back = ones.best(any_out, giver)
             if got > best[0]:
                 best = (got, b, one.get(size) or two[size], back)
-            got, b, size, back = twos.best(single, giver, fill, capacity)
+            got, b, size, back = twos.best(single, giver)
             if got > best[0]:
                 best = (got, b, one[size], back)
         return best[1:] if best[0] else None
