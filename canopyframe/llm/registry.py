@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyframe.llm import classifier, decontaminate, licenses, packing, pii, rules, secrets, simhash, tokencount, warc
+from canopyframe.llm import classifier, decontaminate, licenses, negatives, packing, pii, resample, rules, secrets, sharding, simhash, tokencount, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), path=path, notice_speaks=True)
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.assign_shards(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -71,10 +85,16 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc_archive": op9_warc_archive,
     "op10_license_scan": op10_license_scan,
+    "op11_sharding": op11_sharding,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": rules.SQL,
     "op4_decontamination": decontaminate.SQL,
     "op9_warc_archive": warc.SQL,
+    "op11_sharding": sharding.SQL,
+    "op12_hard_negatives": negatives.SQL,
+    "op13_importance_resampling": resample.SQL,
 }
