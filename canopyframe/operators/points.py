@@ -140,14 +140,20 @@ def return_features(points: DataFrame) -> DataFrame:
     return points.select("*", *[c.cast("int").alias(f"is_{k}") for k, c in flags.items()], (rn / nr).alias("return_ratio"), ndvi.alias("index"))
 
 
-def eigen_features(neighbours: DataFrame, by: list[str]) -> DataFrame:
-    """Shape features of each point's neighbours (d and t-coordinates of ``nearest``) from covariances.
-
-    The symmetric 3x3 matrix's eigenvalues come in closed form, so everything stays in one aggregation.
+def eigen_features(neighbours: DataFrame, by: list[str], radius: float = 1.0) -> DataFrame:
+    """Twelve shape features of each point's neighbours, as ``nearest`` gives them with the point's ``place``.
+
+    Eigenvalues of the neighbours' symmetric 3x3 covariance come in closed form, and the normal, the
+    eigenvector of the least, as the longest cross product of two rows of the matrix less that eigenvalue, so
+    everything stays in one aggregation. Where the least eigenvalue is double, every cross product vanishes, and of
+    the normals that are left the most upright one is taken (that of a level line is vertical, that of a pole
+    level); where all three are equal, the vertical. A point with one neighbour has null features but for the
+    two that need no covariance.
     """
     dims = ["x", "y", "z"]
     cov = [F.covar_samp(f"__t{a}", f"__t{b}").alias(a + b) for i, a in enumerate(dims) for b in dims[i:]]
-    g = neighbours.groupBy(*by, "point_id").agg(*cov, F.max("d").alias("radius"), F.count("*").alias("k"), (F.max("__tz") - F.min("__tz")).alias("dz"))
+    near = F.count_if(F.col("d") <= radius).alias("near")
+    g = neighbours.groupBy(*by, "point_id").agg(*cov, near, F.stddev_pop("__tz").alias("zs"), (F.max("z") - F.min("__tz")).alias("above"))
     c = F.col
     q = (c("xx") + c("yy") + c("zz")) / 3
     p1 = c("xy") * c("xy") + c("xz") * c("xz") + c("yz") * c("yz")
@@ -160,21 +166,36 @@ def eigen_features(neighbours: DataFrame, by: list[str]) -> DataFrame:
     l1 = F.when(c("p") > 0, c("q") + 2 * c("p") * F.cos(phi)).otherwise(c("q"))
     l3 = F.when(c("p") > 0, c("q") + 2 * c("p") * F.cos(phi + 2 * 3.141592653589793 / 3)).otherwise(c("q"))
     g = g.withColumn("l1", l1).withColumn("l3", l3).withColumn("l2", 3 * c("q") - c("l1") - c("l3"))
+    # rows of the matrix less its least eigenvalue, their cross products as (squared length, squared z)
+    g = g.withColumn("r", F.array(*[F.array(*x) for x in ((c("xx") - c("l3"), c("xy"), c("xz")), (c("xy"), c("yy") - c("l3"), c("yz")), (c("xz"), c("yz"), c("zz") - c("l3")))]))
+    row = lambda i: [c("r")[i][j] for j in range(3)]
+    square = lambda xs: xs[0] * xs[0] + xs[1] * xs[1] + xs[2] * xs[2]
+
+    def crossed(i: int, j: int) -> Column:
+        u, v = row(i), row(j)
+        xs = (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
+        return F.struct(square(xs).alias("n"), (xs[2] * xs[2]).alias("z"))
+
+    longest = F.array_max(F.array(*[F.struct(square(row(i)).alias("n"), (row(i)[2] * row(i)[2]).alias("z")) for i in range(3)]))
+    g = g.withColumn("normal", F.greatest(crossed(0, 1), crossed(0, 2), crossed(1, 2))).withColumn("axis", longest)
+    scale = F.pow(c("l1"), F.lit(2.0))
+    z2 = F.when(c("normal.n") > 1e-18 * scale * scale, c("normal.z") / c("normal.n")).when(c("axis.n") > 1e-18 * scale, 1 - c("axis.z") / c("axis.n")).otherwise(1.0)
+    g = g.withColumn("upright", F.when(c("q").isNotNull(), 1 - F.sqrt(F.greatest(z2, F.lit(0.0)))))
     for n in ("l1", "l2", "l3"):
-        g = g.withColumn(n, F.greatest(c(n), F.lit(1e-12)))
-    s = c("l1") + c("l2") + c("l3")
-    ent = -sum((c(n) / s * F.ln(c(n) / s) for n in ("l1", "l2", "l3")), F.lit(0.0))
+        g = g.withColumn(n, F.when(c(n).isNotNull(), F.greatest(c(n), F.lit(1e-12))))
+    linear = (c("l1") - c("l2")) / c("l1")
     shapes = {
-        "linearity": (c("l1") - c("l2")) / c("l1"),
+        "linearity": linear,
         "planarity": (c("l2") - c("l3")) / c("l1"),
-        "sphericity": c("l3") / c("l1"),
+        "scattering": c("l3") / c("l1"),
         "anisotropy": (c("l1") - c("l3")) / c("l1"),
-        "curvature": c("l3") / s,
-        "eigenentropy": ent,
         "omnivariance": F.cbrt(c("l1") * c("l2") * c("l3")),
-        "eigensum": s,
-        "dz": c("dz"),
-        "radius": c("radius"),
-        "density": c("k") / (F.pow(c("radius"), F.lit(2.0)) + 1e-6),
+        "eigenentropy": -sum((c(n) * F.ln(c(n)) for n in ("l1", "l2", "l3")), F.lit(0.0)),
+        "surface_variation": c("l3") / (c("l1") + c("l2") + c("l3")),
+        "verticality": c("upright"),
+        "local_z_std": c("zs"),
+        "height_above_local_min": c("above"),
+        "density_radius": c("near") / (3.141592653589793 * radius * radius),
+        "skeleton_proxy": linear * c("upright"),
     }
     return g.select(*by, "point_id", *[x.alias(n) for n, x in shapes.items()])

@@ -6,7 +6,9 @@ they can meet, the other side to its own cell, and the exact test follows the eq
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,27 +98,29 @@ def cell_sides(targets: DataFrame, group: list[str], dims: list[str], want: floa
         sides = cut(sides.join(dense, group, "left").select(*group, halved.alias("side")))
 
 
-def nearest(points: DataFrame, targets: DataFrame, group: list[str], dims: list[str], key: str, target_key: str, k: int, *, rest: list[str] | None = None) -> DataFrame:
-    """The k nearest targets of each point: ``key, target_key, d, rk`` (ties by target key).
+def nearest(points: DataFrame, targets: DataFrame, group: list[str], dims: list[str], key: str, target_key: str, k: int, *, rest: list[str] | None = None, place: bool = False) -> DataFrame:
+    """The k nearest targets of each point: ``key, target_key, d, rk`` (ties by target key), with ``place`` the point's coordinates too.
 
     A point meets the targets in its own grid cell and those around it. It is settled if its k-th target
     is within a cell's side, or if it has met its whole group; the points that are left meet cells of
     twice the side. Sides follow the targets' density (``cell_sides``). Of targets at one place only the
     ``k`` (with ``key`` = ``target_key``: ``k + 1``) first keys can be among the nearest, and points at one
     place that look for others' keys share their search, so a crowded place costs no pairs. Rows with a
-    null coordinate or group, and points of a group without targets, are left out.
+    null, NaN or infinite coordinate or a null group, and points of a group without targets, are left out.
     """
     from canopyframe.plans.lineage import cut
 
     extra, own = rest or [], key == target_key
     at = [f"__t{d}" for d in dims]
     t0 = targets.select(*group, F.col(target_key).alias("__tk"), *[F.col(d).cast("double").alias(f"__t{d}") for d in dims], *[F.col(c).alias(f"__r{c}") for c in extra]).dropna(subset=[*group, *at])
+    finite = lambda cs: reduce(and_, (F.abs(F.col(c)) < float("inf") for c in cs))  # noqa: E731  NaN counts as greater than infinity
+    t0 = t0.filter(finite(at))
     first = Window.partitionBy(*group, *at).orderBy("__tk")
     t0 = cut(t0.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= k + int(own)).drop("__n"))
     # a ball of the side's radius holds k targets for most points: a circle has 3.1, a ball 4.2 sides of volume
     sides = cell_sides(t0, group, at, 0.75 * k if len(dims) == 2 else 0.5 * k)
     have = t0.groupBy(*group).agg((F.count("*") - int(own)).alias("__have")).filter("__have > 0")
-    seekers = points.select(*group, *([key] if own else []), *[F.col(d).cast("double").alias(d) for d in dims]).dropna(subset=[*group, *dims])
+    seekers = points.select(*group, *([key] if own else []), *[F.col(d).cast("double").alias(d) for d in dims]).dropna(subset=[*group, *dims]).filter(finite(dims))
     who = [*group, key] if own else [*group, *dims]
     left = (seekers if own else seekers.distinct()).join(have.join(sides, group), group)
     t0 = t0.join(sides, group)
@@ -144,8 +148,10 @@ def nearest(points: DataFrame, targets: DataFrame, group: list[str], dims: list[
         if not left.limit(1).count():
             break
         times *= 2
+    who = [*who, *dims] if own and place else who
     found = done.select(*who, F.col("__tk").alias("neighbour" if own else target_key), "d", "rk", *at, *[F.col(f"__r{c}").alias(f"t_{c}") for c in extra])
     if own:
         return found
     mine = points.select(*group, key, *[F.col(d).cast("double").alias(d) for d in dims])
-    return mine.join(found, who).drop(*dims)
+    out = mine.join(found, who)
+    return out if place else out.drop(*dims)

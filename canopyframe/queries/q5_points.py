@@ -182,20 +182,25 @@ def _(t):
     return P.return_features(t.points()).select("point_id", *cols, F.round("return_ratio", 6).alias("return_ratio"), F.round("index", 6).alias("index"))
 
 
-K8 = """near AS (SELECT p.point_id, min({'d': sqrt((p.x - g.x) * (p.x - g.x) + (p.y - g.y) * (p.y - g.y) + (p.z - g.z) * (p.z - g.z)), 'id': g.point_id, 'x': g.x, 'y': g.y, 'z': g.z}, 8) AS n
+K8 = """near AS (SELECT p.point_id, p.z, min({'d': sqrt((p.x - g.x) * (p.x - g.x) + (p.y - g.y) * (p.y - g.y) + (p.z - g.z) * (p.z - g.z)), 'id': g.point_id, 'x': g.x, 'y': g.y, 'z': g.z}, 8) AS n
 FROM points p JOIN points g ON p.tile_id = g.tile_id AND p.year = g.year AND p.point_id <> g.point_id GROUP BY ALL),
-n8 AS (SELECT point_id, unnest(range(1, len(n) + 1)) AS rk, unnest(n) AS n FROM near)"""
-# the eigenvalues of a symmetric 3x3 matrix in closed form, largest first
-EIGEN = """cov AS (SELECT point_id, var_samp(n.x) AS xx, var_samp(n.y) AS yy, var_samp(n.z) AS zz, covar_samp(n.x, n.y) AS xy, covar_samp(n.x, n.z) AS xz, covar_samp(n.y, n.z) AS yz, max(n.d) AS radius, max(n.z) - min(n.z) AS dz, count(*) AS k FROM n8 GROUP BY ALL),
+n8 AS (SELECT point_id, z, unnest(range(1, len(n) + 1)) AS rk, unnest(n) AS n FROM near)"""
+# the eigenvalues of a symmetric 3x3 matrix in closed form, largest first; the normal as the longest cross product of rows less the least
+EIGEN = """cov AS (SELECT point_id, var_samp(n.x) AS xx, var_samp(n.y) AS yy, var_samp(n.z) AS zz, covar_samp(n.x, n.y) AS xy, covar_samp(n.x, n.z) AS xz, covar_samp(n.y, n.z) AS yz,
+  count(*) FILTER (n.d <= 1) AS near, stddev_pop(n.z) AS zs, max(z) - min(n.z) AS above FROM n8 GROUP BY ALL),
 q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM cov), p AS (SELECT *, sqrt((power(xx - q, 2) + power(yy - q, 2) + power(zz - q, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM q),
 r AS (SELECT *, CASE WHEN p > 0 THEN ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (p * p * p) / 2 END AS r FROM p),
 phi AS (SELECT *, acos(greatest(-1, least(1, r))) / 3 AS phi FROM r),
 raw AS (SELECT *, coalesce(q + 2 * p * cos(phi), q) AS a, coalesce(q + 2 * p * cos(phi + 2 * 3.141592653589793 / 3), q) AS c FROM phi),
-l AS (SELECT *, greatest(a, 1e-12) AS l1, greatest(3 * q - a - c, 1e-12) AS l2, greatest(c, 1e-12) AS l3 FROM raw)"""
-SHAPES = """round((l1 - l2) / l1, 3) AS linearity, round((l2 - l3) / l1, 3) AS planarity, round(l3 / l1, 3) AS sphericity, round((l1 - l3) / l1, 3) AS anisotropy, round(l3 / (l1 + l2 + l3), 3) AS curvature,
-round(-(l1 / (l1 + l2 + l3) * ln(l1 / (l1 + l2 + l3)) + l2 / (l1 + l2 + l3) * ln(l2 / (l1 + l2 + l3)) + l3 / (l1 + l2 + l3) * ln(l3 / (l1 + l2 + l3))), 3) AS eigenentropy, round(cbrt(l1 * l2 * l3), 3) AS omnivariance, round(l1 + l2 + l3, 3) AS eigensum,
-round(dz, 3) AS dz, round(radius, 3) AS radius, round(k / (power(radius, 2) + 1e-6), 3) AS density"""
-SHAPE_NAMES = ["linearity", "planarity", "sphericity", "anisotropy", "curvature", "eigenentropy", "omnivariance", "eigensum", "dz", "radius", "density"]
+mat AS (SELECT *, [[xx - c, xy, xz], [xy, yy - c, yz], [xz, yz, zz - c]] AS m FROM raw),
+cr AS (SELECT *, list_transform([[1, 2], [1, 3], [2, 3]], lambda k: [m[k[1]][2] * m[k[2]][3] - m[k[1]][3] * m[k[2]][2], m[k[1]][3] * m[k[2]][1] - m[k[1]][1] * m[k[2]][3], m[k[1]][1] * m[k[2]][2] - m[k[1]][2] * m[k[2]][1]]) AS cs FROM mat),
+nm AS (SELECT *, list_sort(list_transform(cs, lambda v: {'n': list_dot_product(v, v), 'z': v[3] * v[3]}))[3] AS nv, list_sort(list_transform(m, lambda v: {'n': list_dot_product(v, v), 'z': v[3] * v[3]}))[3] AS ax FROM cr),
+l AS (SELECT *, greatest(a, 1e-12) AS l1, greatest(3 * q - a - c, 1e-12) AS l2, greatest(c, 1e-12) AS l3,
+  1 - sqrt(greatest(0, CASE WHEN nv.n > 1e-18::DOUBLE * power(a, 4) THEN nv.z / nv.n WHEN ax.n > 1e-18::DOUBLE * power(a, 2) THEN 1 - ax.z / ax.n ELSE 1 END)) AS up FROM nm)"""
+SHAPES = """round((l1 - l2) / l1, 3) AS linearity, round((l2 - l3) / l1, 3) AS planarity, round(l3 / l1, 3) AS scattering, round((l1 - l3) / l1, 3) AS anisotropy, round(cbrt(l1 * l2 * l3), 3) AS omnivariance,
+round(-(l1 * ln(l1) + l2 * ln(l2) + l3 * ln(l3)), 3) AS eigenentropy, round(l3 / (l1 + l2 + l3), 3) AS surface_variation, round(up, 3) AS verticality, round(zs, 3) AS local_z_std, round(above, 3) AS height_above_local_min,
+round(near / 3.141592653589793, 3) AS density_radius, round((l1 - l2) / l1 * up, 3) AS skeleton_proxy"""
+SHAPE_NAMES = ["linearity", "planarity", "scattering", "anisotropy", "omnivariance", "eigenentropy", "surface_variation", "verticality", "local_z_std", "height_above_local_min", "density_radius", "skeleton_proxy"]
 
 
 def eight(t):
@@ -209,7 +214,8 @@ def _(t):
 
 @query("pc16_shape_features", f"WITH {K8}, {EIGEN} SELECT point_id, {SHAPES} FROM l")
 def _(t):
-    return P.eigen_features(eight(t), BY).select("point_id", *[F.round(c, 3).alias(c) for c in SHAPE_NAMES])
+    near = spatial.nearest(t.points(), t.points(), BY, ["x", "y", "z"], "point_id", "point_id", 8, place=True)
+    return P.eigen_features(near, BY).select("point_id", *[F.round(c, 3).alias(c) for c in SHAPE_NAMES])
 
 
 @query(

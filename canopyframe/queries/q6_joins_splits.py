@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from canopyframe.functions import keys as K
 from canopyframe.operators import detections as D
+from canopyframe.operators import folds
 from canopyframe.operators import labels as L
 from canopyframe.operators import spatial
 from canopyframe.operators import splits as S
@@ -488,9 +489,17 @@ def _(t):
     return t.label_events().select("arrival", gap.alias("gap_px"), F.round(gap * 0.2, 1).alias("gap_m"))
 
 
-@query("x16_place_group_folds", f"SELECT arrival, CAST({H32.format(chr(39) + 'g|' + chr(39) + ' || place_key')} % 4 AS INTEGER) AS fold FROM curated")
+@query("x16_place_group_folds", f"WITH RECURSIVE {Q.stratified_folds('curated', 'place_key', 4, 'g')} SELECT arrival, fold FROM curated JOIN sf ON grp = place_key")
 def _(t):
-    return S.grouped_folds(curated(t), F.col("place_key"), 4, "g").select("arrival", "fold")
+    return folds.stratified_group_folds(curated(t), "place_key", "label", ["cdw", "no_cdw"], 4, "g").select("arrival", "fold")
+
+
+@query("spl13_stratified_folds", f"WITH RECURSIVE {Q.stratified_folds('curated', "place_key || '_' || year", 5, '42')} SELECT fold, count(*) AS n, count(DISTINCT grp) AS groups, count(*) FILTER (label = 'cdw') AS cdw FROM curated JOIN sf ON grp = place_key || '_' || year GROUP BY fold")
+def _(t):
+    """Folds by place and year: their rows, groups and positives."""
+    rows = curated(t).withColumn("grp", F.concat_ws("_", "place_key", F.col("year").cast("string")))
+    f = folds.stratified_group_folds(rows, "grp", "label", ["cdw", "no_cdw"], 5, "42")
+    return f.groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("grp").alias("groups"), F.count_if(F.col("label") == "cdw").alias("cdw"))
 
 
 OR_ = f"WITH {SPLITS}"

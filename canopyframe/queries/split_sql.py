@@ -59,3 +59,17 @@ SUPPRESS = f"""nb AS (SELECT a.id, list(b.id) AS nb FROM bo a JOIN bo b ON {OVER
 rk AS (SELECT bo.id, raster, nb, row_number() OVER (PARTITION BY raster ORDER BY confidence DESC, bo.id) AS k FROM bo LEFT JOIN nb ON nb.id = bo.id),
 gr(raster, k, ids) AS (SELECT DISTINCT raster, 0::BIGINT, []::BIGINT[] FROM rk UNION ALL SELECT rk.raster, rk.k, CASE WHEN coalesce(list_has_any(nb, ids), false) THEN ids ELSE list_append(ids, id) END FROM gr JOIN rk ON rk.raster = gr.raster AND rk.k = gr.k + 1),
 kept AS (SELECT bo.* FROM bo JOIN (SELECT unnest(ids) AS id FROM (SELECT arg_max(ids, k) AS ids FROM gr GROUP BY raster)) USING (id))"""
+
+
+def stratified_folds(rows: str, group: str, folds: int, seed: str) -> str:
+    """``sf`` (grp, fold): groups of ``rows`` dealt one step at a time, the even part of equal class counts first."""
+    every = f"range(1, {folds + 1})"
+    return f"""gr AS (SELECT {group} AS grp, count(*) FILTER (label = 'cdw') AS p, count(*) FILTER (label = 'no_cdw') AS q FROM {rows} GROUP BY ALL),
+tt AS (SELECT greatest(1, sum(p))::HUGEINT AS a, greatest(1, sum(q))::HUGEINT AS b FROM gr),
+st AS (SELECT *, row_number() OVER (ORDER BY 2 * (p * p + q * q) - (p + q) * (p + q) DESC, p DESC, q DESC, j) AS i FROM (SELECT p, q, c, unnest(range(0, c % {folds} + 1)) AS j FROM (SELECT p, q, count(*) AS c FROM gr GROUP BY p, q))),
+dl(i, x, y, f) AS (SELECT 0::BIGINT, list_transform({every}, lambda k: 0::BIGINT), list_transform({every}, lambda k: 0::BIGINT), 0::BIGINT UNION ALL
+  SELECT i, list_transform({every}, lambda k: x[k] + CASE WHEN j = 0 THEN c // {folds} * p WHEN k = f THEN p ELSE 0 END), list_transform({every}, lambda k: y[k] + CASE WHEN j = 0 THEN c // {folds} * q WHEN k = f THEN q ELSE 0 END), f
+  FROM (SELECT st.i, x, y, p, q, c, j, CASE WHEN j = 0 THEN 0 ELSE list_sort(list_transform({every}, lambda k: {{'g': p * x[k] * b * b + q * y[k] * a * a, 'n': x[k] + y[k], 'k': k}}))[1].k END AS f FROM dl JOIN st ON st.i = dl.i + 1, tt)),
+tk AS (SELECT p, q, k, max(c) // {folds} + count(*) FILTER (f = k) AS take FROM st JOIN dl USING (i), (SELECT unnest({every}) AS k) GROUP BY p, q, k),
+cu AS (SELECT *, sum(take) OVER (PARTITION BY p, q ORDER BY k) AS upto FROM tk),
+sf AS (SELECT grp, CAST(k - 1 AS INTEGER) AS fold FROM (SELECT *, row_number() OVER (PARTITION BY p, q ORDER BY md5('{seed}|' || grp), grp) AS rn FROM gr) r JOIN cu ON cu.p = r.p AND cu.q = r.q AND rn > upto - take AND rn <= upto)"""

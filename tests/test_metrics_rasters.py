@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from canopyframe.operators import metrics as M
@@ -107,17 +108,59 @@ def test_surfaces_fall_back_and_features(spark):
     assert b["u"].band0 == 0.0 and b["u"].band1 == 0.5 and b["u"].n == 2 and b["t"].band2 == 2.0
 
 
-def test_eigen_features_against_numpy(spark):
+def plain_shapes(at, own, radius):
+    """The twelve features of one point from its neighbours' coordinates and distances."""
+    lam, vec = np.linalg.eigh(np.cov(own.T))
+    lam = np.clip(lam, 1e-12, None)
+    linear, up = (lam[2] - lam[1]) / lam[2], 1 - abs(vec[2, 0])
+    near = (np.linalg.norm(own - at, axis=1) <= radius).sum() / (np.pi * radius**2)
+    return {
+        "linearity": linear,
+        "planarity": (lam[1] - lam[0]) / lam[2],
+        "scattering": lam[0] / lam[2],
+        "anisotropy": (lam[2] - lam[0]) / lam[2],
+        "omnivariance": np.prod(lam) ** (1 / 3),
+        "eigenentropy": -(lam * np.log(lam)).sum(),
+        "surface_variation": lam[0] / lam.sum(),
+        "verticality": up,
+        "local_z_std": own[:, 2].std(),
+        "height_above_local_min": at[2] - own[:, 2].min(),
+        "density_radius": near,
+        "skeleton_proxy": linear * up,
+    }
+
+
+def shapes_of(spark, xyz, radius=0.5):
     from canopyframe.operators import spatial
 
-    rng = np.random.default_rng(5)
-    xyz = rng.random((30, 3)) * [3, 1, 0.3]
     df = spark.createDataFrame([(i, "t", *map(float, p)) for i, p in enumerate(xyz)], "point_id long, tile_id string, x double, y double, z double")
-    near = spatial.nearest(df, df, ["tile_id"], ["x", "y", "z"], "point_id", "point_id", 8)
-    got = {r.point_id: r for r in P.eigen_features(near, ["tile_id"]).collect()}
-    for i in (0, 7, 19):
-        d = np.linalg.norm(xyz - xyz[i], axis=1)
-        pick = sorted((v, j) for j, v in enumerate(d) if j != i)[:8]
-        lam = np.sort(np.linalg.eigvalsh(np.cov(xyz[[j for _, j in pick]].T)))[::-1]
-        assert abs(got[i].linearity - (lam[0] - lam[1]) / lam[0]) < 1e-3
-        assert abs(got[i].sphericity - lam[2] / lam[0]) < 1e-3
+    near = spatial.nearest(df, df, ["tile_id"], ["x", "y", "z"], "point_id", "point_id", 8, place=True)
+    return {r.point_id: r for r in P.eigen_features(near, ["tile_id"], radius).collect()}
+
+
+def test_all_twelve_shape_features_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    for scale in ([3, 1, 0.3], [0.2, 0.3, 4], [1, 1, 1]):
+        xyz = rng.random((40, 3)) * scale
+        got = shapes_of(spark, xyz)
+        assert len(got) == 40
+        for i in range(40):
+            d = np.linalg.norm(xyz - xyz[i], axis=1)
+            own = xyz[[j for _, j in sorted((v, j) for j, v in enumerate(d) if j != i)[:8]]]
+            for name, want in plain_shapes(xyz[i], own, 0.5).items():
+                assert got[i][name] == pytest.approx(want, abs=1e-5), (i, name)
+
+
+def test_normals_of_lines_planes_and_single_places(spark):
+    step = np.arange(12.0)[:, None]
+    assert all(r.verticality == pytest.approx(0, abs=1e-6) for r in shapes_of(spark, step * [1, 0, 0]).values())  # a level line
+    assert all(r.verticality == pytest.approx(1, abs=1e-6) and r.skeleton_proxy == pytest.approx(1, abs=1e-6) for r in shapes_of(spark, step * [0, 0, 1]).values())  # a pole
+    slanting = shapes_of(spark, step * [1, 0, 1])
+    assert all(r.verticality == pytest.approx(1 - 0.5**0.5, abs=1e-6) for r in slanting.values())
+    wall = np.array([[0.0, a, b] for a in range(4) for b in range(4)]) + [0, 0.01, 0.02]
+    assert all(r.verticality == pytest.approx(1, abs=1e-6) and r.planarity > 0 for r in shapes_of(spark, wall).values())
+    once = shapes_of(spark, np.zeros((10, 3)))
+    assert all(r.verticality == 0 and r.linearity == 0 and r.local_z_std == 0 for r in once.values())
+    assert all(r.linearity is None and r.height_above_local_min is not None for r in shapes_of(spark, np.array([[0.0, 0, 1], [1, 0, 0]])).values())
+    odd = np.array([[0.0, 0, 0], [1, 0, 0], [np.nan, 0, 0], [np.inf, 0, 0]])
+    assert set(shapes_of(spark, odd)) == {0, 1}
