@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from collections.abc import Callable, Iterator
+
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -10,6 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopyframe.operators import rasters
+from canopyframe.operators.folds import stratified_folds, stratified_group_folds
+from canopyframe.operators.splits import hashed
+from canopyframe.plans.lineage import cut
+from canopyframe.plans.ranking import global_row_number, running_sums
 
 
 def hashed_fold(key, folds: int, seed: str = "fold"):
@@ -32,33 +38,149 @@ def stacking(scores: DataFrame, least: int = 200) -> DataFrame:
     return fitted.transform(test).select("key", "y", vector_to_array("probability")[1].alias("prob"))
 
 
+LEARNERS: dict[str, Callable[[], Estimator]] = {
+    "lr": lambda: LogisticRegression(regParam=0.1),
+    "rf": lambda: RandomForestClassifier(numTrees=20, seed=42),
+    "gbt": lambda: GBTClassifier(maxIter=5, seed=42),
+}
+
+
+def _probability(fitted: Model, rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the probability of label 1 under ``name``."""
+    out = fitted.transform(rows).withColumn(name, vector_to_array("probability")[1])
+    return out.select(*rows.columns, name)
+
+
+def _fit(learner: Callable[[], Estimator], rows: DataFrame) -> Model:
+    return learner().setFeaturesCol("features").setLabelCol("label").fit(rows)
+
+
+def out_of_fold(rows: DataFrame, learners: dict[str, Callable[[], Estimator]], folds: int) -> DataFrame:
+    """``rows`` (features, label, fold from 0 to ``folds`` - 1) with a probability for each learner that comes from a fit on the other folds.
+
+    A fold whose other folds lack a class gets the share of label 1 in them.
+    """
+    out = None
+    for k in range(folds):
+        rest, own = rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)
+        seen = rest.agg(F.avg("label").alias("share"), F.countDistinct("label").alias("classes")).first()
+        for name, learner in learners.items():
+            own = _probability(_fit(learner, rest), own, name) if seen["classes"] == 2 else own.withColumn(name, F.lit(seen["share"] or 0.0))
+        out = own if out is None else out.unionByName(own)
+    return cut(out)
+
+
+def best_f1_cut(rows: DataFrame, prob: str = "prob", y: str = "label") -> float:
+    """The probability that, as a least one, gives the highest F1 (the lowest of equal ones); 0.5 without positives."""
+    counts = rows.groupBy(F.col(prob).alias("p")).agg(F.sum(y).alias("hits"), F.count("*").alias("n"))
+    run = running_sums(counts, [F.desc("p")], [], {"tp": F.col("hits"), "said": F.col("n")})
+    positives = rows.agg(F.sum(y)).first()[0]
+    if not positives:
+        return 0.5
+    f1 = 2 * F.col("tp") / (F.col("said") + F.lit(float(positives)))
+    return run.agg(F.max_by("p", F.struct(f1, -F.col("p")))).first()[0]
+
+
+def cross_fitted_stacking(data: DataFrame, features: list[str], group: str, *, learners: dict[str, Callable[[], Estimator]] | None = None, folds: int = 4, least: int = 200, seed: str = "oof") -> DataFrame:
+    """``key, y, prob, pred`` of the rows whose ``split`` is test: stacking on out-of-fold probabilities.
+
+    ``data`` has key, y (0 or 1), split, ``group`` and the feature columns. Rows of a group share a fold, and
+    folds have even shares of y, so no base probability that the second stage is fitted on comes from a
+    model that has seen the row or its group. The second stage is a logistic regression with balanced
+    weights, its cut the one with the best F1 on the out-of-fold rows; test rows are scored by base models
+    fitted on all training rows. With fewer than ``least`` training rows, or one class, the mean of the base
+    models stands in, with a cut of 0.5. Null features count as 0.
+    """
+    learners = learners or LEARNERS
+    made = VectorAssembler(inputCols=features, outputCol="features").transform(data.fillna(0.0, features))
+    made = made.select("key", F.col("y").cast("double").alias("label"), "split", group, "features")
+    train = cut(stratified_group_folds(made.filter("split <> 'test'").withColumn("__c", F.col("label").cast("int").cast("string")), group, "__c", ["0", "1"], folds, seed).drop("__c"))
+    test = made.filter("split = 'test'")
+    known = train.agg(F.count("*").alias("n"), F.countDistinct("label").alias("classes"), F.avg("label").alias("share")).first()
+    for name, learner in learners.items():
+        test = _probability(_fit(learner, train), test, name) if known["classes"] == 2 else test.withColumn(name, F.lit(known["share"] or 0.0))
+    names = list(learners)
+    if known["n"] < least or known["classes"] < 2:
+        prob, at = sum((F.col(n) for n in names), F.lit(0.0)) / len(names), 0.5
+        scored = test.withColumn("prob", prob)
+    else:
+        base = out_of_fold(train, learners, folds)
+        weight = F.when(F.col("label") == 1, 0.5 / known["share"]).otherwise(0.5 / (1 - known["share"]))
+        second = VectorAssembler(inputCols=names, outputCol="meta")
+        fitted = LogisticRegression(featuresCol="meta", labelCol="label", weightCol="w", maxIter=500).fit(second.transform(base.withColumn("w", weight)))
+        score = lambda rows: fitted.transform(second.transform(rows)).withColumn("prob", vector_to_array("probability")[1])
+        scored, at = score(test), best_f1_cut(score(base))
+    return scored.select("key", F.col("label").cast("int").alias("y"), "prob", (F.col("prob") >= at).cast("int").alias("pred"))
+
+
 POINT_FEATURES = ["z", "intensity", "return_number", "number_of_returns", "scan_angle", "nir"]
 
 
-def point_forest(points: DataFrame, folds: int = 3, trees: int = 10) -> DataFrame:
+def macro_f1(counts: DataFrame, by: list[str]) -> DataFrame:
+    """``by`` and ``macro_f1`` from rows of ``label, prediction, n``: the mean over all classes that occur as either."""
+    actual = counts.select(*by, F.col("label").alias("c"), F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0).alias("tp"), "n")
+    said = counts.select(*by, F.col("prediction").alias("c"), F.lit(0).alias("tp"), "n")
+    per = actual.unionByName(said).groupBy(*by, "c").agg((2 * F.sum("tp") / F.sum("n")).alias("f1"))
+    return per.groupBy(*by).agg(F.avg("f1").alias("macro_f1"))
+
+
+def forest_folds(points: DataFrame, features: list[str], label: str, key: str, folds: int, trees: int) -> Iterator[tuple[int, PipelineModel, DataFrame]]:
+    """For each fold its number, the forest fitted on the others, and its rows; classes are dealt evenly to folds."""
+    labels = sorted(r[0] for r in points.select(label).distinct().collect())
+    index = F.coalesce(*[F.when(F.col(label) == c, F.lit(float(i))) for i, c in enumerate(labels)], F.lit(None).cast("double"))
+    dealt = stratified_folds(points.select(key, label, *features), F.col(key), label, folds, "fold")
+    data = cut(dealt.select(key, *[F.col(c).cast("double").alias(c) for c in features], index.alias("label"), "fold"))
+    stages = [Imputer(strategy="median", inputCols=features, outputCols=[f"{c}_i" for c in features]), VectorAssembler(inputCols=[f"{c}_i" for c in features], outputCol="features"), RandomForestClassifier(numTrees=trees, maxDepth=6, seed=42)]
+    for k in range(folds):
+        yield k, Pipeline(stages=stages).fit(data.filter(F.col("fold") != k)), data.filter(F.col("fold") == k)
+
+
+def point_forest(points: DataFrame, folds: int = 3, trees: int = 10, features: list[str] | None = None, label: str = "classification", key: str = "point_id") -> DataFrame:
     """Random forest for point classes: macro F1 per fold, medians in place of nulls."""
-    labels = sorted(r.classification for r in points.select("classification").distinct().collect())
-    index = F.coalesce(*[F.when(F.col("classification") == c, F.lit(float(i))) for i, c in enumerate(labels)])
-    data = points.select(*[F.col(c).cast("double").alias(c) for c in POINT_FEATURES], index.alias("label"), hashed_fold(F.col("point_id"), folds).alias("fold"))
-    stages = [Imputer(strategy="median", inputCols=POINT_FEATURES, outputCols=[f"{c}_i" for c in POINT_FEATURES]), VectorAssembler(inputCols=[f"{c}_i" for c in POINT_FEATURES], outputCol="features"), RandomForestClassifier(numTrees=trees, maxDepth=6, seed=42)]
     out = None
-    for k in range(folds):
-        fitted = Pipeline(stages=stages).fit(data.filter(F.col("fold") != k))
-        pred = fitted.transform(data.filter(F.col("fold") == k)).groupBy("label", "prediction").agg(F.count("*").alias("n"))
-        per = pred.groupBy("label").agg(F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("tp"), F.sum("n").alias("actual"))
-        said = pred.groupBy(F.col("prediction").alias("label")).agg(F.sum("n").alias("said"))
-        f1 = per.join(said, "label", "left").select((2 * F.col("tp") / (F.col("actual") + F.coalesce("said", F.lit(0)))).alias("f1"))
-        row = f1.agg(F.lit(k).alias("fold"), F.round(F.avg("f1"), 6).alias("macro_f1"))
+    for k, fitted, own in forest_folds(points, features or POINT_FEATURES, label, key, folds, trees):
+        counts = fitted.transform(own).groupBy("label", "prediction").agg(F.count("*").alias("n"))
+        row = macro_f1(counts.withColumn("fold", F.lit(k)), ["fold"])
         out = row if out is None else out.union(row)
-    return out
+    return out.select("fold", F.round("macro_f1", 6).alias("macro_f1"))
+
+
+def forest_importances(points: DataFrame, folds: int = 3, trees: int = 10, features: list[str] | None = None, label: str = "classification", key: str = "point_id") -> DataFrame:
+    """``feature, importance, permutation``, means over folds: the fitted forests' impurity importances, and the
+    loss of macro F1 when the column's values are exchanged among the fold's rows.
+
+    The exchange gives the row at a place of one hashed order the value of the row at that place of another. All
+    columns of a fold are tried in one job, which explodes a row to one copy for each, and one as it is.
+    """
+    features = features or POINT_FEATURES
+    out = None
+    for k, fitted, own in forest_folds(points, features, label, key, folds, trees):
+        forest = fitted.stages[-1].featureImportances.toArray().tolist()
+        order = lambda seed: [hashed(seed, key), F.col(key)]  # noqa: B023, E731
+        rows = global_row_number(own, order("to"), name="__at")
+        given = global_row_number(own.select(key, F.struct(*features).alias("__v")), order("from"), name="__at").drop(key)
+        turn = F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))).alias("__turn")
+        tried = rows.join(given, "__at").select("label", "__v", turn, *features)
+        tried = tried.select("label", "__turn", *[F.when(F.col("__turn") == j, F.col("__v")[c]).otherwise(F.col(c)).alias(c) for j, c in enumerate(features)])
+        counts = fitted.transform(tried).groupBy("__turn", "label", "prediction").agg(F.count("*").alias("n"))
+        f1 = {r["__turn"]: r["macro_f1"] for r in macro_f1(counts, ["__turn"]).collect()}  # a row a column
+        listed = [(c, forest[j], f1.get(-1, 0.0) - f1.get(j, 0.0)) for j, c in enumerate(features)]
+        part = points.sparkSession.createDataFrame(listed, "feature string, importance double, permutation double")
+        out = part if out is None else out.union(part)
+    return out.groupBy("feature").agg(F.round(F.avg("importance"), 6).alias("importance"), F.round(F.avg("permutation"), 6).alias("permutation"))
+
+
+def tile_data(pixels: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Tiles with their feature bank and ``label`` (0 or 1), and the features' names."""
+    bank = rasters.feature_bank(pixels)
+    y = pixels.groupBy("tile_id").agg((F.max("label") % 2).cast("double").alias("label"))
+    return bank.join(y, "tile_id"), [c for c in bank.columns if c != "tile_id"]
 
 
 def tile_baselines(pixels: DataFrame) -> DataFrame:
     """Soft vote of logistic regression, forest and boosted trees over the tiles' feature bank."""
-    bank = rasters.feature_bank(pixels)
-    cols = [c for c in bank.columns if c != "tile_id"]
-    y = (pixels.groupBy("tile_id").agg((F.max("label") % 2).cast("double").alias("label")))
-    data = bank.join(y, "tile_id").withColumn("fold", hashed_fold(F.col("tile_id"), 5))
+    data, cols = tile_data(pixels)
+    data = data.withColumn("fold", hashed_fold(F.col("tile_id"), 5))
     train, test = data.filter("fold > 0"), data.filter("fold = 0")
     made = VectorAssembler(inputCols=cols, outputCol="features")
     train, test = made.transform(train).select("tile_id", "label", "features").cache(), made.transform(test).select("tile_id", "label", "features")

@@ -7,6 +7,7 @@ from canopyframe.operators import metrics as M
 from canopyframe.operators import rasters as R
 from canopyframe.plans.ranking import global_row_number
 from canopyframe.queries.base import query
+from canopyframe.queries.split_sql import stratified_folds
 
 SV = "sv AS (SELECT key, y, avg(prob) AS prob FROM scores GROUP BY key, y)"
 CONF = "CAST(count(*) FILTER (prob >= {t} AND y = 1) AS BIGINT) AS tp, CAST(count(*) FILTER (prob >= {t} AND y <> 1) AS BIGINT) AS fp, CAST(count(*) FILTER (prob < {t} AND y = 1) AS BIGINT) AS fn, CAST(count(*) FILTER (prob < {t} AND y <> 1) AS BIGINT) AS tn"
@@ -165,6 +166,52 @@ def _(t):
     return models.stacking(t.scores())
 
 
+def stack_rows(t):
+    from canopyframe.operators import models
+
+    data, cols = models.tile_data(t.pixels())
+    # ten tiles in succession are a place; every fifth place is for the test
+    place = F.expr("cast(tile_id div 10 as string)")
+    return data.select(F.col("tile_id").alias("key"), F.col("label").cast("int").alias("y"), place.alias("place"), F.when(F.expr("tile_id div 10 % 5 = 0"), "test").otherwise("train").alias("split"), *cols), cols
+
+
+@query("ens03_cross_fitted")
+def _(t):
+    """Stacking of three learners over the tiles' feature bank, its second stage fitted on out-of-fold probabilities."""
+    from canopyframe.operators import models
+
+    data, cols = stack_rows(t)
+    return models.cross_fitted_stacking(data, cols, "place")
+
+
+STACK = "tl AS (SELECT tile_id, max(label) % 2 AS y, CAST(tile_id // 10 AS VARCHAR) AS place, CASE WHEN max(label) % 2 = 0 THEN 'cdw' ELSE 'no_cdw' END AS label FROM pixels WHERE tile_id // 10 % 5 <> 0 GROUP BY tile_id)"
+
+
+@query("ens03_out_of_fold", f"WITH RECURSIVE {STACK}, {stratified_folds('tl', 'place', 4, 'oof')} SELECT tile_id AS key, CAST(y AS INTEGER) AS y, fold, 2 AS probabilities FROM tl JOIN sf ON grp = place")
+def _(t):
+    """Each training tile's fold, and how many of its probabilities, made by fits on the other folds, lie between 0 and 1."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    from canopyframe.operators import models
+    from canopyframe.operators.folds import stratified_group_folds
+    from canopyframe.plans.lineage import cut
+
+    data, cols = stack_rows(t)
+    rows = stratified_group_folds(data.filter("split = 'train'").withColumn("c", F.col("y").cast("string")), "place", "c", ["0", "1"], 4, "oof")
+    rows = VectorAssembler(inputCols=cols, outputCol="features").transform(rows.fillna(0.0, cols)).select("key", "y", F.col("y").cast("double").alias("label"), "fold", "features")
+    found = models.out_of_fold(cut(rows), {"weak": lambda: LogisticRegression(regParam=1.0), "strong": lambda: LogisticRegression(regParam=0.01)}, 4)
+    sound = lambda n: F.coalesce(F.col(n).between(0, 1), F.lit(False)).cast("int")
+    return found.select("key", "y", "fold", (sound("weak") + sound("strong")).alias("probabilities"))
+
+
+@query("ml01_importances")
+def _(t):
+    from canopyframe.operators import models
+
+    return models.forest_importances(t.points())
+
+
 @query("ml01_random_forest")
 def _(t):
     from canopyframe.operators import models

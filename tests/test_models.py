@@ -80,3 +80,98 @@ def test_forest_and_tile_baselines_tell_classes_apart(spark):
     px = spark.createDataFrame(pixels, "tile_id long, row int, col int, value double, label int")
     out = M.tile_baselines(px).collect()
     assert out and sum((r.prob >= 0.5) == (r.y == 1) for r in out) / len(out) == pytest.approx(1.0, abs=0.1)
+
+
+def grouped_noise(spark, groups=60, copies=8):
+    """Groups of equal rows with random labels: a model that has seen a group's row knows its label, any other cannot."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(groups):
+        x, y = [rng.gauss(0, 1) for _ in range(4)], g % 2
+        rows += [(len(rows) + i, y, f"g{g}", "test" if g % 10 > 7 else "train", *x) for i in range(copies)]
+    return spark.createDataFrame(rows, "key long, y int, place string, split string, a double, b double, c double, d double")
+
+
+def test_out_of_fold_probabilities_do_not_leak(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from canopyframe.operators.folds import stratified_folds, stratified_group_folds
+
+    df = grouped_noise(spark)
+    rows = VectorAssembler(inputCols=list("abcd"), outputCol="features").transform(df).withColumn("label", F.col("y").cast("double")).withColumn("c", F.col("y").cast("string"))
+    learner = {"tree": lambda: DecisionTreeClassifier(maxDepth=12, seed=1)}
+
+    def right(folded):
+        out = M.out_of_fold(folded.select("key", "label", "place", "fold", "features"), learner, 4).collect()
+        assert sorted(r.key for r in out) == sorted(r.key for r in df.collect())
+        return sum((r.tree >= 0.5) == (r.label == 1) for r in out) / len(out)
+
+    whole = right(stratified_group_folds(rows, "place", "c", ["0", "1"], 4, "s"))
+    split = right(stratified_folds(rows, F.col("key"), "c", 4, "s"))
+    assert split > 0.95 and whole < 0.75  # rows of a group in other folds give its label away
+
+
+def test_second_stage_on_leaking_probabilities_is_another(spark):
+    """Of a learner that memorises and one that generalises, only out-of-fold rows tell the second stage which to trust."""
+    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(900):
+        y = i % 2
+        rows.append((i, y, f"g{i // 3}", "test" if i % 9 > 5 else "train", y + rng.gauss(0, 0.9), rng.random(), rng.random(), rng.random()))
+    df = spark.createDataFrame(rows, "key long, y int, place string, split string, a double, b double, c double, d double")
+    learners = {"tree": lambda: DecisionTreeClassifier(maxDepth=20, maxBins=64, minInstancesPerNode=1, seed=1), "lr": lambda: LogisticRegression(regParam=0.01)}
+    right = lambda out: sum(r.pred == r.y for r in out) / len(out)
+    clean = M.cross_fitted_stacking(df, list("abcd"), "place", learners=learners).collect()
+    own = M.out_of_fold
+
+    def leaking(rows, learners, folds):
+        for name, learner in learners.items():
+            rows = M._probability(M._fit(learner, rows), rows, name)
+        return rows
+
+    M.out_of_fold = leaking
+    try:
+        leaked = M.cross_fitted_stacking(df, list("abcd"), "place", learners=learners).collect()
+    finally:
+        M.out_of_fold = own
+    assert len(clean) == len(leaked) == df.filter("split = 'test'").count()
+    assert {r.key: round(r.prob, 6) for r in clean} != {r.key: round(r.prob, 6) for r in leaked}
+    assert right(clean) > right(leaked)
+
+
+def test_few_rows_or_one_class_fall_back_to_the_mean(spark):
+    df = grouped_noise(spark, 20, 3)
+    out = M.cross_fitted_stacking(df, list("abcd"), "place").collect()
+    assert len(out) == df.filter("split = 'test'").count() and all(r.pred == (r.prob >= 0.5) for r in out)
+    one = M.cross_fitted_stacking(df.withColumn("y", F.lit(1)), list("abcd"), "place", least=1).collect()
+    assert all(r.prob == 1.0 for r in one)
+
+
+def test_best_f1_cut_equals_trying_every_probability(spark):
+    rng = random.Random(6)
+    for n in (1, 40):
+        rows = [(round(rng.random(), 1), float(rng.random() < 0.4)) for _ in range(n)] + [(0.3, 1.0)]
+
+        def f1(at):
+            tp = sum(y for p, y in rows if p >= at)
+            return 2 * tp / (sum(p >= at for p, _ in rows) + sum(y for _, y in rows))
+
+        best = max(f1(p) for p, _ in rows)
+        assert M.best_f1_cut(spark.createDataFrame(rows, "prob double, label double")) == min(p for p, _ in rows if f1(p) == best)
+    assert M.best_f1_cut(spark.createDataFrame([(0.2, 0.0)], "prob double, label double")) == 0.5
+
+
+def test_importances_put_noise_last_and_macro_f1_counts_every_class(spark):
+    rng = random.Random(3)
+    rows = [(i, (i % 3) + rng.gauss(0, 0.3), (i % 3 == 0) + rng.gauss(0, 0.6), rng.random(), None if i % 7 == 0 else 1.0, ["x", "y", "z"][i % 3]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, strong double, weak double, noise double, flat double, kind string")
+    got = {r.feature: r for r in M.forest_importances(df, features=["strong", "weak", "noise", "flat"], label="kind", key="id").collect()}
+    assert sum(r.importance for r in got.values()) == pytest.approx(1, abs=1e-4)
+    for name in ("importance", "permutation"):
+        assert got["strong"][name] > got["weak"][name] > got["noise"][name] >= got["flat"][name] - 1e-9
+    assert got["strong"].permutation > 0.3 and abs(got["noise"].permutation) < 0.05 and got["flat"].permutation == 0
+    counts = spark.createDataFrame([(0.0, 0.0, 8), (0.0, 2.0, 2), (1.0, 0.0, 5)], "label double, prediction double, n long")
+    assert M.macro_f1(counts, []).first()[0] == pytest.approx((16 / 23 + 0 + 0) / 3)
