@@ -7,12 +7,14 @@ of blocks is a place or a raster, and the table of roles is joined back to chips
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopyframe.functions import keys as K
 from canopyframe.operators import spatial
 from canopyframe.operators.graph import connected_components
 from canopyframe.plans.lineage import cut
@@ -80,9 +82,11 @@ def best_swap(classes: pd.DataFrame, tolerance: float) -> pd.DataFrame:
     return rows.iloc[[goes[a], comes[b]]] if off[a, b] < now else rows.iloc[:0]
 
 
-def greedy_blocks(blocks: DataFrame, group: list[str], fraction: float, seed: str, *, tolerance: float = 1.0) -> DataFrame:
+def greedy_blocks(blocks: DataFrame, group: list[str], fraction: float, seed: str, *, tolerance: float = 1.0, target: str | None = None) -> DataFrame:
     """Test blocks of each group: ``group, bx, by``; blocks come with n and cdw.
 
+    The rows to reach are ``fraction`` of the group's, or what its blocks say in the column ``target``.
+
     Only counts of blocks by size (and for the exchange by size and cdw) go through a Python function; of
     equal sizes the first in hashed order are taken, by row numbers over the whole table. If the test
     share of cdw is off by more than ``tolerance``, the single exchange of blocks that helps most is made.
@@ -92,14 +96,16 @@ def greedy_blocks(blocks: DataFrame, group: list[str], fraction: float, seed: st
     if not group:
         ordered = ordered.withColumn("__all", F.lit(1))
     of = {c: ordered.schema[c].dataType.simpleString() for c in [*own, "n"]}
+    aim = F.max(F.col(target) if target else F.lit(None).cast("long")).alias("__aim")
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         counts = dict(zip(pdf["n"].astype(int), pdf["c"].astype(int)))
-        picked = fill_sizes(counts, max(1, round(sum(s * k for s, k in counts.items()) * fraction)))
+        share = max(1, round(sum(s * k for s, k in counts.items()) * fraction))
+        picked = fill_sizes(counts, int(pdf["__aim"].max()) if target else share)
         out = pd.DataFrame({"n": list(picked), "take": list(picked.values())})
         return out.assign(**{c: pdf[c].iloc[0] for c in own})[[*own, "n", "take"]]
 
-    takes = ordered.groupBy(*own, "n").agg(F.count("*").alias("c")).groupBy(*own).applyInPandas(fill, ", ".join(f"{c} {k}" for c, k in of.items()) + ", take long")
+    takes = ordered.groupBy(*own, "n").agg(F.count("*").alias("c"), aim).groupBy(*own).applyInPandas(fill, ", ".join(f"{c} {k}" for c, k in of.items()) + ", take long")
     rows = global_row_number(ordered, [F.col("h"), F.col("bx"), F.col("by")], [*own, "n"])
     rows = rows.join(takes, [*own, "n"], "left").withColumn("picked", F.coalesce(F.col("rn") <= F.col("take"), F.lit(False))).drop("rn", "take")
     if tolerance < 1:  # no two shares differ by more than one
@@ -130,13 +136,96 @@ def _ring_roles(cells: DataFrame, test: DataFrame, group: list[str], ring: int)
     return rows.select(*key, F.when(F.col("__t"), "test").when(F.col("__b"), "buffer").otherwise("train").alias("role"))
 
 
-def distance_split(places: DataFrame, *, radius: int = 1, fraction: float = 0.2, regions: int = 3, seed: str = "42") -> DataFrame:
-    """Places split by distance: seeded k-means regions, a share of each region's rows to test, Chebyshev buffer."""
-    rows = kmeans_regions(places, regions, seed)
+def distance_split(places: DataFrame, *, radius: int = 1, fraction: float = 0.2, val_fraction: float = 0.1, regions: int = 3, seed: str = "42", assign: Callable[[DataFrame, int, str], DataFrame] | None = None) -> DataFrame:
+    """Places split by distance, with ``region`` and ``role``: test, val, buffer or train.
+
+    Places fall into regions (integer k-means, unless ``assign`` says otherwise). Of each region a share of
+    the rows goes to test, and places within Chebyshev ``radius`` of test are buffer. What is left goes to val
+    by each region's share of the rest, with a buffer of its own, and else to train. With a
+    ``val_fraction`` of 0 there is no val.
+    """
+    rows = cut((assign or lloyd)(places, regions, seed))
     cells = rows.select("region", F.col("grid_x").alias("bx"), F.col("grid_y").alias("by"), F.col("rows").alias("n"), "cdw").groupBy("region", "bx", "by").agg(F.sum("n").alias("n"), F.sum("cdw").alias("cdw"))
-    test = greedy_blocks(cells, ["region"], fraction, seed).select("bx", "by")
-    roles = _ring_roles(cells.select("bx", "by"), test, [], radius)
-    return rows.join(roles.withColumnsRenamed({"bx": "grid_x", "by": "grid_y"}), ["grid_x", "grid_y"])
+
+    total = rows.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+
+    def share(pool: DataFrame, aim: float, name: str) -> DataFrame:
+        """Cells of ``pool`` that fill ``aim`` of all rows, dealt to regions by their rows in the pool."""
+        per = pool.groupBy("region").agg(F.sum("n").alias("__n"))
+        within = per.agg(F.sum("__n").alias("__all"))  # one row
+        goal = F.bround(F.lit(max(1, round(total * aim))) * F.col("__n") / F.col("__all")).cast("long")
+        per = per.join(F.broadcast(within), F.col("__all").isNotNull()).select("region", goal.alias("__goal"))
+        return cut(greedy_blocks(pool.join(per, "region"), ["region"], aim, name, target="__goal").select("bx", "by"))
+
+    def near(pool: DataFrame, picked: DataFrame) -> DataFrame:
+        return spatial.within_grid(pool, picked, [], "bx", "by", radius)
+
+    spots = cells.select("bx", "by").distinct()
+    test = share(cells, fraction, seed)
+    around = near(spots, test)  # with test itself
+    rest = cells.join(around, ["bx", "by"], "left_anti")
+    val = share(rest, val_fraction, f"{seed}v") if val_fraction > 0 else test.limit(0)
+    beside = near(rest.select("bx", "by").distinct(), val)
+    mark = lambda df, name: df.select("bx", "by", F.lit(True).alias(name))
+    roles = spots
+    for df, name in ((test, "t"), (around, "a"), (val, "v"), (beside, "b")):
+        roles = roles.join(mark(df, name), ["bx", "by"], "left")
+    role = F.when(F.col("t"), "test").when(F.col("a"), "buffer").when(F.col("v"), "val").when(F.col("b"), "buffer").otherwise("train")
+    roles = roles.select(F.col("bx").alias("grid_x"), F.col("by").alias("grid_y"), role.alias("role"))
+    return rows.join(roles, ["grid_x", "grid_y"])
+
+
+def cluster_split(rows: DataFrame, *, size: int = 3, guard: int = 1, fraction: float = 0.2, val_fraction: float = 0.1, tolerance: float = 0.05, tries: int = 10, seed: str = "2026") -> DataFrame:
+    """Curated rows with ``attempt``, ``role`` (test, val, guard, train or none), ``is_manual`` and ``is_pseudo``.
+
+    Clusters are blocks of ``size`` places. Each attempt picks test clusters, lays a ring of ``guard`` blocks
+    around them, and picks val clusters from the rest, whose share grows with what test has taken. The
+    first attempt whose test and val rows have a share of cdw within ``tolerance`` of all rows' counts, or
+    else the one whose larger deviation is least. Places in a ring of test or val are guard. Train are the other
+    places' manual rows and those of a hard band of probabilities; ``is_manual`` marks manual rows outside of
+    test, val and guard, ``is_pseudo`` the rows of the pseudo-label pool wherever they are. All attempts run in
+    one job, on places and blocks with the attempt as a group.
+    """
+    places = cut(place_registry(rows))
+    tried = places.select("place_key", F.col("rows").alias("n"), "cdw", *block_of(size), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("attempt"))
+    key = ["attempt", "bx", "by"]
+    blocks = cut(tried.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("cdw").alias("cdw")))
+    test = cut(greedy_blocks(blocks, ["attempt"], fraction, seed))
+    ring = spatial.within_grid(blocks, test, ["attempt"], "bx", "by", guard).select(*key)
+    rest = blocks.join(ring, key, "left_anti")
+    sizes = blocks.groupBy("attempt").agg(F.sum("n").alias("all")).join(blocks.join(test, key, "left_semi").groupBy("attempt").agg(F.sum("n").alias("tested")), "attempt")
+    left = rest.groupBy("attempt").agg(F.sum("n").alias("rest")).join(sizes, "attempt")
+    scaled = F.least(F.lit(0.9), val_fraction / F.greatest(F.lit(1e-9), 1 - F.col("tested") / F.col("all")))
+    left = left.select("attempt", F.greatest(F.lit(1), F.bround(F.col("rest") * scaled).cast("long")).alias("__goal"))
+    val = cut(greedy_blocks(rest.join(left, "attempt"), ["attempt"], val_fraction, f"{seed}v", target="__goal"))
+
+    beside = spatial.within_grid(blocks, val, ["attempt"], "bx", "by", guard).select(*key)
+    marked = blocks
+    for df, name in ((test, "t"), (val, "v"), (ring.union(beside).distinct(), "g")):
+        marked = marked.join(df.select(*key, F.lit(True).alias(name)), key, "left")
+    zone = F.when(F.col("t"), "test").when(F.col("v"), "val").when(F.col("g"), "guard").otherwise("train")
+    zones = cut(marked.select(*key, "n", "cdw", zone.alias("zone")))
+
+    share = lambda z: F.sum(F.when(F.col("zone") == z, F.col("cdw"))) / F.sum(F.when(F.col("zone") == z, F.col("n")))
+    every = F.sum("cdw") / F.sum("n")
+    off = zones.groupBy("attempt").agg(F.greatest(*[F.coalesce(F.abs(share(z) - every), F.lit(2.0)) for z in ("test", "val")]).alias("off"))
+    order = F.when(F.col("off") <= tolerance, F.lit(0.0)).otherwise(F.col("off"))
+    chosen = off.agg(F.min(F.struct(order.alias("o"), "attempt")).alias("m")).select(F.col("m.attempt").alias("attempt"))
+    of = tried.join(zones, key).join(F.broadcast(chosen), "attempt").select("place_key", "attempt", "zone")  # one row
+
+    p, manual = F.col("model_prob"), F.coalesce(K.is_manual(), F.lit(False))
+    hard = F.coalesce(p.between(0.05, 0.30) | p.between(0.70, 0.95), F.lit(False))
+    free = F.col("zone") == "train"
+    role = F.when(~free, F.col("zone")).when(manual | hard, "train").otherwise("none")
+    pseudo = ~manual & F.coalesce((p >= 0.95) | (p <= 0.05), F.lit(False))
+    return rows.join(of, "place_key").withColumn("role", role).withColumn("is_manual", free & manual).withColumn("is_pseudo", pseudo).drop("zone")
+
+
+def cluster_keys(split: DataFrame) -> DataFrame:
+    """``list, raster, row_off, col_off``: the distinct keys of the test, val, train, manual and pseudo lists."""
+    name = lambda c, n: F.when(c, n)
+    lists = F.array_compact(F.array(name(F.col("role").isin("test", "val", "train"), F.col("role")), name(F.col("is_manual"), "manual"), name(F.col("is_pseudo"), "pseudo")))
+    return split.select(F.explode(lists).alias("list"), "raster", "row_off", "col_off").distinct()
 
 
 def kmeans_regions(places: DataFrame, k: int, seed: str) -> DataFrame:
@@ -158,7 +247,7 @@ def lloyd(points: DataFrame, k: int, seed: str, x: str = "grid_x", y: str = "gri
     centres = [(r[x], r[y]) for r in distinct.orderBy(hashed(seed, x, y)).limit(k).collect()]
 
     def nearest() -> Column:
-        d = [F.pow(F.col(x) - a, F.lit(2.0)) + F.pow(F.col(y) - b, F.lit(2.0)) for a, b in centres]
+        d = [F.pow(F.col(x) - a, F.lit(2.0)) + F.pow(F.col(y) - b, F.lit(2.0)) for a, b in centres] or [F.lit(0.0)]  # none of an empty table
         best = F.least(*d) if len(d) > 1 else d[0]
         return F.coalesce(*[F.when(c == best, F.lit(i)) for i, c in enumerate(d)])
 
@@ -174,11 +263,21 @@ def lloyd(points: DataFrame, k: int, seed: str, x: str = "grid_x", y: str = "gri
 
 
 def infer_stride(chips: DataFrame) -> DataFrame:
-    """Greatest common divisor of all positive offsets, from their distinct values: one row."""
-    values = chips.select(F.explode(F.array("row_off", "col_off")).alias("v")).filter("v > 0").distinct()
-    low = values.agg(F.min("v").alias("lo"), F.collect_set("v").alias("vs"))
-    divisors = F.filter(F.sequence(F.lit(1), F.col("lo")), lambda d: F.forall("vs", lambda v: v % d == 0))
-    return low.select(F.coalesce(F.array_max(divisors), F.lit(64)).alias("stride"))
+    """Greatest common divisor of all positive offsets, 64 if there is none: one row.
+
+    Each round divides every value by the least one: the remainders and the least have the same divisor.
+    Values below the least halve it at worst every other round, so rounds grow with its logarithm, and a
+    round passes distinct values only, which its partial aggregates have already thinned.
+    """
+    values = chips.select(F.explode(F.array(F.col("row_off").cast("long"), F.col("col_off").cast("long"))).alias("v")).filter("v > 0").distinct()
+    low = values.agg(F.min("v").alias("lo")).first()["lo"]
+    while low is not None:
+        values = cut(values.select((F.col("v") % low).alias("v")).filter("v > 0").distinct())
+        least = values.agg(F.min("v")).first()[0]
+        if least is None:
+            break
+        values, low = values.union(chips.sparkSession.createDataFrame([(low,)], "v long")), least
+    return chips.sparkSession.createDataFrame([(int(low or 64),)], "stride int")
 
 
 def gap_pixels(buffer_strides: Column, stride: Column, chunk: Column) -> Column:
@@ -235,18 +334,18 @@ def zone_split(chips: DataFrame, *, test_share: float = 0.1, val_share: float =
 def bisection_split(tiles: DataFrame, *, buffer_m: float = 20.0, val_percent: int = 20, seed: str = "42") -> DataFrame:
     """Per map sheet: the longer axis is cut at its middle, the side with fewer rows is the test candidate,
     rows within the buffer of the cut go; places in test are pruned from train, and val is taken by place."""
-    w = Window.partitionBy("tile")
-    x0, x1, y0, y1 = (f(c).over(w) for c in ("x", "y") for f in (F.min, F.max))
-    rows = tiles.withColumn("axis", F.when(x1 - x0 >= y1 - y0, F.col("x")).otherwise(F.col("y"))).withColumn("mid", F.when(x1 - x0 >= y1 - y0, (x0 + x1) / 2).otherwise((y0 + y1) / 2))
-    rows = rows.withColumn("side", (F.col("axis") > F.col("mid")).cast("int")).withColumn("near", F.abs(F.col("axis") - F.col("mid")) <= buffer_m)
-    high = F.sum("side").over(w)
-    rows = rows.withColumn("test_side", F.when(high <= F.count("*").over(w) - high, 1).otherwise(0))
-    rows = rows.withColumn("role", F.when(F.col("near"), "buffer").when(F.col("side") == F.col("test_side"), "test").otherwise("train"))
+    ends = tiles.groupBy("tile").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    wide = F.col("x1") - F.col("x0") >= F.col("y1") - F.col("y0")
+    ends = cut(ends.select("tile", wide.alias("wide"), F.when(wide, (F.col("x0") + F.col("x1")) / 2).otherwise((F.col("y0") + F.col("y1")) / 2).alias("mid")))
+    axis = F.when(F.col("wide"), F.col("x")).otherwise(F.col("y"))
+    placed = tiles.join(ends, "tile").withColumn("side", (axis > F.col("mid")).cast("int")).withColumn("near", F.abs(axis - F.col("mid")) <= buffer_m)
+    sides = placed.groupBy("tile").agg(F.when(2 * F.sum("side") <= F.count("*"), 1).otherwise(0).alias("test_side"))
+    rows = placed.join(sides, "tile").withColumn("role", F.when(F.col("near"), "buffer").when(F.col("side") == F.col("test_side"), "test").otherwise("train"))
     tested = rows.filter("role = 'test'").select("place").distinct().withColumn("__t", F.lit(True))
     rows = rows.join(tested, "place", "left")
     val = F.conv(F.substring(hashed(seed, "place"), 1, 8), 16, 10).cast("long") % 100 < val_percent
     role = F.when((F.col("role") == "train") & F.col("__t"), "pruned").when((F.col("role") == "train") & val, "val").otherwise(F.col("role"))
-    return rows.withColumn("role", role).drop("axis", "mid", "side", "near", "test_side", "__t")
+    return rows.withColumn("role", role).drop("wide", "mid", "side", "near", "test_side", "__t")
 
 
 def fence_id(metres: float, pixels: int) -> Column:

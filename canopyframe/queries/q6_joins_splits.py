@@ -352,9 +352,9 @@ def _(t):
     return p.select("place_key", *S.block_of(2))
 
 
-@query("spl03_distance_split")
+@query("spl03_distance_split", f"WITH RECURSIVE {Q.LLOYD}, {Q.DISTANCE_ROLES} SELECT place_key, region, rows, role FROM ro")
 def _(t):
-    return S.distance_split(S.place_registry(curated(t))).select("place_key", "region", "rows", "role")
+    return S.distance_split(S.place_registry(curated(t)), fraction=0.1, val_fraction=0.05).select("place_key", "region", "rows", "role")
 
 
 @query("spl04_lloyd_regions", f"WITH RECURSIVE {Q.LLOYD} SELECT place_key, CAST(CASE WHEN d1 <= d2 AND d1 <= d3 THEN 0 WHEN d2 <= d3 THEN 1 ELSE 2 END AS INTEGER) AS region FROM (SELECT DISTINCT place_key, " + ", ".join(f"(grid_x - a{k}) ** 2 + (grid_y - b{k}) ** 2 AS d{k}" for k in (1, 2, 3)) + " FROM curated, ce)")
@@ -404,26 +404,22 @@ def _(t):
     return g.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("method")), 4))
 
 
-@query(
-    "spl09_cluster_split",
-    f"""WITH RECURSIVE {Q.block_roles("list_transform(range(10), lambda x: x::VARCHAR)")}, o AS (SELECT g, abs(coalesce(sum(cdw) FILTER (role = 'test') / sum(rows) FILTER (role = 'test'), 0) - sum(cdw) / sum(rows)) AS off FROM ro GROUP BY g),
-    w AS (SELECT coalesce((SELECT min(g) FROM o WHERE off <= 0.02::DOUBLE), (SELECT arg_min(g, (off, g)) FROM o)) AS g) SELECT place_key, rows, role, CAST(g AS INTEGER) AS seed FROM ro JOIN w USING (g)""",
-)
+def clusters(t):
+    # the table has thirty places, so a place is a cluster of its own
+    return S.cluster_split(curated(t), size=1, fraction=0.1, val_fraction=0.05)
+
+
+@query("spl09_cluster_split", f"WITH RECURSIVE {Q.CLUSTER_ROLES} SELECT arrival, attempt, role, is_manual, is_pseudo FROM cs")
+def _(t):
+    return clusters(t).select("arrival", "attempt", "role", "is_manual", "is_pseudo")
+
+
+LISTS = "(SELECT role AS list, * FROM cs WHERE role IN ('test', 'val', 'train') UNION ALL SELECT 'manual', * FROM cs WHERE is_manual UNION ALL SELECT 'pseudo', * FROM cs WHERE is_pseudo)"
+
+
+@query("spl09_key_lists", f"WITH RECURSIVE {Q.CLUSTER_ROLES} SELECT DISTINCT list, raster, row_off, col_off FROM {LISTS}")
 def _(t):
-    """First of ten seeds whose block split's test share of cdw is within tolerance, else the nearest."""
-    places = S.place_registry(curated(t)).cache()
-    total = places.agg((F.sum("cdw") / F.sum("rows")).alias("r")).first()["r"]
-    best = None
-    for seed in range(10):
-        s = S.block_split(places, seed=str(seed))
-        row = s.filter("role = 'test'").agg((F.sum("cdw") / F.sum("rows")).alias("r")).first()
-        off = abs((row["r"] or 0.0) - total)
-        if best is None or off < best[0]:
-            best = (off, s.withColumn("seed", F.lit(seed)))
-        if off <= 0.02:
-            break
-    places.unpersist()
-    return best[1].select("place_key", "rows", "role", "seed")
+    return S.cluster_keys(clusters(t))
 
 
 def map_tiles(t):

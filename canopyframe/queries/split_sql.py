@@ -6,12 +6,18 @@ A greedy choice is a recursive table with one row per group and step, which carr
 #: CRC-32 of an ASCII text, bit by bit (reflected polynomial 0xEDB88320).
 CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda ch: unicode(ch)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)), 4294967295::BIGINT)"
 
-#: Blocks ``bl`` (g, br, bc, id, n, cdw, h) picked greedily up to a fifth of each g's rows: ``picked`` (g, id).
-PICKS = """tg AS (SELECT g, greatest(1, CAST(round_even(sum(n) * 0.2::DOUBLE, 0) AS BIGINT)) AS target FROM bl GROUP BY g),
-pk(g, step, total, ids) AS (SELECT g, 0, 0::BIGINT, []::VARCHAR[] FROM tg UNION ALL SELECT g, step + 1, total + n, list_append(ids, id) FROM (
-  SELECT pk.g, step, total, ids, n, id, row_number() OVER (PARTITION BY pk.g ORDER BY abs(target - total - n), n DESC, h, br, bc) AS k
-  FROM pk JOIN tg ON tg.g = pk.g JOIN bl ON bl.g = pk.g WHERE total < target AND NOT list_contains(ids, id)) WHERE k = 1),
-picked AS (SELECT g, unnest(ids) AS id FROM (SELECT g, arg_max(ids, step) AS ids FROM pk GROUP BY g))"""
+
+
+def picks(name: str = "", goal: str = "greatest(1, CAST(round_even(sum(n) * 0.2::DOUBLE, 0) AS BIGINT))") -> str:
+    """Blocks ``bl`` (g, br, bc, id, n, h) picked greedily up to each g's ``goal``, a fifth of its rows: ``picked`` (g, id), all with ``name`` behind."""
+    return f"""tg{name} AS (SELECT g, {goal} AS target FROM bl{name} GROUP BY g),
+pk{name}(g, step, total, ids) AS (SELECT g, 0, 0::BIGINT, []::VARCHAR[] FROM tg{name} UNION ALL SELECT g, step + 1, total + n, list_append(ids, id) FROM (
+  SELECT pk{name}.g, step, total, ids, n, id, row_number() OVER (PARTITION BY pk{name}.g ORDER BY abs(target - total - n), n DESC, h, br, bc) AS k
+  FROM pk{name} JOIN tg{name} ON tg{name}.g = pk{name}.g JOIN bl{name} ON bl{name}.g = pk{name}.g WHERE total < target AND NOT list_contains(ids, id)) WHERE k = 1),
+picked{name} AS (SELECT g, unnest(ids) AS id FROM (SELECT g, arg_max(ids, step) AS ids FROM pk{name} GROUP BY g))"""
+
+
+PICKS = picks()
 
 #: ``test`` (g, id): ``picked`` after the one exchange that brings the share of cdw nearest, if it is off by over 0.2.
 EXCHANGE = """cl AS (SELECT bl.g, n, cdw, picked.id IS NOT NULL AS inside, count(*) AS c, arg_min(bl.id, h) AS id FROM bl LEFT JOIN picked ON picked.g = bl.g AND picked.id = bl.id GROUP BY ALL),
@@ -73,3 +79,32 @@ dl(i, x, y, f) AS (SELECT 0::BIGINT, list_transform({every}, lambda k: 0::BIGINT
 tk AS (SELECT p, q, k, max(c) // {folds} + count(*) FILTER (f = k) AS take FROM st JOIN dl USING (i), (SELECT unnest({every}) AS k) GROUP BY p, q, k),
 cu AS (SELECT *, sum(take) OVER (PARTITION BY p, q ORDER BY k) AS upto FROM tk),
 sf AS (SELECT grp, CAST(k - 1 AS INTEGER) AS fold FROM (SELECT *, row_number() OVER (PARTITION BY p, q ORDER BY md5('{seed}|' || grp), grp) AS rn FROM gr) r JOIN cu ON cu.p = r.p AND cu.q = r.q AND rn > upto - take AND rn <= upto)"""
+
+
+#: ``ro`` (place_key, region, rows, role): regions by integer k-means, test and val with a buffer each; after ``LLOYD``.
+DISTANCE_ROLES = f"""pc AS (SELECT place_key, grid_x AS br, grid_y AS bc, rows, CASE WHEN d1 <= d2 AND d1 <= d3 THEN 0 WHEN d2 <= d3 THEN 1 ELSE 2 END AS g FROM (SELECT *, {", ".join(f"(grid_x - a{k}) ** 2 + (grid_y - b{k}) ** 2 AS d{k}" for k in (1, 2, 3))}
+  FROM (SELECT place_key, grid_x, grid_y, count(*) AS rows FROM curated GROUP BY ALL), ce)),
+bl AS (SELECT g, br, bc, br || '_' || bc AS id, CAST(sum(rows) AS BIGINT) AS n, md5('42|' || g || '|' || br || '|' || bc) AS h FROM pc GROUP BY g, br, bc),
+{picks("", "CAST(round_even(greatest(1, round_even((SELECT sum(rows) FROM pc) * 0.1::DOUBLE, 0)) * sum(n) / (SELECT sum(n) FROM bl), 0) AS BIGINT)")},
+te AS (SELECT bl.* FROM bl JOIN picked USING (g, id)), bu AS (SELECT bl.* FROM bl WHERE EXISTS (SELECT 1 FROM te WHERE greatest(abs(te.br - bl.br), abs(te.bc - bl.bc)) <= 1)),
+blv AS (SELECT * REPLACE (md5('42v|' || g || '|' || br || '|' || bc) AS h) FROM bl WHERE NOT EXISTS (SELECT 1 FROM bu WHERE bu.br = bl.br AND bu.bc = bl.bc)),
+{picks("v", "CAST(round_even(greatest(1, round_even((SELECT sum(rows) FROM pc) * 0.05::DOUBLE, 0)) * sum(n) / (SELECT sum(n) FROM blv), 0) AS BIGINT)")},
+tv AS (SELECT blv.* FROM blv JOIN pickedv USING (g, id)),
+ro AS (SELECT place_key, g AS region, rows, CASE WHEN EXISTS (SELECT 1 FROM te WHERE te.br = pc.br AND te.bc = pc.bc) THEN 'test' WHEN EXISTS (SELECT 1 FROM bu WHERE bu.br = pc.br AND bu.bc = pc.bc) THEN 'buffer'
+  WHEN EXISTS (SELECT 1 FROM tv WHERE tv.br = pc.br AND tv.bc = pc.bc) THEN 'val' WHEN EXISTS (SELECT 1 FROM tv WHERE greatest(abs(tv.br - pc.br), abs(tv.bc - pc.bc)) <= 1) THEN 'buffer' ELSE 'train' END AS role FROM pc)"""
+
+#: ``cs``: curated rows with the role and marks of the cluster split, the best of ten attempts.
+CLUSTER_ROLES = f"""pl AS (SELECT place_key, CAST(grid_x AS BIGINT) AS br, CAST(grid_y AS BIGINT) AS bc, count(*) AS rows, count(*) FILTER (label = 'cdw') AS cdw FROM curated GROUP BY place_key, grid_x, grid_y),
+bl AS (SELECT g, br, bc, br || '_' || bc AS id, CAST(sum(rows) AS BIGINT) AS n, CAST(sum(cdw) AS BIGINT) AS cdw, md5('2026|' || g || '|' || br || '|' || bc) AS h FROM pl, (SELECT unnest(range(10)) AS g) GROUP BY g, br, bc),
+{picks("", "greatest(1, CAST(round_even(sum(n) * 0.1::DOUBLE, 0) AS BIGINT))")}, te AS (SELECT bl.* FROM bl JOIN picked USING (g, id)), rg AS (SELECT bl.* FROM bl WHERE EXISTS (SELECT 1 FROM te WHERE te.g = bl.g AND greatest(abs(te.br - bl.br), abs(te.bc - bl.bc)) <= 1)),
+sz AS (SELECT bl.g, sum(bl.n) AS a, (SELECT sum(n) FROM te WHERE te.g = bl.g) AS t FROM bl GROUP BY bl.g),
+blv AS (SELECT * REPLACE (md5('2026v|' || g || '|' || br || '|' || bc) AS h) FROM bl WHERE NOT EXISTS (SELECT 1 FROM rg WHERE rg.g = bl.g AND rg.id = bl.id)),
+{picks("v", "greatest(1, CAST(round_even(sum(n) * least(0.9::DOUBLE, 0.05::DOUBLE / greatest(1e-9::DOUBLE, 1 - (SELECT t / a FROM sz WHERE sz.g = blv.g))), 0) AS BIGINT))")},
+tv AS (SELECT blv.* FROM blv JOIN pickedv USING (g, id)),
+zo AS (SELECT bl.*, CASE WHEN te.id IS NOT NULL THEN 'test' WHEN tv.id IS NOT NULL THEN 'val' WHEN EXISTS (SELECT 1 FROM te t WHERE t.g = bl.g AND greatest(abs(t.br - bl.br), abs(t.bc - bl.bc)) <= 1)
+  OR EXISTS (SELECT 1 FROM tv v WHERE v.g = bl.g AND greatest(abs(v.br - bl.br), abs(v.bc - bl.bc)) <= 1) THEN 'guard' ELSE 'train' END AS zone FROM bl LEFT JOIN te USING (g, id) LEFT JOIN tv USING (g, id)),
+o AS (SELECT g, greatest(coalesce(abs(sum(cdw) FILTER (zone = 'test') / sum(n) FILTER (zone = 'test') - sum(cdw) / sum(n)), 2), coalesce(abs(sum(cdw) FILTER (zone = 'val') / sum(n) FILTER (zone = 'val') - sum(cdw) / sum(n)), 2)) AS off FROM zo GROUP BY g),
+w AS (SELECT g FROM o ORDER BY CASE WHEN off <= 0.05::DOUBLE THEN 0 ELSE off END, g LIMIT 1),
+cs AS (SELECT c.*, CAST(w.g AS INTEGER) AS attempt, CASE WHEN zone <> 'train' THEN zone WHEN source IN ('manual', 'auto_reviewed') OR model_prob BETWEEN 0.05 AND 0.30 OR model_prob BETWEEN 0.70 AND 0.95 THEN 'train' ELSE 'none' END AS role,
+  zone = 'train' AND source IN ('manual', 'auto_reviewed') AS is_manual, source NOT IN ('manual', 'auto_reviewed') AND coalesce(model_prob >= 0.95 OR model_prob <= 0.05, false) AS is_pseudo
+  FROM curated c, w JOIN zo ON zo.g = w.g WHERE zo.br = c.grid_x AND zo.bc = c.grid_y)"""

@@ -34,18 +34,81 @@ def test_lloyd_equals_plain_rounds(spark):
         assert got == {p[0]: nearest(p) for p in rows}
 
 
-def test_distance_split_keeps_its_buffer_and_share(spark):
-    df, rows = places(spark)
-    out = S.distance_split(df, radius=1, fraction=0.2).collect()
-    assert len(out) == len(rows) and {r.role for r in out} == {"train", "buffer", "test"}
-    test = [(r.grid_x, r.grid_y) for r in out if r.role == "test"]
+def chebyshev(a, others):
+    return min((max(abs(a.grid_x - b.grid_x), abs(a.grid_y - b.grid_y)) for b in others), default=99)
+
+
+def test_distance_split_has_val_and_buffers(spark):
+    df, rows = places(spark, 24)
+    out = S.distance_split(df, radius=1, fraction=0.1, val_fraction=0.1).collect()
+    assert len(out) == len(rows) and {r.role for r in out} == {"train", "buffer", "test", "val"}
+    of = lambda role: [r for r in out if r.role == role]
     for r in out:
-        far = min(max(abs(r.grid_x - a), abs(r.grid_y - b)) for a, b in test)
-        assert r.role == ("test" if far == 0 else "buffer" if far == 1 else "train")
+        to_test, to_val = chebyshev(r, of("test")), chebyshev(r, of("val"))
+        assert r.role == ("test" if to_test == 0 else "buffer" if to_test == 1 else "val" if to_val == 0 else "buffer" if to_val == 1 else "train")
+    total = sum(r.rows for r in out)
     for region in {r.region for r in out}:
         own = [r for r in out if r.region == region]
-        share = sum(r.rows for r in own if r.role == "test") / sum(r.rows for r in own)
-        assert 0.05 < share < 0.45
+        size, tested = sum(r.rows for r in own), sum(r.rows for r in own if r.role == "test")
+        assert abs(tested - round(round(total * 0.1) * size / total)) <= 20  # within a place's rows
+    pool = [r for r in out if chebyshev(r, of("test")) > 1]
+    left = sum(r.rows for r in pool)
+    for region in {r.region for r in pool}:
+        own = [r for r in pool if r.region == region]
+        want = round(round(total * 0.1) * sum(r.rows for r in own) / left)
+        assert abs(sum(r.rows for r in own if r.role == "val") - want) <= 20
+    assert {r.role for r in S.distance_split(df, val_fraction=0).collect()} <= {"train", "buffer", "test"}
+    assert S.distance_split(df.limit(0)).count() == 0
+
+
+def curated_rows(spark, n=14, seed=3):
+    rng = random.Random(seed)
+    rows = []
+    for x in range(n):
+        for y in range(n):
+            for k in range(rng.randint(3, 9)):
+                rows.append((f"{x}_{y}", x, y, 2020, f"r{x}_{y}", 64 * k, 0, "cdw" if rng.random() < 0.3 else "no_cdw", rng.choice(["manual", "auto", "auto", "auto_skip"]), "threshold_gate", rng.choice([None, 0.01, 0.2, 0.5, 0.8, 0.99])))
+    return spark.createDataFrame(rows, "place_key string, grid_x int, grid_y int, year int, raster string, row_off int, col_off int, label string, source string, reason string, model_prob double")
+
+
+def test_cluster_split_guards_test_and_val_and_mines_train(spark):
+    df = curated_rows(spark)
+    out = S.cluster_split(df, size=1, guard=1, fraction=0.15, val_fraction=0.1, tolerance=0.05).collect()
+    assert len(out) == df.count() and {r.role for r in out} == {"test", "val", "guard", "train", "none"} and len({r.attempt for r in out}) == 1
+    test, val = ({(r.grid_x, r.grid_y) for r in out if r.role == z} for z in ("test", "val"))
+    near = lambda p, zone, d: any(max(abs(p[0] - a), abs(p[1] - b)) <= d for a, b in zone)
+    assert not any(near(p, test, 1) for p in val)
+    share = lambda rows: sum(r.label == "cdw" for r in rows) / len(rows)
+    for zone in ("test", "val"):
+        assert abs(share([r for r in out if r.role == zone]) - share(out)) <= 0.05
+    for r in out:
+        p, manual = (r.grid_x, r.grid_y), r.source == "manual"
+        guarded = p not in test and p not in val and (near(p, test, 1) or near(p, val, 1))
+        assert (r.role == "guard") == guarded
+        if r.role in ("train", "none"):
+            assert (r.role == "train") == (manual or r.model_prob in (0.2, 0.8))
+        assert r.is_manual == (manual and r.role == "train") and r.is_pseudo == (not manual and r.model_prob in (0.01, 0.99))
+    keys = S.cluster_keys(S.cluster_split(df, size=1, fraction=0.15)).collect()
+    assert {k.list for k in keys} == {"test", "val", "train", "manual", "pseudo"}
+    tested, trained = ({(k.raster, k.row_off, k.col_off) for k in keys if k.list == name} for name in ("test", "train"))
+    assert tested and trained and not tested & trained
+
+
+def test_cluster_split_takes_the_first_attempt_within_tolerance_or_the_nearest(spark):
+    df = curated_rows(spark, 8)
+    attempt = lambda **more: S.cluster_split(df, size=1, tries=4, **more).first().attempt
+    assert attempt(tolerance=2.0) == 0
+    nearest = S.cluster_split(df, size=1, tries=4, tolerance=0.0).collect()
+    share = lambda rows: sum(r.label == "cdw" for r in rows) / len(rows)
+    off = max(abs(share([r for r in nearest if r.role == z]) - share(nearest)) for z in ("test", "val"))
+    assert attempt(tolerance=off + 1e-9) <= nearest[0].attempt  # it is within its own deviation
+    assert S.cluster_split(df.limit(0)).count() == 0
+
+
+def test_stride_by_remainders(spark):
+    for values, want in (([64, 128, 192], 64), ([48, 36, 90], 6), ([0, 0], 64), ([7], 7), ([10**6, 10**6 + 1], 1), ([None, 20, 30], 10)):
+        df = spark.createDataFrame([(v, 0) for v in values], "row_off int, col_off int")
+        assert S.infer_stride(df).first().stride == want
 
 
 def scores(spark, n):
