@@ -10,7 +10,8 @@ end above ``CERTAIN`` are marked wherever a scored context or not precedes them.
 Scale. One pass over texts leaves spans and mentions without text, written once to the checkpoint
 folder. Edges are pre-aggregated to distinct (context, identifier) pairs; a hot context meets AQE's
 skew join, and scores are partial sums. What follows a context is counted over all texts: pairs of
-words are counted within each task, then summed, and only the sums meet the contexts.
+words that a bitmap of the contexts (of bounded size) does not hold are dropped where they arise, the others
+are counted within each task, then summed, and the sums meet the contexts.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canopyframe.llm.bitmaps import marked
 from canopyframe.llm.spans import CHUNK, SPANS, as_spans, blocked, bound, chunks, count_kind, listed, matches, overlaps, piece, replaced
 from canopyframe.plans.lineage import cut
 
@@ -41,7 +43,9 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: White space, two words and white space at the end: the words are whole.
-TWO_WORDS = rf"{SPACE}({WORD}){SPACE}+({WORD}){SPACE}+\z"
+TWO_WORDS = rf"{SPACE}({WORD}+){SPACE}++({WORD}+){SPACE}++\z"
+#: Chunks before a mention in which its context is looked for, one after the other; the last hold any text.
+LOOKS = [2 * 4**k for k in range(12)]
 
 
 def _digits(m: Column) -> Column:
@@ -78,21 +82,23 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[as_spans(m, k) for k, m in enumerate((email, ip, card, phone))]))
 
 
-def _context(text: Column, parts: Column, start: Column) -> Column:
+def _context(parts: Column, start: Column) -> Column:
     """Hash of the two lower-cased words before ``start``, or null if there are not two, each whole.
 
-    They are looked for in the last chunks before ``start``, and if those do not hold them, in all of
-    the text before it. ``parts`` are the text's chunks.
+    They are looked for in the last two chunks before ``start``, then in four times as many each time, so
+    the work follows the words' own length. ``parts`` are the text's chunks.
     """
 
-    def pair(before: Column) -> Column:
-        found = F.array(F.regexp_extract(before, TWO_WORDS, 1), F.regexp_extract(before, TWO_WORDS, 2))
-        return F.when(found[1] != "", F.xxhash64(F.lower(found[0]), F.lower(found[1])))
+    def pair(chunks_back: int) -> Column:
+        begin = F.greatest((F.floor(start / CHUNK).cast("int") - (chunks_back - 1)) * CHUNK, F.lit(0))
+        # a text's first word is whole; so is one after white space, which the pattern asks for
+        near = F.concat(F.when(begin == 0, " ").otherwise(""), piece(parts, begin, start))
+        found = F.array(F.regexp_extract(near, TWO_WORDS, 1), F.regexp_extract(near, TWO_WORDS, 2))
+        hashed = F.when(found[1] != "", F.xxhash64(F.lower(found[0]), F.lower(found[1])))
+        # what the last look held in full need not be looked through again
+        return hashed if chunks_back == LOOKS[0] else F.when(F.floor(start / CHUNK) >= chunks_back // 4, hashed)
 
-    begin = F.greatest((F.floor(start / CHUNK).cast("int") - 1) * CHUNK, F.lit(0))
-    # a text's first word is whole; so is one after white space, which the pattern asks for
-    near = F.concat(F.when(begin == 0, " ").otherwise(""), piece(parts, begin, start))
-    return F.coalesce(pair(near), F.when(begin > 0, pair(F.concat(F.lit(" "), F.substring(text, F.lit(1), start)))))
+    return F.coalesce(*[pair(n) for n in LOOKS])
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -101,13 +107,13 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Mentions that no pattern took stay without a context too, since other texts may prove their identifier.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.select("doc_id", "t", base_spans(F.col("t")).alias("base"), matches(F.col("t"), TOKEN, F.col("t").rlike("[0-9@]")).alias("tokens"))
     text = F.col("t")
+    rows = rows.select("doc_id", "t", base_spans(text).alias("base"), matches(text, TOKEN, text.rlike("[0-9@]")).alias("tokens"))
 
     def found(parts: Column) -> Column:
         def mention(x: Column, seed: bool) -> Column:
             item = F.md5(F.lower(piece(parts, x["start"], x["end"])))
-            return F.struct(x["start"].alias("start"), x["end"].alias("end"), _context(text, parts, x["start"]).alias("context"), item.alias("item"), F.lit(seed).alias("seed"))
+            return F.struct(x["start"].alias("start"), x["end"].alias("end"), _context(parts, x["start"]).alias("context"), item.alias("item"), F.lit(seed).alias("seed"))
 
         free = bound(blocked(F.col("base")), lambda base: F.filter("tokens", lambda x: ~overlaps(base, x["start"], x["end"])))
         return F.concat(F.transform("base", lambda x: mention(x, True)), F.transform(free, lambda x: mention(x, False)))
@@ -117,11 +123,14 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def context_totals(docs: DataFrame, text_col: str, contexts: DataFrame) -> DataFrame:
-    """How often each of the distinct ``contexts`` is followed by any word, over all texts."""
+    """How often each of the distinct ``contexts`` is followed by any word, over all texts.
+
+    A bitmap of the contexts drops other pairs of words where they arise; an exact join drops what it lets through.
+    """
     words = docs.select(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0)).alias("w")).filter(F.size("w") > 2)
     pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 2), F.slice("w", F.lit(2), F.size("w") - 2), lambda a, b: F.xxhash64(a, b))
-    rows = words.select(F.explode(pairs).alias("context"))
-    return rows.groupBy("context").agg(F.count("*").alias("total")).join(contexts, "context", "left_semi")
+    met, may = marked(words.select(F.explode(pairs).alias("context")), "context", contexts.select(F.col("context").alias("digest")))
+    return met.filter(may).groupBy("context").agg(F.count("*").alias("total")).join(contexts, "context", "left_semi")
 
 
 def learn(docs: DataFrame, scanned: DataFrame, text_col: str, rounds: int = ROUNDS, support: int = SUPPORT, certain: float = CERTAIN) -> DataFrame:

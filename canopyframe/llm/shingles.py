@@ -12,9 +12,9 @@ of copies, however large, by a pair a member. Then the members of a bucket that
 meet in one task, which holds at most ``BUCKET`` texts and ``BULK`` shingles: sketches, a byte of each
 minimum, say which pairs are worth a look (``ALIKE`` equal bytes, four deviations below the least
 similarity), their sets decide, and a link joins their groups there and then, so at most one link a
-member leaves the task. A larger bucket takes another exact way: rounds that compare ``SMALL`` texts with
-all others and lay them aside, until those left are in one group. Sets are built of texts with a pair to
-compare only.
+member leaves the task. A larger bucket is cut into blocks of half that size, by falling number of shingles, and each
+pair of blocks whose sizes let a link be is such a task, in one pass: as many tasks as the square of the
+blocks, each within the same bounds. Sets are built of texts with a pair to compare only.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from canopyframe.llm.bitmaps import marked
 from canopyframe.llm.textio import byte_slices, space_words
 from canopyframe.operators.graph import connected_components
 from canopyframe.plans.lineage import cut
+from canopyframe.plans.ranking import running_sums
 
 SHINGLE = 5
 LEAST = 0.8
@@ -110,12 +111,15 @@ def shingles_column(text: Column) -> Column:
     return kernel(text)
 
 
-def bucket_links(group: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Pairs of groups that links between a bucket's texts join: a forest, so fewer than texts."""
+def bucket_links(group: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of groups that links between a bucket's texts join: a forest, so fewer than texts.
+
+    Texts of sides 1 and 2 are compared across only, those of side 0 with all.
+    """
     label, links = group.copy(), []
     size = np.array([len(x) for x in sets])
     for i in range(len(sets) - 1):
-        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        other = np.flatnonzero((label[i + 1 :] != label[i]) & ((side[i + 1 :] != side[i]) | (side[i] == 0))) + i + 1
         other = other[np.minimum(size[other], size[i]) >= LEAST * np.maximum(size[other], size[i])]
         other = other[(sketch[other] == sketch[i]).sum(1) >= ALIKE]
         for j in other.tolist():
@@ -128,23 +132,23 @@ def bucket_links(group: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray])
 
 
 def _link_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of groups within buckets; rows ``key, c, sketch, hashes`` come sorted by key. Holds one bucket."""
-    kinds = {"key": pa.int64(), "c": pa.int64(), "sketch": pa.binary(), "hashes": pa.binary()}
-    held = pa.table({n: pa.array([], k) for n, k in kinds.items()})
+    """Links of groups within buckets; rows ``key, c, side, sketch, hashes`` come sorted by key. Holds one bucket."""
+    kinds = pa.schema({"key": pa.int64(), "c": pa.int64(), "side": pa.int32(), "sketch": pa.binary(), "hashes": pa.binary()})
+    held = kinds.empty_table()
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
-        key, group = rows["key"].to_numpy(), rows["c"].to_numpy()
+        key, group, side = (rows[c].to_numpy() for c in ("key", "c", "side"))
         sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(key), ROWS * BANDS)
         ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) + 1 if len(key) else np.zeros(0, np.int64)
         links = []
         for s, e in zip([0, *ends[:-1].tolist()], ends.tolist()):
             sets = [np.frombuffer(x, np.uint64) for x in rows["hashes"].slice(s, e - s).to_pylist()]
-            links += bucket_links(group[s:e], sketch[s:e], sets)
+            links += bucket_links(group[s:e], sketch[s:e], sets, side[s:e])
         a, b = zip(*links) if links else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["ca", "cb"])
 
     for batch in batches:
-        held = pa.concat_tables([held, pa.Table.from_batches([batch]).select(list(kinds))])
+        held = pa.concat_tables([held, pa.Table.from_batches([batch]).select(kinds.names).cast(kinds)])
         key = held["key"].to_numpy()
         done = int(np.flatnonzero(key == key[-1])[0]) if len(key) else 0  # the last bucket may go on
         if done:
@@ -153,6 +157,23 @@ def _link_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield settle(held)
 
 
+def in_block_pairs(rows: DataFrame, bucket: int) -> DataFrame:
+    """``key, sid, c, side``: members of buckets (``key, sid, c, size``) in each pair of their bucket's blocks.
+
+    A block holds at most half of ``bucket`` texts and half of ``BULK`` shingles, and one text more. The new key
+    names the pair. Of two blocks, the larger sizes come first, a pair whose sizes are too far apart is left out.
+    """
+    part = F.greatest(F.lit(2.0 / bucket), F.col("size") * (2.0 / BULK))
+    run = running_sums(rows, [F.desc("size"), F.col("sid")], ["key"], {"upto": part})
+    placed = cut(run.select("key", "sid", "c", "size", F.ceil("upto").cast("int").alias("block")))
+    blocks = placed.groupBy("key", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    larger = blocks.select("key", F.col("block").alias("i"), F.col("least").alias("from"))
+    pairs = larger.join(blocks.select("key", F.col("block").alias("j"), "most"), "key").filter("i <= j").filter(F.col("most") >= LEAST * F.col("from"))
+    ends = F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("i").alias("block"), F.lit(1).alias("side")), F.struct(F.col("j").alias("block"), F.lit(2).alias("side"))))
+    dealt = pairs.select("key", F.xxhash64("key", "i", "j").alias("pair"), F.inline(ends))
+    return placed.join(dealt, ["key", "block"]).select(F.col("pair").alias("key"), "sid", "c", "side")
+
+
 def linked_groups(texts: DataFrame, groups: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """``(c, group)``: names of ``groups`` that links of similar texts join, and the name they share.
 
@@ -162,7 +183,7 @@ def linked_groups(texts: DataFrame, groups: DataFrame, bucket: int = BUCKET) ->
     keys = texts.select("sid", keys_column(F.col("text")).alias("k")).groupBy("sid").agg(F.any_value("k").alias("k"))
     rows = cut(keys).select("sid", F.explode("k.keys").alias("key"), F.col("k.size").alias("size"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bulk")).filter("n > 1")
-    rows = cut(rows.drop("size").join(shared, "key"))
+    rows = cut(rows.join(shared, "key"))
     rows = cut(rows.join(rows.groupBy("sid").agg(F.sum("n").alias("weight")), "sid").join(groups, "sid"))
     edges = None
 
@@ -202,14 +223,8 @@ def linked_groups(texts: DataFrame, groups: DataFrame, bucket: int = BUCKET) ->
 
     rows = current(rows.filter(F.col("n") > SMALL))
     fits = (F.col("n") <= bucket) & (F.col("bulk") <= BULK)
-    medium = rows.filter(fits).select("key", "sid", "c")
-    known = texts_of(medium.select("sid").distinct()).select("sid", sketch_column(F.col("text")).alias("s")).select("sid", "s.*")
-    dealt = medium.join(known, "sid").drop("sid").repartition("key").sortWithinPartitions("key")
+    members = cut(rows.filter(fits).select("key", "sid", "c", F.lit(0).alias("side")).unionByName(in_block_pairs(rows.filter(~fits), bucket)))
+    known = texts_of(members.select("sid").distinct()).select("sid", sketch_column(F.col("text")).alias("s")).select("sid", "s.*")
+    dealt = members.join(known, "sid").drop("sid").repartition("key").sortWithinPartitions("key")
     add(cut(dealt.mapInArrow(_link_buckets, "ca long, cb long").distinct()))
-
-    rows = current(rows.filter(~fits))
-    while rows.limit(1).count():
-        ranked = cut(rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= SMALL))
-        add(confirmed(with_pivots(rows, ranked)))
-        rows = current(rows.join(ranked.select("key", "sid"), ["key", "sid"], "left_anti"))
     return connected_components(edges, "ca", "cb").select(F.col("node").alias("c"), F.col("component").alias("group"))

@@ -30,7 +30,9 @@ CRLF = "\r\n"
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_REVISIT, date: str | Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """``headers (page_id, header, http, payload_digest)`` and ``payloads (payload_digest, payload)``.
+    """``headers (page_id, header, http, payload_digest, refers_to)`` and ``payloads (payload_digest, payload)``.
+
+    Page ids may be of any orderable type, which both columns have; in a header they stand URL-encoded.
 
     ``date`` is the capture time, a timestamp column or a text as WARC-Date has it; the present if not given.
     """
@@ -58,7 +60,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))).otherwise(F.lit(""))
     # header values are single lines: line ends in a URL are percent-encoded
     url = F.regexp_replace(F.regexp_replace(F.col("url"), "\r", "%0D"), "\n", "%0A")
-    urn = lambda page, row: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), row.cast("string"), F.lit(">"))
+    urn = lambda page, row: F.concat(F.lit("<urn:page:"), F.coalesce(F.url_encode(page.cast("string")), F.lit("")), F.lit(":"), row.cast("string"), F.lit(">"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(2 * CRLF))
     header = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
@@ -73,7 +75,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
         line("Content-Length", (F.length(http) + F.when(revisit, 0).otherwise(F.col("n"))).cast("string")),
         F.lit(CRLF),
     )
-    return slim.select("page_id", F.encode(header, "UTF-8").alias("header"), F.encode(http, "UTF-8").alias("http"), "payload_digest"), payloads
+    refers_to = F.when(revisit, F.col("first")).alias("refers_to")
+    return slim.select("page_id", F.encode(header, "UTF-8").alias("header"), F.encode(http, "UTF-8").alias("http"), "payload_digest", refers_to), payloads
 
 
 def write_archive(pages: DataFrame, folder: str, **columns) -> str:
@@ -103,19 +106,18 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     rows = headers.join(stored.select("payload_digest", sound.alias("payload")), "payload_digest", "left")
     text = F.decode("header", "UTF-8")
     payload = F.coalesce("payload", F.raise_error(F.concat(F.lit("payload is missing: "), "payload_digest")).cast("binary"))
-    rows = rows.select(text.alias("t"), "header", "http", payload.alias("payload"))
+    rows = rows.select("page_id", "refers_to", text.alias("t"), "header", "http", payload.alias("payload"))
     kind = field(F.col("t"), "WARC-Type")
-    page = lambda name: F.regexp_extract(F.coalesce(field(F.col("t"), name), F.lit("")), "^<urn:page:(-?[0-9]+):[0-9]+>$", 1).try_cast("long")
     block = F.when(kind == "revisit", F.col("http")).otherwise(F.concat("http", "payload"))
     return rows.select(
-        page("WARC-Record-ID").alias("page_id"),
+        "page_id",
         "header",
         "payload",
         F.concat("header", block, F.lit(2 * CRLF).cast("binary")).alias("record"),
         kind.alias("record_type"),
         field(F.col("t"), "WARC-Target-URI").alias("url"),
         F.regexp_extract(F.coalesce(field(F.col("t"), "WARC-Payload-Digest"), F.lit("")), "^sha256:(.*)$", 1).alias("payload_digest"),
-        page("WARC-Refers-To").alias("refers_to"),
+        "refers_to",
         field(F.col("t"), "Content-Length").cast("long").alias("content_length"),
     )
 

@@ -82,6 +82,58 @@ def test_large_buckets_take_another_way_to_the_same_groups(spark, monkeypatch):
     assert name[17] == name[4096] and len(name[17]) > 100
 
 
+def templates(n, own):
+    """Pages of one template of 280 words with ``own`` words each: alike in most words, but no two of them are 0.8 alike."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("aeiounrstlm") for _ in range(7))
+    base = " ".join(word() for _ in range(280))
+    return [base + " " + " ".join(word() for _ in range(own)) for _ in range(n)]
+
+
+def test_template_pages_in_one_bucket_take_one_pass(spark, monkeypatch):
+    """Every pair of blocks is compared, links across blocks are found, and components are joined as often for any size."""
+    rounds = []
+    own = G.connected_components
+    monkeypatch.setattr(G, "connected_components", lambda *a: rounds.append(1) or own(*a))
+    name = {}
+    for n in (60, 300):
+        texts = templates(n, 60)
+        texts += [texts[3].rsplit(" ", 2)[0], texts[n // 2].rsplit(" ", 3)[0], texts[n - 1] + " tail"]
+        df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").withColumn("sid", G.text_key(F.col("text")))
+        rounds.clear()
+        rows = G.linked_groups(df.select("sid", "text"), df.select("sid", F.col("i").alias("c")), 16).collect()
+        groups = {r.c: r.group for r in rows}
+        assert groups == {3: 3, n: 3, n // 2: n // 2, n + 1: n // 2, n - 1: n - 1, n + 2: n - 1}
+        name[n] = len(rounds)
+    assert name[60] == name[300] <= 4
+
+
+def test_block_pairs_hold_every_pair_once_within_their_bounds(spark):
+    rng = random.Random(2)
+    rows = [(k, f"s{i:03d}".encode(), i, rng.choice([10, 11, 50, 1000])) for k in (1, 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "key long, sid binary, c long, size int")
+    out = G.in_block_pairs(df, 10).collect()
+    parts = {}
+    for r in out:
+        parts.setdefault(r.key, []).append((r.sid, r.side))
+    met = {}
+    for own in parts.values():
+        assert len(own) <= 10 and {s for _, s in own} in ({0}, {1, 2})
+        for i, (a, x) in enumerate(own):
+            for b, y in own[:i]:
+                if x == 0 or x != y:
+                    key = tuple(sorted((a, b)))
+                    met[key] = met.get(key, 0) + 1
+    size = {r[1]: [q[3] for q in rows if q[1] == r[1]] for r in rows}
+    for k in (0, 1):
+        for i in range(40):
+            for j in range(i):
+                a, b = size[rows[i][1]][k], size[rows[j][1]][k]
+                if min(a, b) >= 0.8 * max(a, b):
+                    assert met[rows[j][1], rows[i][1]] >= 1
+    assert max(met.values()) <= 2  # once in each of the two buckets
+
+
 def test_kernel_links_groups_of_each_bucket_across_batches():
     rng = np.random.default_rng(3)
     rows, want = [], {}
@@ -96,7 +148,8 @@ def test_kernel_links_groups_of_each_bucket_across_batches():
                 if common >= 0.8 * (len(own[i]) + len(own[j]) - common):
                     want.setdefault(group[i], set()).add(group[j])
     names = ["key", "c", "sketch", "hashes"]
-    cut = lambda a, b: pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in rows[a:b]], pa.int64() if k < 2 else pa.binary()) for k, n in enumerate(names)})
+    whole = lambda a, b: {n: pa.array([r[k] for r in rows[a:b]], pa.int64() if k < 2 else pa.binary()) for k, n in enumerate(names)}
+    cut = lambda a, b: pa.RecordBatch.from_pydict(whole(a, b) | {"side": pa.array([0] * len(rows[a:b]), pa.int32())})
 
     def joined(pairs):
         label = {r[1]: r[1] for r in rows}

@@ -69,3 +69,17 @@ def test_shared_payloads_in_every_number(spark):
     for i, _, h in rows:
         first.setdefault(h, i)
     assert all(bytes(got[i].payload).decode() == h and got[i].refers_to == (None if first[h] == i else first[h]) for i, _, h in rows)
+
+
+def test_ids_of_any_type_come_back(spark):
+    shared = "x" * 200
+    for kind, ids in (("string", ["b", "a>b\r\nX: y", "é ü", None]), ("decimal(20,2)", [2, 1, 3, None]), ("binary", [b"b", b"a", b"c", None])):
+        rows = [(i, "u", shared) for i in ids] + [(ids[0], "u", "short")]
+        df = spark.createDataFrame([(r[0] if not isinstance(r[0], int) else __import__("decimal").Decimal(r[0]), *r[1:]) for r in rows], f"page_id {kind}, url string, html string")
+        got = W.archive_and_read(df)
+        assert got.schema["page_id"].dataType == df.schema["page_id"].dataType == got.schema["refers_to"].dataType
+        first = df.filter("page_id IS NOT NULL").agg({"page_id": "min"}).first()[0]
+        facts = {(str(r.page_id), r.record_type, str(r.refers_to)) for r in got.filter("length(payload) = 200").collect()}
+        assert facts == {(str(i), "response" if i == first else "revisit", "None" if i == first else str(first)) for i in [r.page_id for r in df.filter("length(html) = 200").collect()]}
+        # a header is lines of name and value, whatever the id holds
+        assert all(": " in line for r in got.collect() for line in bytes(r.header).decode().strip().split("\r\n")[1:])
