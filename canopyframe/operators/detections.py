@@ -37,7 +37,7 @@ def overlapping_pairs(d: DataFrame, cell: float, group: str, key: str = "id", le
     return a.join(b, [group, "cx", "cy"]).filter((F.col(f"p.{key}") < F.col(f"q.{key}")) & home & (iou("p", "q") > least)).select(F.col(f"p.{key}").alias("a"), F.col(f"q.{key}").alias("b"))
 
 
-def non_maximum_suppression(d: DataFrame, cell: float, group: str, least: float = 0.4, rounds: int = 100) -> DataFrame:
+def non_maximum_suppression(d: DataFrame, cell: float, group: str, least: float = 0.4) -> DataFrame:
     """Boxes left by greedy suppression: highest confidence first, smallest id at ties.
 
     The greedy result is the only set in which a box stays exactly if no better box that stays overlaps
@@ -53,16 +53,12 @@ def non_maximum_suppression(d: DataFrame, cell: float, group: str, least: float
     first = (F.col("ca") > F.col("cb")) | ((F.col("ca") == F.col("cb")) & (F.col("a") < F.col("b")))
     left = cut(named.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse")))
     gone = None
-    for _ in range(rounds):
-        if not left.limit(1).count():
-            break
+    while left.limit(1).count():
         tops = left.select(F.col("better").alias("id")).distinct().join(left.select(F.col("worse").alias("id")).distinct(), "id", "left_anti")
         lost = cut(left.join(tops.withColumnRenamed("id", "better"), "better", "left_semi").select(F.col("worse").alias("id")).distinct())
         gone = lost if gone is None else gone.union(lost)
         out = left.join(lost.withColumnRenamed("id", "better"), "better", "left_anti")
         left = cut(out.join(lost.withColumnRenamed("id", "worse"), "worse", "left_anti"))
-    else:
-        raise RuntimeError("suppression did not end; raise rounds")
     return d if gone is None else d.join(gone, "id", "left_anti")
 
 

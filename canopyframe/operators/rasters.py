@@ -287,18 +287,44 @@ def seed_and_grow(maps: DataFrame) -> DataFrame:
     return df.select(*PIXEL, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.greatest("prob", F.col("grown") * support))), 6).alias("prob"))
 
 
-def mask_components(pixels: DataFrame, mask: Column, side: int = 8, connectivity: int = 8) -> DataFrame:
-    """Connected regions of a mask: area, bounding box, mean value; one row per region.
+def mask_components(pixels: DataFrame, mask: Column, connectivity: int = 8) -> DataFrame:
+    """Connected regions of a mask: first pixel, area, bounding box, axes, mean value; one row per region.
 
-    Neighbours meet by an equi-join on exploded offsets; regions are connected components.
+    Neighbours meet by an equi-join on exploded offsets; regions are connected components of (tile, row, col). The
+    axes are those of the rectangle with the region's second moments, so a slanting log keeps its length and
+    width: a row of n pixels has a long axis of n and a short one of 1.
     """
     from canopyframe.operators.graph import connected_components
 
-    on = pixels.filter(mask).withColumn("node", (F.col("tile_id") * side + F.col("row")) * side + F.col("col"))
+    on = pixels.filter(mask).withColumn("node", F.struct("tile_id", "row", "col"))
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
     shift = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in steps]))
     near = on.select("tile_id", F.col("node").alias("a"), "row", "col", shift.alias("s")).select("tile_id", "a", (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"))
     edges = near.join(on.select("tile_id", "row", "col", F.col("node").alias("b")), ["tile_id", "row", "col"]).select("a", "b")
     labelled = on.join(connected_components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    g = labelled.groupBy("tile_id", "component").agg(F.count("*").alias("area"), (F.max("row") - F.min("row") + 1).alias("h"), (F.max("col") - F.min("col") + 1).alias("w"), F.round(F.avg("value"), 6).alias("mean_value"))
-    return g.select("tile_id", "component", "area", F.greatest("h", "w").alias("length"), F.least("h", "w").alias("width"), "mean_value")
+    moments = [F.var_pop("row").alias("vr"), F.var_pop("col").alias("vc"), F.covar_pop("row", "col").alias("cv")]
+    g = labelled.groupBy("tile_id", "component").agg(F.count("*").alias("area"), (F.max("row") - F.min("row") + 1).alias("h"), (F.max("col") - F.min("col") + 1).alias("w"), F.round(F.avg("value"), 6).alias("mean_value"), *moments)
+    mean, half = (F.col("vr") + F.col("vc")) / 2, (F.col("vr") - F.col("vc")) / 2
+    reach = F.sqrt(half * half + F.col("cv") * F.col("cv"))
+    axis = lambda v, name: F.sqrt(12 * F.greatest(v, F.lit(0.0)) + 1).alias(name)
+    first = [F.col("component")[c].alias(f"first_{c}") for c in ("row", "col")]
+    return g.select("tile_id", *first, "area", F.greatest("h", "w").alias("length"), F.least("h", "w").alias("width"), axis(mean + reach, "long_axis"), axis(mean - reach, "short_axis"), "mean_value")
+
+
+def line_regions(regions: DataFrame, *, length: tuple[float, float] = (20, 200), width: tuple[float, float] = (1, 6), occluded: float = 8, confident: float = 0.5) -> DataFrame:
+    """Regions of ``mask_components`` with ``width_px`` and a ``rule``: main, occluded, fallback or none.
+
+    Main regions have the long axis and width of a log; the width blends area over length with the short
+    axis (0.6 and 0.4), which holds for bent regions too. Occluded ones are as wide, shorter, at least ``occluded``
+    long, and of a mean value of at least ``confident``. In a tile where neither rule takes a region, all of
+    its regions stay, as fallback; else the others have none.
+    """
+    wide = 0.6 * F.col("area") / F.greatest("long_axis", F.lit(1.0)) + 0.4 * F.col("short_axis")
+    rows = regions.withColumn("width_px", wide)
+    slim = F.col("width_px").between(*width)
+    main = slim & F.col("long_axis").between(*length)
+    short = slim & (F.col("long_axis") >= occluded) & (F.col("long_axis") < length[0]) & (F.col("mean_value") >= confident)
+    rows = rows.withColumn("rule", F.when(main, "main").when(short, "occluded"))
+    taken = rows.groupBy("tile_id").agg(F.count("rule").alias("__taken"))
+    left = F.when(F.col("__taken") == 0, "fallback").otherwise("none")
+    return rows.join(taken, "tile_id").withColumn("rule", F.coalesce("rule", left)).drop("__taken")

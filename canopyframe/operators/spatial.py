@@ -58,6 +58,32 @@ def overlapping_rectangles(a: DataFrame, b: DataFrame, group: list[str], size: f
     return placed(a, "a").join(placed(b, "b"), [*group, "cx", "cy"]).filter(home & area).select(*group, "a", "b")
 
 
+def visible_boxes(tiles: DataFrame, instances: DataFrame, group: list[str], size: float, tile: str = "tile") -> DataFrame:
+    """``tile, id``, the box clipped to the tile, and its ``visible`` area and ``share``: what no union of higher boxes covers.
+
+    Of two boxes the one with the greater ``z`` lies above, at ties the one with the greater id. Boxes of which
+    nothing is visible in a tile are left out. The union is summed over strips between successive x of the
+    covering boxes: a strip's covered height is the length of the union of their y ranges, by a running
+    maximum. Work grows with the square of the boxes that cover one, which strips and tiles keep apart.
+    """
+    met = overlapping_rectangles(tiles, instances, group, size)
+    low, high = (lambda c: F.greatest(f"a.{c}", f"b.{c}").alias(c)), (lambda c: F.least(f"a.{c}", f"b.{c}").alias(c))
+    inner = [low("minx"), high("maxx"), low("miny"), high("maxy")]
+    clipped = met.select(F.col(f"a.{tile}").alias(tile), F.col("b.id").alias("id"), F.col("b.z").alias("z"), *inner)
+    above = F.struct("b.z", "b.id") > F.struct("a.z", "a.id")
+    cover = overlapping_rectangles(clipped, clipped, [tile], size / 4).filter(above).select(tile, F.col("a.id").alias("id"), *inner)
+    key = [tile, "id"]
+    cuts = cover.select(*key, F.explode(F.array("minx", "maxx")).alias("x")).distinct()
+    strips = cuts.withColumn("x2", F.lead("x").over(Window.partitionBy(*key).orderBy("x"))).filter("x2 IS NOT NULL")
+    spanned = cover.join(strips, key).filter("minx <= x AND maxx >= x2")
+    before = F.max("maxy").over(Window.partitionBy(*key, "x").orderBy("miny", "maxy").rowsBetween(Window.unboundedPreceding, -1))
+    more = F.greatest(F.col("maxy") - F.greatest("miny", F.coalesce("before", "miny")), F.lit(0))
+    hidden = spanned.withColumn("before", before).groupBy(*key).agg(F.sum(more * (F.col("x2") - F.col("x"))).alias("hidden"))
+    area = (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))
+    rows = clipped.join(hidden, key, "left").withColumn("visible", area - F.coalesce("hidden", F.lit(0)))
+    return rows.filter("visible > 0").select(*key, "minx", "maxx", "miny", "maxy", "visible", (F.col("visible") / area).alias("share"))
+
+
 def within_grid(df: DataFrame, anchors: DataFrame, group: list[str], x: str, y: str, radius: int) -> DataFrame:
     """Rows of ``df`` within Chebyshev ``radius`` of an anchor on an integer grid: a semi-join on exploded cells."""
     cells = anchors.select(*group, F.col(x).alias("ax"), F.col(y).alias("ay")).distinct()

@@ -197,17 +197,34 @@ def _(t):
     return R.cap_positive(t.pixels(), F.coalesce(F.col("value") > 0.9, F.lit(False)), 0.2)
 
 
-@query(
-    "ras16_mask_components",
-    """WITH RECURSIVE on_ AS (SELECT tile_id, row, col, value, (tile_id * 8 + row) * 8 + col AS node FROM pixels WHERE value > 1.0),
+REGIONS = """on_ AS (SELECT tile_id, row, col, value, (tile_id * 8 + row) * 8 + col AS node FROM pixels WHERE value > 1.0),
     e AS (SELECT a.node AS a, b.node AS b FROM on_ a JOIN on_ b ON a.tile_id = b.tile_id AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.node <> b.node),
     r(a, b) AS (SELECT node, node FROM on_ UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
-    c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a)
+    c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a)"""
+
+
+@query(
+    "ras16_mask_components",
+    f"""WITH RECURSIVE {REGIONS}
     SELECT tile_id, component, count(*) AS area, greatest(max(row) - min(row) + 1, max(col) - min(col) + 1) AS length, least(max(row) - min(row) + 1, max(col) - min(col) + 1) AS width, round(avg(value), 6) AS mean_value
     FROM on_ JOIN c USING (node) GROUP BY tile_id, component HAVING count(*) >= 3""",
 )
 def _(t):
-    return R.mask_components(t.pixels(), F.col("value") > 1.0).filter("area >= 3")
+    first = (F.col("tile_id") * 8 + F.col("first_row")) * 8 + F.col("first_col")
+    return R.mask_components(t.pixels(), F.col("value") > 1.0).filter("area >= 3").select("tile_id", first.alias("component"), "area", "length", "width", "mean_value")
+
+
+@query(
+    "ras16_line_regions",
+    f"""WITH RECURSIVE {REGIONS}, m AS (SELECT tile_id, component, count(*) AS area, avg(value) AS v, (var_pop(row) + var_pop(col)) / 2 AS mean, sqrt(power((var_pop(row) - var_pop(col)) / 2, 2) + power(covar_pop(row, col), 2)) AS reach FROM on_ JOIN c USING (node) GROUP BY tile_id, component),
+    x AS (SELECT *, sqrt(12 * greatest(mean + reach, 0) + 1) AS la, sqrt(12 * greatest(mean - reach, 0) + 1) AS sa FROM m), w AS (SELECT *, 0.6::DOUBLE * area / greatest(la, 1) + 0.4::DOUBLE * sa AS wd FROM x),
+    g AS (SELECT *, CASE WHEN wd BETWEEN 0.9 AND 2.5 AND la BETWEEN 3.5 AND 8 THEN 'main' WHEN wd BETWEEN 0.9 AND 2.5 AND la >= 1.9 AND la < 3.5 AND round(v, 6) >= 1.1 THEN 'occluded' END AS rule FROM w)
+    SELECT tile_id, component, area, round(la, 6) AS long_axis, round(wd, 6) AS width_px, coalesce(rule, CASE WHEN count(rule) OVER (PARTITION BY tile_id) = 0 THEN 'fallback' ELSE 'none' END) AS rule FROM g""",
+)
+def _(t):
+    first = (F.col("tile_id") * 8 + F.col("first_row")) * 8 + F.col("first_col")
+    rows = R.line_regions(R.mask_components(t.pixels(), F.col("value") > 1.0), length=(3.5, 8), width=(0.9, 2.5), occluded=1.9, confident=1.1)
+    return rows.select("tile_id", first.alias("component"), "area", F.round("long_axis", 6).alias("long_axis"), F.round("width_px", 6).alias("width_px"), "rule")
 
 
 @query(

@@ -178,14 +178,16 @@ def instances(t):
 
 @query(
     "join16_visible_instances",
-    f"WITH {INST} SELECT l.arrival AS tile, i.id FROM latest l JOIN inst i ON l.raster = i.raster AND i.minx < l.col_off + 128 AND i.maxx > l.col_off AND i.miny < l.row_off + 128 AND i.maxy > l.row_off WHERE NOT EXISTS (SELECT 1 FROM inst j WHERE j.raster = i.raster AND j.z > i.z AND j.minx <= i.minx AND j.miny <= i.miny AND j.maxx >= i.maxx AND j.maxy >= i.maxy)",
+    f"""WITH {INST}, cl AS (SELECT l.arrival AS tile, i.id, z, greatest(i.minx, l.col_off) AS minx, least(i.maxx, l.col_off + 128) AS maxx, greatest(i.miny, l.row_off) AS miny, least(i.maxy, l.row_off + 128) AS maxy
+      FROM latest l JOIN inst i ON l.raster = i.raster AND i.minx < l.col_off + 128 AND i.maxx > l.col_off AND i.miny < l.row_off + 128 AND i.maxy > l.row_off),
+    co AS (SELECT a.tile, a.id, greatest(a.minx, b.minx) AS x0, least(a.maxx, b.maxx) AS x1, greatest(a.miny, b.miny) AS y0, least(a.maxy, b.maxy) AS y1 FROM cl a JOIN cl b ON a.tile = b.tile AND (b.z > a.z OR (b.z = a.z AND b.id > a.id)) AND a.minx < b.maxx AND b.minx < a.maxx AND a.miny < b.maxy AND b.miny < a.maxy),
+    px AS (SELECT *, max(y1) OVER (PARTITION BY tile, id, x ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT tile, id, y0, y1, unnest(range(x0, x1)) AS x FROM co)),
+    hi AS (SELECT tile, id, sum(greatest(0, y1 - greatest(y0, coalesce(before, y0)))) AS hidden FROM px GROUP BY ALL)
+    SELECT tile, id, minx, maxx, miny, maxy, CAST(a - coalesce(hidden, 0) AS BIGINT) AS visible, round((a - coalesce(hidden, 0)) / a, 6) AS share FROM (SELECT *, (maxx - minx) * (maxy - miny) AS a FROM cl) LEFT JOIN hi USING (tile, id) WHERE a > coalesce(hidden, 0)""",
 )
 def _(t):
-    i = instances(t)
-    cover = spatial.overlapping_rectangles(i, i, ["raster"], 128)
-    hidden = cover.filter("b.z > a.z AND b.minx <= a.minx AND b.miny <= a.miny AND b.maxx >= a.maxx AND b.maxy >= a.maxy").select(F.col("a.id").alias("id")).distinct()
-    tiles = rect(chips(t)).select("raster", "arrival", "minx", "maxx", "miny", "maxy")
-    return spatial.overlapping_rectangles(tiles, i.join(hidden, "id", "left_anti"), ["raster"], 128).select(F.col("a.arrival").alias("tile"), F.col("b.id").alias("id"))
+    tiles = rect(chips(t)).select("raster", F.col("arrival").alias("tile"), "minx", "maxx", "miny", "maxy")
+    return spatial.visible_boxes(tiles, instances(t), ["raster"], 128).withColumn("visible", F.col("visible").cast("long")).withColumn("share", F.round("share", 6))
 
 
 @query("join17_buffered_lines", f"WITH {INST} SELECT tile, id, px FROM (SELECT l.arrival AS tile, i.id, (least(l.col_off + 128, i.maxx + 5) - greatest(l.col_off, i.minx - 5)) * (least(l.row_off + 128, i.maxy + 5) - greatest(l.row_off, i.miny - 5)) AS px FROM latest l JOIN inst i ON l.raster = i.raster AND i.minx - 5 < l.col_off + 128 AND i.maxx + 5 > l.col_off AND i.miny - 5 < l.row_off + 128 AND i.maxy + 5 > l.row_off) WHERE px >= 200")

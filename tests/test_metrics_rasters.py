@@ -98,6 +98,32 @@ def test_mask_components_and_cap(spark):
     assert sorted(r.area for r in four) == [1, 1, 3]
 
 
+def test_regions_of_slanting_logs_keep_their_axes_and_tiles_of_any_size(spark):
+    a = np.zeros((60, 60))
+    a[5, 5:35] = 1.0  # a row of thirty pixels
+    for i in range(25):
+        a[30 + i, 10 + i : 12 + i] = 1.0  # a slanting log, two pixels wide
+    a[50:59, 45:54] = 1.0  # a square
+    b = np.zeros((60, 60))
+    b[1, 0] = b[58, 59] = 1.0
+    got = {(r.tile_id, r.first_row, r.first_col): r for r in R.mask_components(pixels(spark, {0: a, 1: b}), F.col("value") > 0.5).collect()}
+    assert len(got) == 5 and {k[0] for k in got} == {0, 1}
+    row, log, square = got[0, 5, 5], got[0, 30, 10], got[0, 50, 45]
+    assert (row.long_axis, row.short_axis) == (pytest.approx(30), pytest.approx(1))
+    assert log.length == 26 and log.width == 25  # the bounding box calls it a square
+    assert log.long_axis == pytest.approx(25 * 2**0.5, rel=0.03) and log.short_axis < 2
+    assert square.long_axis == pytest.approx(9) and square.short_axis == pytest.approx(9)
+
+    def rules(**more):
+        return {(r.tile_id, r.first_row): r.rule for r in R.line_regions(R.mask_components(pixels(spark, {0: a, 1: b}), F.col("value") > 0.5), **more).collect()}
+
+    assert rules() == {(0, 5): "main", (0, 30): "main", (0, 50): "none", (1, 1): "fallback", (1, 58): "fallback"}
+    assert rules(length=(32, 90)) == {(0, 5): "occluded", (0, 30): "main", (0, 50): "none", (1, 1): "fallback", (1, 58): "fallback"}
+    assert rules(length=(32, 90), confident=1.5)[0, 5] == "none"
+    assert set(rules(width=(20, 30)).values()) == {"fallback"}
+    assert R.line_regions(R.mask_components(pixels(spark, {0: a}), F.col("value") > 5)).count() == 0
+
+
 def test_surfaces_fall_back_and_features(spark):
     rows = [(1, "t", 2000, 0.1, 12.9, 5.0, 1.0, 1, 1, 1), (2, "t", 2000, 0.2, 12.8, 7.0, 2.0, 1, 1, 1), (3, "u", 2000, 0.1, 12.9, 1.0, 3.0, 1, 2, 2), (4, "u", 2000, 0.1, 12.9, 1.5, 3.0, 2, 2, 6)]
     df = spark.createDataFrame(rows, "point_id long, tile_id string, year int, x double, y double, z double, intensity double, return_number int, number_of_returns int, classification int")

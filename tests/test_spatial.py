@@ -220,3 +220,37 @@ def test_nearest_with_crowds_ties_nulls_and_own_keys(spark):
                 assert [t for _, t in sorted(got.get(p[0], []))] == [t for _, t in want], (p, dims, own)
             assert 900 not in got
     assert SP.nearest(df.limit(0), df, ["g"], ["x", "y"], "id", "id", 2).count() == 0
+
+
+def test_visible_area_equals_counting_unit_squares(spark):
+    rng = random.Random(8)
+    boxes = []
+    for i in range(90):
+        x, y = rng.randint(-20, 90), rng.randint(-20, 90)
+        boxes.append((i, "g" if i % 4 else "h", rng.randint(0, 3), x, x + rng.randint(1, 40), y, y + rng.randint(1, 40)))
+    boxes.append((200, "g", 9, 40, 80, 0, 40))  # covers a whole tile
+    tiles = [(f"{g}{x}{y}", g, 40 * x, 40 * x + 40, 40 * y, 40 * y + 40) for g in "gh" for x in range(3) for y in range(3)]
+    b = spark.createDataFrame(boxes, "id long, g string, z int, minx int, maxx int, miny int, maxy int")
+    t = spark.createDataFrame(tiles, "tile string, g string, minx int, maxx int, miny int, maxy int")
+    got = {(r.tile, r.id): (r.minx, r.maxx, r.miny, r.maxy, r.visible, round(r.share, 9)) for r in SP.visible_boxes(t, b, ["g"], 40).collect()}
+    want = {}
+    for tile, g, x0, x1, y0, y1 in tiles:
+        top = {}
+        own = sorted((q for q in boxes if q[1] == g), key=lambda q: (q[2], q[0]))
+        for i, _, _, a, c, d, e in own:
+            top |= {(x, y): i for x in range(max(a, x0), min(c, x1)) for y in range(max(d, y0), min(e, y1))}
+        for i, _, _, a, c, d, e in own:
+            seen = sum(v == i for v in top.values())
+            if seen:
+                box = max(a, x0), min(c, x1), max(d, y0), min(e, y1)
+                want[tile, i] = (*box, seen, round(seen / ((box[1] - box[0]) * (box[3] - box[2])), 9))
+    assert got == want and len(want) > 60 and [k for k in got if k[0] == "g10"] == [("g10", 200)]
+    assert SP.visible_boxes(t, b.limit(0), ["g"], 40).count() == 0
+
+
+def test_suppression_follows_chains_of_any_length(spark):
+    """Each box overlaps the next and is better than it: every other one stays."""
+    chain = [(i, "g", 1.0 - i / 100, 10.0 * i, 0.0, 10.0 * i + 15, 10.0) for i in range(30)]
+    df = spark.createDataFrame(chain, "id long, g string, confidence double, minx double, miny double, maxx double, maxy double")
+    kept = {r.id for r in D.non_maximum_suppression(df, 50, "g", least=0.1).collect()}
+    assert kept == set(range(0, 30, 2))
