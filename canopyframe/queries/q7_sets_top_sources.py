@@ -333,6 +333,12 @@ def _(t):
     return ST.drain(ST.latest_state(s), folder, "update", L.KEY)
 
 
+@query("str02_keyed_state", f"SELECT {KEYS}, arrival, label, source FROM latest")
+def _(t):
+    s, folder = stream(t)
+    return ST.drain(ST.keyed_latest_state(s), folder, "update", L.KEY, "arrival")
+
+
 TPUT = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", source, count(*) AS n FROM label_events JOIN events ON arrival = event_id GROUP BY ALL"
 
 

@@ -7,10 +7,14 @@ location must be a shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 EVENT_SCHEMA = "arrival bigint, ts timestamp, raster string, row_off int, col_off int, label string, source string, annotator string, model_prob double"
 KEY = ["raster", "row_off", "col_off"]
@@ -29,6 +33,39 @@ def latest_state(events: DataFrame) -> DataFrame:
     return events.groupBy(*KEY).agg(F.max_by(F.struct("arrival", "label", "source"), "arrival").alias("v")).select(*KEY, "v.*")
 
 
+class LatestLabel(StatefulProcessor):
+    """Holds the newest event of a chip and passes it on when a batch brings a newer one."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "arrival bigint", self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        best = pd.concat([r.nlargest(1, "arrival") for r in rows]).nlargest(1, "arrival")
+        arrival = int(best["arrival"].iloc[0])
+        held = self.newest.get()
+        if held is None or held[0] < arrival:
+            self.newest.update((arrival,))
+            yield pd.DataFrame([[*key, arrival, best["label"].iloc[0], best["source"].iloc[0]]], columns=[*KEY, "arrival", "label", "source"])
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_latest_state(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """As ``latest_state``, by state of each chip that is left after ``ttl_ms`` without a newer event.
+
+    A chip whose state has gone starts anew, so a sink must keep what it holds of a chip against older events
+    (``bucket_sink`` with ``newest``). Run in update mode; state lies in RocksDB, whose provider is set here.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = "raster string, row_off int, col_off int, arrival bigint, label string, source string"
+    rows = events.filter(F.col("arrival").isNotNull()).select(*KEY, "arrival", "label", "source")
+    return rows.groupBy(*KEY).transformWithStateInPandas(LatestLabel(ttl_ms), out, "Update", "ProcessingTime" if ttl_ms else "None")
+
+
 def throughput(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
     """Events per window (tumbling, or sliding) and source."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
@@ -55,26 +92,76 @@ def review_sink(folder: str, low: float = 0.4, high: float = 0.6) -> Callable[[D
     return write
 
 
-def merge_sink(folder: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function for update mode: each batch's rows replace those of their keys.
+def _fs(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _versions(spark: SparkSession, folder: str, number: int) -> dict[int, int]:
+    """The batch that each bucket was last written by, as of batch ``number``; at most a row a bucket."""
+    if number < 0:
+        return {}
+    return {r["bucket"]: r["version"] for r in spark.read.schema("bucket int, version long").parquet(f"{folder}/manifest/{number}").collect()}
+
+
+def _paths(folder: str, versions: dict[int, int]) -> list[str]:
+    return [f"{folder}/data/version={v}/bucket={b}" for b, v in sorted(versions.items())]
 
-    Batch ``n`` reads the table of batch ``n - 1`` and writes its own, so a batch that is run again
-    replaces itself. The table is rewritten with each batch; keys may be null.
+
+def bucket_sink(folder: str, keys: list[str], buckets: int = 16, newest: str | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function for update mode: a batch's rows replace those of their keys, which may be null.
+
+    Rows lie in buckets by the hash of their keys, and a batch rewrites the buckets that it touches, under its own
+    number; a manifest of each batch says which batch wrote which bucket last. So a batch that is run again
+    replaces itself, and a reader sees whole batches. What neither this manifest nor the one before names is
+    deleted. With ``newest``, of a key's rows the one greatest in that column stays, whichever came first.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        merged = batch
-        if number:
-            before = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/version={number - 1}").alias("a")
-            changed = batch.select(*keys).distinct().alias("b")
-            same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-            merged = before.join(changed, same, "left_anti").unionByName(batch)
-        merged.write.mode("overwrite").parquet(f"{folder}/version={number}")
+        spark = batch.sparkSession
+        rows = batch.withColumn("bucket", F.pmod(F.hash(*keys), F.lit(buckets))).persist()
+        try:
+            touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
+            before = _versions(spark, folder, number - 1)
+            old = {b: before[b] for b in touched if b in before}
+            merged = rows
+            if old:
+                held = spark.read.schema(batch.schema).option("basePath", f"{folder}/data").parquet(*_paths(folder, old)).select(*batch.columns, F.col("bucket").cast("int").alias("bucket"))
+                if newest:
+                    merged = held.unionByName(rows)
+                else:
+                    changed = rows.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+                    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+                    merged = held.join(changed, same, "left_anti").unionByName(rows)
+            if newest:
+                first = Window.partitionBy("bucket", *keys).orderBy(F.desc(newest))
+                merged = merged.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+            if touched:
+                merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/data/version={number}")
+            now = before | dict.fromkeys(touched, number)
+            spark.createDataFrame(list(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/{number}")
+        finally:
+            rows.unpersist()
+        fs, path = _fs(spark, folder)
+        if number > 1 and fs.exists(path(f"{folder}/manifest/{number - 2}")):
+            stale = {b: v for b, v in _versions(spark, folder, number - 2).items() if before.get(b) != v}
+            for gone in [*_paths(folder, stale), f"{folder}/manifest/{number - 2}"]:
+                fs.delete(path(gone), True)
 
     return write
 
 
-def drain(stream: DataFrame, folder: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+def read_buckets(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The table that ``bucket_sink`` holds as of its last batch."""
+    fs, path = _fs(spark, folder)
+    made = [int(s.getPath().getName()) for s in fs.listStatus(path(f"{folder}/manifest"))] if fs.exists(path(f"{folder}/manifest")) else []
+    versions = _versions(spark, folder, max(made)) if made else {}
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{folder}/data").parquet(*_paths(folder, versions)).select(*schema.names)
+
+
+def drain(stream: DataFrame, folder: str, mode: str = "append", keys: list[str] | None = None, newest: str | None = None) -> DataFrame:
     """Runs a stream over what is there now and gives back the rows of its result so far.
 
     Append results are Parquet by the file sink; update and complete results go through foreachBatch:
@@ -88,7 +175,7 @@ def drain(stream: DataFrame, folder: str, mode: str = "append", keys: list[str]
     elif mode == "update":
         if not keys:
             raise ValueError("update mode needs the keys that rows are merged by")
-        q = writer.foreachBatch(merge_sink(out, keys)).start()
+        q = writer.foreachBatch(bucket_sink(out, keys, newest=newest)).start()
     else:
         q = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).start()
     q.awaitTermination()
@@ -96,6 +183,4 @@ def drain(stream: DataFrame, folder: str, mode: str = "append", keys: list[str]
         raise q.exception()
     if mode != "update":
         return spark.read.schema(stream.schema).parquet(out)
-    found = spark.read.schema(f"{stream.schema.toDDL()}, version int").parquet(out)
-    last = found.agg(F.max("version")).first()[0]
-    return found.filter(F.col("version") == (0 if last is None else last)).drop("version")
+    return read_buckets(spark, out, stream.schema)
