@@ -34,13 +34,17 @@ def latest_state(events: DataFrame) -> DataFrame:
 
 
 class LatestLabel(StatefulProcessor):
-    """Holds the newest event of a chip and passes it on when a batch brings a newer one."""
+    """Holds the newest event of a chip and passes it on when a batch brings a newer one.
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
+    With ``keep_ms`` the chip's state goes when the watermark is so far beyond its newest event's time.
+    """
+
+    def __init__(self, keep_ms: int | None = None):
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", "arrival bigint", self.ttl_ms)
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "arrival bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         best = pd.concat([r.nlargest(1, "arrival") for r in rows]).nlargest(1, "arrival")
@@ -48,22 +52,33 @@ class LatestLabel(StatefulProcessor):
         held = self.newest.get()
         if held is None or held[0] < arrival:
             self.newest.update((arrival,))
+            if self.keep_ms is not None:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(int(best["ms"].iloc[0]) + self.keep_ms)
             yield pd.DataFrame([[*key, arrival, best["label"].iloc[0], best["source"].iloc[0]]], columns=[*KEY, "arrival", "label", "source"])
 
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.newest.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def keyed_latest_state(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """As ``latest_state``, by state of each chip that is left after ``ttl_ms`` without a newer event.
+def keyed_latest_state(events: DataFrame, keep_ms: int | None = None, late: str = "2 hours") -> DataFrame:
+    """As ``latest_state``, by state of each chip, with ``keep_ms`` for so long as the watermark has not passed it.
 
     A chip whose state has gone starts anew, so a sink must keep what it holds of a chip against older events
     (``bucket_sink`` with ``newest``). Run in update mode; state lies in RocksDB, whose provider is set here.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out = "raster string, row_off int, col_off int, arrival bigint, label string, source string"
-    rows = events.filter(F.col("arrival").isNotNull()).select(*KEY, "arrival", "label", "source")
-    return rows.groupBy(*KEY).transformWithStateInPandas(LatestLabel(ttl_ms), out, "Update", "ProcessingTime" if ttl_ms else "None")
+    rows = events.filter(F.col("arrival").isNotNull())
+    if keep_ms is not None:
+        rows = rows.withWatermark("ts", late)
+    rows = rows.select(*KEY, "arrival", "label", "source", "ts", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy(*KEY).transformWithStateInPandas(LatestLabel(keep_ms), out, "Update", "None" if keep_ms is None else "EventTime")
 
 
 def throughput(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
