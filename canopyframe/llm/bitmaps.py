@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Bits of a filter for each digest in it, about, and the most bits of one (64 MB).
 SPARE = 16
 FILTER_BITS = 2**29
-ROW_BITS = 32_768  # of one row, as 512 longs
+ROW_BITS = 32_768  # of one row of bitmap_construct_agg, held as ints
 
 
 def _bit(digest: Column, rows: int) -> tuple[Column, Column]:
@@ -25,18 +25,18 @@ def digest_filter(digests: DataFrame, most: int = FILTER_BITS) -> tuple[DataFram
     """``(slot, bits)`` and the number of rows: a bitmap of the hashed ``digest`` column."""
     rows = max(1, min(most, digests.count() * SPARE) // ROW_BITS)
     slot, bit = _bit(F.col("digest"), rows)
-    words = digests.select(slot.alias("slot"), F.floor(bit / 64).cast("int").alias("word"), F.lit(1).cast("long").alias("one"), (bit % 64).alias("bit"))
-    words = words.select("slot", "word", F.expr("shiftleft(one, bit)").alias("m"))
-    every = words.select("slot").distinct().select("slot", F.explode(F.sequence(F.lit(0), F.lit(ROW_BITS // 64 - 1))).alias("word"), F.lit(0).cast("long").alias("m"))
-    full = words.union(every).groupBy("slot", "word").agg(F.bit_or("m").alias("m"))
-    ordered = F.array_sort(F.collect_list(F.struct("word", "m")))
-    return full.groupBy("slot").agg(F.transform(ordered, lambda x: x["m"]).alias("bits")), rows
+    made = digests.select(slot.alias("slot"), bit.cast("long").alias("bit")).groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    # four bytes as a number, the first the highest; numbers from 2^31 on stand for negative ints
+    number = lambda i: F.conv(F.hex(F.substring("bits", i * 4 + 1, F.lit(4))), 16, 10).cast("long")
+    signed = lambda n: F.when(n >= 2**31, n - 2**32).otherwise(n).cast("int")
+    return made.select("slot", F.transform(F.sequence(F.lit(0), F.lit(ROW_BITS // 32 - 1)), lambda i: signed(number(i))).alias("bits")), rows
 
 
 def in_filter(bits: Column, digest: Column, rows: int) -> Column:
     """Whether a digest's bit is set in its slot's ``bits``; a slot without a row has none."""
     bit = _bit(digest, rows)[1]
-    return F.coalesce(F.getbit(F.get(bits, F.floor(bit / 64).cast("int")), bit % 64) == 1, F.lit(False))
+    within = (3 - F.floor(bit / 8).cast("int") % 4) * 8 + bit % 8
+    return F.coalesce(F.getbit(F.get(bits, F.floor(bit / 32).cast("int")), within) == 1, F.lit(False))
 
 
 def marked(rows: DataFrame, column: str, digests: DataFrame) -> tuple[DataFrame, Column]:
