@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,20 @@ def variants(registry: DataFrame, names: list[str], key: str = "sample_id") -> D
     """One row per sample and variant that exists."""
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), F.col(f"has_{n}").alias("tif_exists")) for n in names]))
     return registry.select(key, "has_label", pairs.alias("v")).select(key, "v.variant", "v.tif_exists", (F.col("v.tif_exists") & F.col("has_label")).alias("trainable"))
+
+
+def merge_manifest(current: DataFrame, previous: DataFrame, carried: dict[str, Column], key: str = "filename", line: str = "line") -> DataFrame:
+    """A manifest of ``current`` files that keeps what the one before knew of them, with a ``status``.
+
+    ``carried`` names the fields that come from the previous manifest, each with what a file gets that has
+    none there (from columns of ``current``). Where a file stands on several lines there, its last counts. Files
+    are kept, new, or gone: those have only their key and carried fields. Rows without a key are left out.
+    """
+    told = F.struct(line, *carried)
+    last = previous.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(told, line).alias("__old"))
+    own = current.filter(F.col(key).isNotNull()).withColumn("__here", F.lit(True))
+    rows = own.join(last, key, "full_outer")
+    status = F.when(F.col("__here").isNull(), "gone").when(F.col("__old").isNull(), "new").otherwise("kept")
+    fields = [F.coalesce(F.col("__old")[c], F.when(F.col("__here"), default)).alias(c) for c, default in carried.items()]
+    rest = [c for c in current.columns if c != key and c not in carried]
+    return rows.select(key, *fields, *rest, status.alias("status"))

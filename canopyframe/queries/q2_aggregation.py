@@ -230,6 +230,20 @@ def _(t):
     return B.gini(per, "v")
 
 
+@query("agg22_sketched_quantiles", "SELECT source, CAST(share AS DOUBLE) AS share, true AS within FROM (SELECT DISTINCT source FROM label_events WHERE model_prob IS NOT NULL), (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS share)")
+def _(t):
+    """Quantiles by source from sketches of each source and year, and whether their exact ranks are within the sketches' error."""
+    from canopyframe.plans.ranking import RANK_ERROR, quantile_sketches, sketched_quantiles
+
+    e = K.with_identity(t.label_events()).select("source", "year", "model_prob").filter("model_prob IS NOT NULL")
+    shares = {f"q{i}": q for i, q in enumerate((0.05, 0.25, 0.5, 0.75, 0.95))}
+    found = sketched_quantiles(quantile_sketches(e, ["source", "year"], "model_prob"), ["source"], shares)
+    said = found.select("source", F.explode(F.array(*[F.struct(F.lit(q).alias("share"), F.col(n).alias("value")) for n, q in shares.items()])).alias("s")).select("source", "s.*")
+    counts = e.groupBy("source", "model_prob").agg(F.count("*").alias("c"))
+    ranks = said.join(counts, "source").groupBy("source", "share", "value").agg((F.sum(F.when(F.col("model_prob") < F.col("value"), F.col("c")).otherwise(0)) / F.sum("c")).alias("less"), (F.sum(F.when(F.col("model_prob") <= F.col("value"), F.col("c")).otherwise(0)) / F.sum("c")).alias("upto"))
+    return ranks.select("source", "share", ((F.col("less") - RANK_ERROR <= F.col("share")) & (F.col("share") <= F.col("upto") + RANK_ERROR)).alias("within"))
+
+
 @query(
     "agg22_probability_stats",
     "SELECT y, split, count(*) AS n, round(avg(prob), 6) AS mean, round(stddev_samp(prob), 6) AS std, min(prob) AS min, max(prob) AS max, round(quantile_cont(prob, 0.5), 6) AS median FROM scores GROUP BY GROUPING SETS ((), (y), (split))",

@@ -66,6 +66,23 @@ def _(t):
     return registry(t)
 
 
+@query(
+    "snk06_manifest_merge",
+    """WITH c AS (SELECT name AS filename, folder, year, size_bytes FROM files WHERE name LIKE '%.laz'), p AS (SELECT name AS filename, v AS line, CASE WHEN year = 2018 THEN NULL ELSE 'sheet' || year END AS mapsheet, 'list' || v || '/' || name AS url FROM files, (SELECT unnest([1, 2]) AS v) WHERE year <> 2020 AND (v = 1 OR year = 2019)),
+    o AS (SELECT filename, arg_max({'m': mapsheet, 'u': url}, line) AS o FROM p GROUP BY filename)
+    SELECT coalesce(c.filename, o.filename) AS filename, coalesce(o.m, CASE WHEN c.filename IS NOT NULL THEN split_part(folder, '/', 2) END) AS mapsheet, coalesce(o.u, CASE WHEN c.filename IS NOT NULL THEN '' END) AS url, folder, year, size_bytes,
+      CASE WHEN c.filename IS NULL THEN 'gone' WHEN o.filename IS NULL THEN 'new' ELSE 'kept' END AS status FROM c FULL JOIN o ON c.filename = o.filename""",
+)
+def _(t):
+    from canopyframe.operators.registry import merge_manifest
+
+    current = t.files().filter("name LIKE '%.laz'").withColumnRenamed("name", "filename")
+    lines = t.files().filter("year <> 2020").select(F.col("name").alias("filename"), "year", F.explode(F.array(F.lit(1), F.lit(2))).alias("line")).filter("line = 1 OR year = 2019")
+    sheet = F.when(F.col("year") != 2018, F.concat(F.lit("sheet"), F.col("year").cast("string")))
+    previous = lines.select("filename", "line", sheet.alias("mapsheet"), F.concat(F.lit("list"), F.col("line").cast("string"), F.lit("/"), F.col("filename")).alias("url"))
+    return merge_manifest(current, previous, {"mapsheet": F.split("folder", "/")[1], "url": F.lit("")})
+
+
 @query("snk06_variants", f"WITH r AS ({REG}) SELECT sample_id, v AS variant, CASE v WHEN 'raw' THEN has_raw WHEN 'gauss' THEN has_gauss ELSE has_baseline END AS tif_exists, has_label AND CASE v WHEN 'raw' THEN has_raw WHEN 'gauss' THEN has_gauss ELSE has_baseline END AS trainable FROM r, (SELECT unnest(['raw', 'gauss', 'baseline']) AS v)")
 def _(t):
     from canopyframe.operators.registry import variants
