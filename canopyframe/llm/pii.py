@@ -45,7 +45,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: White space, two words and white space at the end: the words are whole.
 TWO_WORDS = rf"{SPACE}({WORD}+){SPACE}++({WORD}+){SPACE}++\z"
 #: Chunks before a mention in which its context is looked for, one after the other; the last hold any text.
-LOOKS = [2 * 4**k for k in range(12)]
+LOOKS = [2 * 8**k for k in range(8)]
 
 
 def _digits(m: Column) -> Column:
@@ -85,7 +85,7 @@ def base_spans(text: Column) -> Column:
 def _context(parts: Column, start: Column) -> Column:
     """Hash of the two lower-cased words before ``start``, or null if there are not two, each whole.
 
-    They are looked for in the last two chunks before ``start``, then in four times as many each time, so
+    They are looked for in the last two chunks before ``start``, then in eight times as many each time, so
     the work follows the words' own length. ``parts`` are the text's chunks.
     """
 
@@ -93,10 +93,10 @@ def _context(parts: Column, start: Column) -> Column:
         begin = F.greatest((F.floor(start / CHUNK).cast("int") - (chunks_back - 1)) * CHUNK, F.lit(0))
         # a text's first word is whole; so is one after white space, which the pattern asks for
         near = F.concat(F.when(begin == 0, " ").otherwise(""), piece(parts, begin, start))
-        found = F.array(F.regexp_extract(near, TWO_WORDS, 1), F.regexp_extract(near, TWO_WORDS, 2))
-        hashed = F.when(found[1] != "", F.xxhash64(F.lower(found[0]), F.lower(found[1])))
+        found = bound(near, lambda t: F.array(F.regexp_extract(t, TWO_WORDS, 1), F.regexp_extract(t, TWO_WORDS, 2)))
+        hashed = bound(found, lambda w: F.when(w[1] != "", F.xxhash64(F.lower(w[0]), F.lower(w[1]))))
         # what the last look held in full need not be looked through again
-        return hashed if chunks_back == LOOKS[0] else F.when(F.floor(start / CHUNK) >= chunks_back // 4, hashed)
+        return hashed if chunks_back == LOOKS[0] else F.when(F.floor(start / CHUNK) >= chunks_back // 8, hashed)
 
     return F.coalesce(*[pair(n) for n in LOOKS])
 
