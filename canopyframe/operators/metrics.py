@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopyframe.plans.lineage import cut
 from canopyframe.plans.ranking import global_row_number, quantiles, running_sums
 
 #: 97.5 % quantiles of Student's t for 1 to 10 degrees of freedom (fixed values).
@@ -49,12 +50,21 @@ def change_stats(pairs: DataFrame, limits: dict[str, float]) -> DataFrame:
 
 
 def grouped_stats(df: DataFrame, sets: list[list[str]], cols: list[str], value: str) -> DataFrame:
-    """Count, mean, deviation, extremes and median of a value over grouping sets."""
-    v = F.col(value)
-    marked = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("set"), *[(F.col(c) if c in s else F.lit(None)).alias(c) for c in cols]) for i, s in enumerate(sets)])).alias("g"), v.alias(value)).select("g.*", value)
+    """Count, mean, deviation, extremes and median of a value over grouping sets.
+
+    Rows are counted once, by all columns and value; moments and the median of every set come from these counts.
+    """
+    each = cut(df.groupBy(*cols, F.col(value).alias("__v")).agg(F.count("*").alias("__c")))
+    v, c = F.col("__v"), F.col("__c")
+    # deviations are summed about the mean of all rows, so that their squares keep their digits
+    middle = each.filter(v.isNotNull()).agg(F.sum(c * v) / F.sum(c)).first()[0] or 0.0
+    member = F.explode(F.array(*[F.struct(F.lit(i).alias("set"), *[(F.col(k) if k in s else F.lit(None)).alias(k) for k in cols]) for i, s in enumerate(sets)])).alias("g")
     key = ["set", *cols]
-    g = marked.groupBy(*key).agg(F.count("*").alias("n"), r6(F.avg(v), "mean"), r6(F.stddev_samp(v), "std"), F.min(v).alias("min"), F.max(v).alias("max"))
-    m = quantiles(marked, key, value, {"median": 0.5}).select(*[F.col(c).alias(f"__{c}") for c in key], r6(F.col("median"), "median"))
+    marked = cut(each.select(member, "__v", "__c").groupBy(*[F.col(f"g.{k}").alias(k) for k in key], "__v").agg(F.sum("__c").alias("__c")))
+    d, known = v - middle, F.sum(F.when(v.isNotNull(), c))
+    var = (F.sum(c * d * d) - F.sum(c * d) * F.sum(c * d) / known) / (known - 1)
+    g = marked.groupBy(*key).agg(F.sum(c).alias("n"), r6(middle + F.sum(c * d) / known, "mean"), r6(F.when(known > 1, F.sqrt(F.greatest(var, F.lit(0.0)))), "std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    m = quantiles(marked, key, "__v", {"median": 0.5}, "__c").select(*[F.col(k).alias(f"__{k}") for k in key], r6(F.col("median"), "median"))
     same = F.lit(True)
     for c in key:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))

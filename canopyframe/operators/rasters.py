@@ -109,18 +109,21 @@ def gradients(df: DataFrame, v: str = "v") -> DataFrame:
     return df.drop("__down")
 
 
-def laplacian(df: DataFrame, v: str = "v") -> DataFrame:
-    own = F.col(v)
-    around = [F.coalesce(f(v).over(w), own) for f in (F.lag, F.lead) for w in (along_row(), along_col())]
-    return df.withColumn("lap", around[0] + around[1] + around[2] + around[3] - 4 * own)
-
-
 def feature_bank(pixels: DataFrame) -> DataFrame:
-    """24 features per tile: moments, quantiles, gradients, Laplacian, top-hat and ridgeness."""
-    df = laplacian(gradients(filled(by_tile(pixels))))
-    df = focal(focal(df, "v", F.min, 1, "eroded"), "eroded", F.max, 1, "opened")
-    df = df.withColumn("tophat", F.col("v") - F.col("opened")).withColumn("alap", F.abs("lap"))
-    df = focal(df, "alap", F.max, 1, "ridge")
+    """24 features per tile: moments, quantiles, gradients, Laplacian, top-hat and ridgeness.
+
+    Windows alternate between columns and rows five times, each time a sort within the task: square minima and
+    maxima are taken along one axis, then the other, in whichever order the passes come.
+    """
+    row, col, v = along_row(), along_col(), F.col("v")
+    near = lambda w: w.rowsBetween(-1, 1)
+    df = filled(by_tile(pixels)).withColumns({"down": F.lead("v").over(col), "up": F.lag("v").over(col)})
+    around = [F.coalesce(c, v) for c in (F.lag("v").over(row), F.col("up"), F.lead("v").over(row), F.col("down"))]
+    steps = {"gr": F.col("down"), "gc": F.lead("v").over(row), "d45": F.lead("down").over(row), "d135": F.lag("down").over(row)}
+    df = df.withColumns({**{g: F.abs(c - v) for g, c in steps.items()}, "lap": around[0] + around[1] + around[2] + around[3] - 4 * v, "low": F.min("v").over(near(row))})
+    df = df.withColumns({"eroded": F.min("low").over(near(col)), "steep": F.max(F.abs("lap")).over(near(col))})
+    df = df.withColumns({"wide": F.max("eroded").over(near(row)), "ridge": F.max("steep").over(near(row))})
+    df = df.withColumn("tophat", v - F.max("wide").over(near(col)))
     r = lambda c, name: rounded(c).alias(name)
     aggs = [r(F.avg("v"), "mean"), r(F.stddev_pop("v"), "std"), r(F.min("v"), "min"), r(F.max("v"), "max")]
     aggs += [r(F.percentile("v", F.lit(q / 100)), f"q{q}") for q in (10, 25, 50, 75, 90)]

@@ -53,13 +53,15 @@ def running_sums(df: DataFrame, order: list[Column], by: list[str], sums: dict[s
     return rows.select(*cols, *[(F.col(f"__r{i}") + F.col(f"__b{i}")).alias(name) for i, name in enumerate(sums)])
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], count: str | None = None) -> DataFrame:
     """``by`` and exact, linearly interpolated quantiles of the non-null values, one column for each share.
 
+    With ``count`` each row stands for so many rows.
+
     Values are counted, and the counts are summed over range partitions, so no task holds all distinct
     values as the state of an aggregate does. An empty table gives no row (with ``by`` or without).
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__q")).agg(F.count("*").alias("__c"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__q")).agg((F.sum(count) if count else F.count("*")).alias("__c"))
     run = running_sums(counts, [F.col("__q")], by, {"__to": F.col("__c")})
     total = run.groupBy(*by).agg(F.max("__to").alias("__n")).select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], "__n")
     same = F.lit(True)

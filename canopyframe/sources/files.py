@@ -14,12 +14,12 @@ LABEL_FIELDS = ["raster", "row_off", "col_off", "chunk_size", "label", "source",
 LABEL_SCHEMA = ", ".join(f"{c} string" for c in LABEL_FIELDS)
 
 
-def write_labels(labels: DataFrame, folder: str, by: str = "raster") -> str:
-    """One directory of sorted CSV per value of ``by``. Rows of a value are salted over a few tasks
-    by row offset, so that a value with very many rows is not one task's."""
+def write_labels(labels: DataFrame, folder: str, by: str = "raster", files: int = 1) -> str:
+    """One directory of CSV per value of ``by``, sorted, in one file; with ``files`` up to so many, each sorted,
+    so that a value with very many rows is not one task's."""
     rows = labels.select(*LABEL_FIELDS, *[c for c in [by] if c not in LABEL_FIELDS])
-    salt = F.pmod(F.xxhash64("row_off"), F.lit(4))
-    laid = rows.repartition(F.col(by), salt).sortWithinPartitions(by, "row_off", "col_off")
+    salt = [F.pmod(F.xxhash64("row_off"), F.lit(files))] if files > 1 else []
+    laid = rows.repartition(F.col(by), *salt).sortWithinPartitions(by, "row_off", "col_off")
     laid.withColumn("__part", F.col(by)).write.partitionBy("__part").option("header", True).csv(folder)
     return folder
 
