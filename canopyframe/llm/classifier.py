@@ -143,7 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("double").alias("y")).filter("k IS NOT NULL AND y IS NOT NULL")
     rows = rows.filter(~held_out(F.col("k"))).orderBy(F.xxhash64("k"), "k", "y").limit(sample)
     texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text"))
-    got = texts.join(F.broadcast(rows), "k").select("y", statistics_column(F.col("text")).alias("x")).collect()
+    # a repeated id gives several rows, so the bound is kept after the join too
+    got = texts.join(F.broadcast(rows), "k").select("k", "y", statistics_column(F.col("text")).alias("x")).orderBy("k", "y", "x").limit(sample).collect()
     y = np.array([r.y for r in got], float)
     return fit_trees(np.array([r.x for r in got], float).reshape(len(got), len(FEATURES)), y)
 

@@ -56,3 +56,19 @@ def test_flat_traversal_equals_a_walk_and_fit_learns():
                 node = 2 * node + 1 + int(x[row, f[node]] > t[node])
             margin += v[node - len(f)]
         assert abs(p[row] - 1 / (1 + np.exp(-margin))) < 1e-12
+
+
+def test_repeated_ids_do_not_exceed_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(C, "fit_trees", lambda x, y: seen.append(len(y)))
+    docs = spark.createDataFrame([(i % 4, "text " * (i % 7)) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    C.train(docs, labels, sample=50)
+    C.train(docs.limit(0), labels, sample=50)
+    assert seen == [50, 0]
+
+
+def test_filter_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, quality string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert C.keep_quality(docs, labels).count() == 0 and C.keep_quality(docs, labels.limit(0)).schema == docs.schema
