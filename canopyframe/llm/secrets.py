@@ -9,8 +9,7 @@ not hide what is random; the body's encoding is inferred from its characters. A
   against a uniform alphabet, runs above and below the alphabet's middle, lag-one serial
   correlation), joined by Fisher's method, do not reject it at level ``ALPHA``; and
 - not ordinary: under the hypothesis of ordinary writing it would be surprising. Two tests are made of
-  that: repeated letters (the sum of squared counts is low for letters drawn as often as the corpus
-  draws them) and changes between lower case, capitals and digits (more than ``CHANGES`` of all
+  that: likelihood of the letters (low for letters that are not drawn as often as the corpus draws them) and changes between lower case, capitals and digits (more than ``CHANGES`` of all
   neighbours). Their joint p goes through the Benjamini-Hochberg step-up at level ``FDR`` within each
   band of encoding and length, so of the secrets reported at most about that share is ordinary
   writing; short bodies, on which the tests have little power, are not reported for want of evidence.
@@ -60,6 +59,10 @@ ENCODINGS = [
 #: capitals, and within one case numbers between words.
 CHANGES = {"base62": 0.36}
 CHANGES_ONE_CASE = 0.15
+#: Part of an even share in the shares of letters.
+EVEN = 0.2
+#: Counts that each letter gets beforehand: a corpus of a few thousand letters tells little of what is ordinary.
+PRIOR = 200
 
 
 def base_spans(text: Column) -> Column:
@@ -132,30 +135,33 @@ def letter_counts(docs: DataFrame, text_col: str) -> dict[str, int]:
 def ordinary(tested: DataFrame, counts: dict[str, int]) -> DataFrame:
     """Adds ``p_letters``, ``p_changes`` and their joint ``p_ordinary`` to rows of ``battery``.
 
-    The sum of squared letter counts of a body is compared with what letters drawn by ``counts`` give
-    (mean and variance of a multinomial); the count of class changes with a binomial.
+    A body's letters are compared with letters drawn as the corpus draws those of its encoding: the sum of the
+    logarithms of their shares (mixed with ``EVEN`` of an even share, so that a rare letter alone does not
+    decide) is low for letters drawn evenly. The count of class changes is compared with a binomial.
     """
     n = F.col("n").cast("double")
-    moments = {}
+    logs, moments = {}, {}
     for name, _, alphabet in ENCODINGS:
-        kept = [counts.get(c, 0) for c in sorted(set(alphabet.lower()))]
-        total = sum(kept)
-        share = [c / total for c in kept] if total else [1 / len(kept)] * len(kept)
-        moments[name] = (sum(x**2 for x in share), sum(x**3 for x in share), CHANGES.get(name, CHANGES_ONE_CASE))
+        letters = sorted(set(alphabet.lower()) - set(_DIGITS))
+        total = sum(counts.get(c, 0) + PRIOR for c in letters)
+        share = {c: (counts.get(c, 0) + PRIOR) / total for c in letters}
+        log = {c: math.log((1 - EVEN) * x + EVEN / len(letters)) for c, x in share.items()}
+        mean = sum(x * log[c] for c, x in share.items())
+        logs[name] = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(x).alias("x")) for c, x in log.items()])
+        moments[name] = (mean, sum(x * (log[c] - mean) ** 2 for c, x in share.items()), CHANGES.get(name, CHANGES_ONE_CASE))
     of = lambda i: F.coalesce(*[F.when(F.col("encoding") == name, F.lit(m[i])) for name, m in moments.items()])
-    rows = tested.withColumn("s2", of(0)).withColumn("s3", of(1)).withColumn("rate", of(2)).withColumn("low", F.lower("body"))
-    s2, s3, rate = F.col("s2"), F.col("s3"), F.col("rate")
-    squares = F.aggregate(F.split(F.lit(_DIGITS + _LOWER), ""), F.lit(0.0), lambda a, c: F.when(c == "", a).otherwise(a + F.pow(F.length("low") - F.length(F.replace(F.col("low"), c, F.lit(""))), F.lit(2.0))))
-    mean = n + n * (n - 1) * s2
-    var = 2 * n * (n - 1) * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2)
-    z_letters = F.when(var > 1e-9, (mean - squares) / F.sqrt(var)).otherwise(F.lit(0.0))
+    rows = tested.withColumn("mean", of(0)).withColumn("var", of(1)).withColumn("rate", of(2)).withColumn("low", F.regexp_replace(F.lower("body"), "[0-9]", ""))
+    rows = rows.withColumn("logs", F.coalesce(*[F.when(F.col("encoding") == name, x) for name, x in logs.items()]))
+    rate, many = F.col("rate"), F.length("low").cast("double")
+    said = F.aggregate("logs", F.lit(0.0), lambda a, x: a + x["x"] * (F.length("low") - F.length(F.replace(F.col("low"), x["c"], F.lit("")))))
+    z_letters = F.when(many * F.col("var") > 1e-9, (many * F.col("mean") - said) / F.sqrt(many * F.col("var"))).otherwise(F.lit(0.0))
     classes = F.call_function("translate", F.col("body"), F.lit(_DIGITS + _UPPER + _LOWER), F.lit("0" * 10 + "1" * 26 + "2" * 26))
     changes = F.size(F.regexp_extract_all(classes, F.lit("0+|1+|2+"), F.lit(0))) - 1
     z_changes = (changes - 0.5 - (n - 1) * rate) / F.sqrt((n - 1) * rate * (1 - rate))
     clamp = lambda c: F.greatest(F.least(c, F.lit(1.0)), F.lit(1e-300))
     rows = rows.withColumn("p_letters", clamp(_upper_p(z_letters))).withColumn("p_changes", clamp(_upper_p(z_changes)))
     half = -(F.ln("p_letters") + F.ln("p_changes"))
-    return rows.withColumn("p_ordinary", clamp(F.exp(-half) * (1 + half))).drop("s2", "s3", "rate", "low")
+    return rows.withColumn("p_ordinary", clamp(F.exp(-half) * (1 + half))).drop("mean", "var", "rate", "low", "logs")
 
 
 def thresholds(tested: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ def ordinary_tokens(rng, words):
 
 
 def test_recall_and_precision_of_added_spans(spark):
-    """Of 900 random keys of nine kinds at least 0.9 are found, and of what is found at least 0.95 are keys."""
+    """Of 100 random keys of each of nine kinds at least 0.9 are found, and of what is found at least 0.95 are keys."""
     rng = random.Random(21)
     words = ["river", "stone", "account", "window", "server", "reader", "garden", "market", "number", "letter", "station", "history", "picture", "question", "children", "mountain", "problem", "music", "paper", "other"]
     prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
@@ -104,7 +104,7 @@ def test_recall_and_precision_of_added_spans(spark):
         found |= {(r.doc_id, x.start, x.end): 1 for x in r.spans if x.kind == 3}
     right = {d for d, s, e in found if d in where and s <= where[d][0] + 5 and e >= where[d][1] - 2}
     by_kind = {k: sum(kind_of[d] == k for d in right) for k in dict.fromkeys(kind_of.values())}
-    assert len(right) >= 0.9 * 900 and len(right) >= 0.95 * len(found), by_kind
+    assert min(by_kind.values()) >= 90 and len(by_kind) == 9 and len(right) >= 0.95 * len(found), by_kind
 
 
 def test_short_and_ordinary_strings_are_no_secrets(spark):
@@ -149,3 +149,10 @@ def test_step_up_equals_a_sort(spark):
     cut = [r.cut for r in S.thresholds(df).collect()]
     want = [s for s in set(steps) if 10 ** (-s / 10) <= S.FDR * sum(x >= s for x in steps) / len(steps)]
     assert cut == ([min(want)] if want else [])
+
+
+def test_extra_columns_of_the_operators_names_and_ids_of_any_type(spark):
+    rows = [("a", "x " * 3 + "AKIA" + "B" * 16, 1, "t", 2), (None, None, 3, "t", 4), ("a", "", 5, "t", 6)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, base int, t string, row int")
+    got = S.find_secrets(df).collect()
+    assert sorted((str(r.doc_id), r.n_access, len(r.spans)) for r in got) == [("None", 0, 0), ("a", 0, 0), ("a", 1, 1)]
