@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from canopyframe.operators import detections as D
@@ -254,3 +255,24 @@ def test_suppression_follows_chains_of_any_length(spark):
     df = spark.createDataFrame(chain, "id long, g string, confidence double, minx double, miny double, maxx double, maxy double")
     kept = {r.id for r in D.non_maximum_suppression(df, 50, "g", least=0.1).collect()}
     assert kept == set(range(0, 30, 2))
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_nearest_with_thinned_blocks_and_dealt_seekers(spark, monkeypatch, own):
+    """Blocks beyond the rows that are held and beyond the seekers of a task give what brute force gives; rows without a key are left out."""
+    monkeypatch.setattr(SP, "SEEKERS", 16)
+    monkeypatch.setattr(SP, "HELD", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "25")
+    try:
+        rng = random.Random(3)
+        pts = [(i, "a", rng.random() * 4, rng.randrange(8) / 2) for i in range(150)]
+        df = spark.createDataFrame([*pts, (None, "a", 1.0, 1.0)], "id long, g string, x double, y double")
+        tg = df.filter("id % 2 = 0").withColumnRenamed("id", "t")
+        got = {}
+        for r in SP.nearest(df, df if own else tg, ["g"], ["x", "y"], "id", "id" if own else "t", 4).filter("id IS NOT NULL").collect():
+            got.setdefault(r.id, []).append((r.rk, r.neighbour if own else r.t))
+        for i, _, x, y in pts:
+            want = sorted((((x - a) * (x - a) + (y - b) * (y - b)) ** 0.5, j) for j, _, a, b in pts if (j != i if own else j % 2 == 0))[:4]
+            assert [t for _, t in sorted(got[i])] == [j for _, j in want], i
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
