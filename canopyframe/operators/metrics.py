@@ -25,8 +25,15 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def soft_vote(scores: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Mean probability over models per key."""
-    return scores.groupBy("key", *(keep or ["y"])).agg(F.avg("prob").alias("prob"))
+    """Mean probability over models per key.
+
+    A key's probabilities are summed from the last model to the first, as the SQL's engine does, and not in the order in
+    which rows arrive, since the last bit of the sum decides on which side of a threshold a mean on it falls.
+    """
+    known = F.collect_list(F.when(F.col("prob").isNotNull(), F.struct("model", "prob")))
+    total = F.aggregate(F.sort_array("__p", asc=False), F.lit(0.0), lambda a, x: a + x["prob"])
+    votes = scores.groupBy("key", *(keep or ["y"])).agg(known.alias("__p"))
+    return votes.withColumn("prob", F.when(F.size("__p") > 0, total / F.size("__p"))).drop("__p")
 
 
 def weighted_vote(scores: DataFrame, weights: dict[str, float], least: float = 0.01) -> DataFrame:

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -190,3 +191,14 @@ def test_normals_of_lines_planes_and_single_places(spark):
     assert all(r.linearity is None and r.height_above_local_min is not None for r in shapes_of(spark, np.array([[0.0, 0, 1], [1, 0, 0]])).values())
     odd = np.array([[0.0, 0, 0], [1, 0, 0], [np.nan, 0, 0], [np.inf, 0, 0]])
     assert set(shapes_of(spark, odd)) == {0, 1}
+
+
+def test_soft_vote_does_not_depend_on_the_order_of_rows(spark):
+    """0.7 + 0.6 + 0.2 is 1.5 or a double below it, by the order of summing."""
+    rows = [("alpha", 0.2), ("beta", 0.6), ("gamma", 0.7)]
+    want = ((0.7 + 0.6) + 0.2) / 3
+    assert want < 0.5 == ((0.2 + 0.6) + 0.7) / 3
+    for order in itertools.permutations(rows):
+        df = spark.createDataFrame([("k", 1, m, p) for m, p in [*order, ("delta", None)]], "key string, y int, model string, prob double").coalesce(1)
+        assert [r.prob for r in M.soft_vote(df).collect()] == [want]
+    assert M.soft_vote(df.filter("prob IS NULL")).first().prob is None
