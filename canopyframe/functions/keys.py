@@ -45,6 +45,16 @@ def with_identity(df: DataFrame, name: str = "raster") -> DataFrame:
     return df.withColumn("__id", raster_identity(name)).select(*df.columns, *[F.col(f"__id.{f}").alias(f) for f in fields])
 
 
+def identities(df: DataFrame, name: str = "raster") -> DataFrame:
+    """``with_identity`` of each distinct name of ``df``: names are far fewer than rows, and parsing takes most of the time.
+
+    Names are saved first, since the optimizer drops a ``distinct`` under another and moves conditions on what is parsed below it.
+    """
+    from canopyframe.plans.lineage import saved
+
+    return with_identity(saved(df.select(name).distinct(), "names"), name)
+
+
 def legacy_sample_id(name: str | Column) -> Column:
     """The name's stem without the product suffix, or null if it hasn't one."""
     found = F.regexp_extract(stem(col(name)), r"^(.+?)_chm_max_hag_20cm$", 1)

@@ -135,7 +135,7 @@ def _(t):
 
 @query("prj21_tile_bounds", "SELECT DISTINCT tile, grid_y * 1000 AS minx, 6000000 + grid_x * 1000 AS miny, grid_y * 1000 + 1000 AS maxx, 6001000 + grid_x * 1000 AS maxy FROM parsed")
 def _(t):
-    return K.with_identity(t.label_events()).select("tile", K.tile_bounds(F.col("grid_x"), F.col("grid_y")).alias("b")).select("tile", "b.*").distinct()
+    return K.identities(t.label_events()).select("tile", K.tile_bounds(F.col("grid_x"), F.col("grid_y")).alias("b")).select("tile", "b.*").distinct()
 
 
 COLS = "arrival, raster, row_off, col_off, label, source"

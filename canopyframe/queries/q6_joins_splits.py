@@ -158,7 +158,7 @@ def _(t):
 
 @query("join12_distance_semi_join", "SELECT DISTINCT p.place_key FROM parsed p WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT grid_x, grid_y FROM parsed WHERE place_key IN ('436640_madal', '439643_tava')) a WHERE greatest(abs(a.grid_x - p.grid_x), abs(a.grid_y - p.grid_y)) <= 1)")
 def _(t):
-    p = K.with_identity(t.label_events()).select("place_key", "grid_x", "grid_y").distinct()
+    p = K.identities(t.label_events()).select("place_key", "grid_x", "grid_y").distinct()
     return spatial.within_grid(p, p.filter(F.col("place_key").isin("436640_madal", "439643_tava")), [], "grid_x", "grid_y", 1).select("place_key").distinct()
 
 
@@ -235,7 +235,7 @@ def _(t):
 
 @query("join24_temporal_archive", "SELECT raster, other FROM (SELECT DISTINCT a.raster, b.raster AS other, row_number() OVER (PARTITION BY a.raster, b.year ORDER BY b.site = 'madal' DESC, b.raster) AS rn FROM (SELECT DISTINCT raster, tile, year FROM parsed) a JOIN (SELECT DISTINCT raster, tile, year, site FROM parsed) b ON a.tile = b.tile AND a.year <> b.year) WHERE rn = 1")
 def _(t):
-    r = K.with_identity(t.label_events()).select("raster", "tile", "year", "site").distinct()
+    r = K.identities(t.label_events()).select("raster", "tile", "year", "site")
     j = r.select("raster", "tile", F.col("year").alias("y")).join(r.select(F.col("raster").alias("other"), "tile", "year", "site"), "tile").filter("y <> year")
     w = Window.partitionBy("raster", "year").orderBy((F.col("site") == "madal").desc(), "other")
     return j.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("raster", "other")
@@ -251,7 +251,7 @@ def _(t):
 
 @query("join26_tile_adjacency", "WITH t AS (SELECT DISTINCT year, tile, grid_x, grid_y FROM parsed) SELECT a.year, a.tile AS a, b.tile AS b, CASE WHEN a.grid_x = b.grid_x THEN 'horizontal' WHEN a.grid_y = b.grid_y THEN 'vertical' ELSE 'corner' END AS kind FROM t a JOIN t b ON a.year = b.year AND a.tile < b.tile AND abs(a.grid_x - b.grid_x) <= 1 AND abs(a.grid_y - b.grid_y) <= 1")
 def _(t):
-    p = K.with_identity(t.label_events()).select("year", "tile", "grid_x", "grid_y").distinct()
+    p = K.identities(t.label_events()).select("year", "tile", "grid_x", "grid_y").distinct()
     pairs = spatial.near_pairs(p, ["year"], "grid_x", "grid_y", "tile", 1, [], strict=False)
     kind = F.when(F.col("grid_x_a") == F.col("grid_x_b"), "horizontal").when(F.col("grid_y_a") == F.col("grid_y_b"), "vertical").otherwise("corner")
     return pairs.select("year", F.col("tile_a").alias("a"), F.col("tile_b").alias("b"), kind.alias("kind"))

@@ -84,3 +84,14 @@ def test_a_cluster_without_a_shared_folder_is_refused(spark):
         context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             ensure_checkpoint_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
+def test_each_name_is_parsed_once(spark):
+    """One row a name; what is parsed is read from the saved names."""
+    from canopyframe.functions import keys as K
+
+    names = ["436640_2018_madal_chm_max_hag_20cm.tif", "437641_2020_tava_chm_max_hag_20cm.tif", "other.tif"]
+    df = spark.createDataFrame([(i, names[i % 3]) for i in range(30)], "arrival long, raster string")
+    got = K.identities(df)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, K.with_identity(df).drop("arrival").distinct().collect()))
+    assert "Aggregate" not in got.select("tile")._jdf.queryExecution().optimizedPlan().toString()
