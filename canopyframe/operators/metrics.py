@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopyframe.plans.lineage import cut
+from canopyframe.plans.lineage import cut, saved
 from canopyframe.plans.ranking import global_row_number, quantiles, running_sums
 
 #: 97.5 % quantiles of Student's t for 1 to 10 degrees of freedom (fixed values).
@@ -220,6 +220,8 @@ def hausdorff95(boundary_a: DataFrame, boundary_b: DataFrame, group: str) -> Dat
     """
     from canopyframe.operators import spatial
 
+    # the search reads each side several times
+    boundary_a, boundary_b = (saved(df.select(group, "row", "col"), "boundary") for df in (boundary_a, boundary_b))
     side = lambda df, key: df.select(group, "row", "col", F.concat_ws("_", "row", "col").alias(key))
     ways = [(boundary_a, boundary_b), (boundary_b, boundary_a)]
     near = [spatial.nearest(side(a, "p"), side(b, "q"), [group], ["row", "col"], "p", "q", 1).select(group, "d") for a, b in ways]
