@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyframe.operators.splits import hashed
-from canopyframe.plans.lineage import cut
-from canopyframe.plans.ranking import global_row_number
+from canopyframe.plans.lineage import cut, saved
+from canopyframe.plans.ranking import global_row_number, hashed_row_number
 
 
 def _dealer(folds: int, totals: list[int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -72,7 +72,10 @@ def stratified_group_folds(df: DataFrame, group: str, label: str, classes: list[
 
 
 def stratified_folds(df: DataFrame, key: Column, label: str, folds: int, seed: str) -> DataFrame:
-    """``df`` with a ``fold``: rows of each class are dealt in turn, in hashed order of their key."""
-    rows = df.withColumn("__h", hashed(seed, key)).withColumn("__at", F.monotonically_increasing_id())
-    ranked = global_row_number(rows, [F.col("__h"), F.col("__at")], [label], "__rn")
-    return ranked.withColumn("fold", ((F.col("__rn") - 1) % folds).cast("int")).drop("__h", "__at", "__rn")
+    """``df`` with a ``fold``: rows of each class are dealt in turn, in hashed order of their key.
+
+    The dealt rows are saved, since nothing else settles which of the rows of equal keys comes first.
+    """
+    rows = df.withColumn("__at", F.monotonically_increasing_id())
+    ranked = hashed_row_number(rows, hashed(seed, key), [F.col("__at")], [label], "__rn")
+    return saved(ranked.withColumn("fold", ((F.col("__rn") - 1) % folds).cast("int")).drop("__at", "__rn"), "folds")

@@ -31,6 +31,37 @@ def global_row_number(df: DataFrame, order: list[Column], by: list[str] | None =
     return laid.join(start, same).select(*cols, number.alias(name))
 
 
+#: Rows of a bucket of hashed order from which its share is looked at, and counts of buckets that are broadcast.
+CROWDED, BROADCAST = 1_000_000, 1_000_000
+
+
+def hashed_row_number(df: DataFrame, digest: Column, ties: list[Column], by: list[str] | None = None, name: str = "rn") -> DataFrame:
+    """Row numbers from 1 within ``by`` (or the whole table) in the order of ``digest`` (hexadecimal), then of ``ties``.
+
+    What ``global_row_number`` gives, without its range sampling and its checkpoint of all rows: digests fall evenly
+    into the 4,096 buckets of their first three digits, so a row's number is its place in its bucket plus the
+    rows of its group in earlier buckets. Only counts of buckets are windowed over a whole group. Where a
+    bucket is crowded, since many rows have the same digest, the table is ranged after all. ``ties`` may be
+    left out where equal rows need no order of their own.
+    """
+    by = by or []
+    cols = df.columns
+    start = F.substring(digest, 1, 3)
+    counts = cut(df.groupBy(*by, start.alias("__b")).agg(F.count("*").alias("__n")))
+    seen = counts.agg(F.count("*").alias("buckets"), F.max("__n").alias("most"), (F.sum("__n") / 4096).alias("mean")).first()
+    if seen["buckets"] and seen["most"] > max(CROWDED, 8 * seen["mean"]):
+        return global_row_number(df.withColumn("__h", digest), [F.col("__h"), *ties], by, name).drop("__h")
+    earlier = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("__b").alias("__b2"), *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    before = F.broadcast(before) if seen["buckets"] <= BROADCAST else before
+    same = F.col("__b") == F.col("__b2")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    within = F.row_number().over(Window.partitionBy("__b", *by).orderBy("__h", *ties))
+    placed = df.withColumn("__b", start).withColumn("__h", F.unhex(digest)).withColumn("__in", within)
+    return placed.join(before, same).select(*cols, (F.col("__in") + F.col("__before")).alias(name))
+
+
 def running_sums(df: DataFrame, order: list[Column], by: list[str], sums: dict[str, Column]) -> DataFrame:
     """``df`` with inclusive running sums within ``by`` (or the whole table) under ``order``, which leaves no ties.
 

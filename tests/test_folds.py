@@ -80,3 +80,21 @@ def test_folds_within_each_class_differ_by_one_row(spark):
     for label in {r.label for r in got}:
         each = [n[label, f] for f in range(4)]
         assert max(each) - min(each) <= 1
+
+
+def test_hashed_order_numbers_rows_as_the_ranged_one_does(spark, monkeypatch):
+    from canopyframe.plans import ranking as P
+
+    df = spark.createDataFrame([(i, [None, "a", "b", "b", "b"][i % 5], i // 3) for i in range(700)], "id long, label string, key long").repartition(7)
+    for by in ([], ["label"]):
+        want = P.global_row_number(df.withColumn("h", S.hashed("s", "key")), [F.col("h"), F.col("id")], by).drop("h").collect()
+        for crowded in (P.CROWDED, 1):
+            monkeypatch.setattr(P, "CROWDED", crowded)
+            assert sorted(P.hashed_row_number(df, S.hashed("s", "key"), [F.col("id")], by).collect(), key=str) == sorted(want, key=str)
+    one = df.withColumn("key", F.lit(1))  # a single digest: ranged after all
+    ranged = []
+    whole = P.global_row_number
+    monkeypatch.setattr(P, "global_row_number", lambda *a: ranged.append(1) or whole(*a))
+    numbers = P.hashed_row_number(one, S.hashed("s", "key"), [F.col("id")]).orderBy("id").collect()
+    assert ranged and [r.rn for r in numbers] == list(range(1, 701))
+    assert P.hashed_row_number(df.limit(0), S.hashed("s", "key"), [], ["label"]).count() == 0
