@@ -267,3 +267,46 @@ def test_split_points_keep_rare_values_and_share_out_many():
     cuts = M.split_points([float(i) for i in range(3200)])
     assert cuts == [100.0 * i - 0.5 for i in range(1, 32)]
     assert M.split_points([-float("inf"), 0.0, 2.0, float("inf")]) == [1.0]
+
+
+def test_exchange_counts_are_the_forests_predictions_on_rows_of_two_orders(spark, monkeypatch):
+    """Fourteen features (two longs of bins), in stretches, in one and numbered, against pairs made in plain Python and predicted by the forest itself."""
+    from hashlib import md5
+
+    rng = random.Random(8)
+    names = [f"f{i}" for i in range(14)]
+    rows = [(i, *[rng.gauss(i % 3, 2) if j % 4 else float(rng.randint(0, 3) + i % 3) for j in range(14)], i % 3) for i in range(700)]
+    df = spark.createDataFrame(rows, f"id long, {', '.join(f'{c} double' for c in names)}, kind int")
+    _, forest, _, held = next(M.forest_folds(df, names, "kind", "id", 3, 7))
+    kept = [(r.id, r.label, [(r[f"bins{j // 12}"] >> 5 * (j % 12)) & 31 for j in range(14)]) for r in held.collect()]
+    order = lambda seed: sorted(kept, key=lambda r: md5(f"{seed}|{r[0]}".encode()).hexdigest())
+    tried = [(j, own[1], [given[2][x] if x == j else own[2][x] for x in range(14)]) for own, given in zip(order("to"), order("from")) for j in range(-1, 14)]
+    table = spark.createDataFrame(tried, "turn int, label double, bins array<int>").repartition(4)
+    plain = forest.transform(table.withColumn("features", M.array_to_vector(F.col("bins").cast("array<double>"))))
+    want = {(r.turn, r.label, r.prediction): r.n for r in plain.groupBy("turn", "label", "prediction").agg(F.count("*").alias("n")).collect()}
+    model = M.BinnedForest(forest, spark)
+    for setting in ({"STRETCH": 40}, {"STRETCH": 1 << 16}, {"CROWDED": 0}):
+        for name, value in setting.items():
+            monkeypatch.setattr(M, name, value)
+        made = M.exchange_counts(held, model, "id").collect()
+        got = {}
+        for r in made:
+            at = (r["__turn"], r.label, r.prediction)
+            got[at] = got.get(at, 0) + r.n
+        assert got == want
+        assert len(made) > 3 * len(want) or "STRETCH" not in setting or setting["STRETCH"] > 40  # each stretch gives its own counts
+
+
+def test_exchange_routes_share_each_place_once():
+    rng = random.Random(2)
+    counts = M.np.array([[rng.choice([0, 0, 1, 5, 40]) for _ in range(64)] for _ in range(2)])
+    counts[1, 63] += counts[0].sum() - counts[1].sum() if counts[0].sum() > counts[1].sum() else 0
+    counts[0, 63] += counts[1].sum() - counts[0].sum()
+    routes, skip = M.exchange_routes(counts, 30)
+    place, given = 0, []
+    for g in sorted(skip):
+        own = sum(int(counts[0, b]) for b, at in routes if at == g and b < 64)
+        theirs = [(b - 64, i) for b, at in routes if at == g and b >= 64 for i in range(counts[1, b - 64])]
+        assert own and len(theirs) >= skip[g] + own
+        given += theirs[skip[g] : skip[g] + own]
+    assert given == [(b, i) for b in range(64) for i in range(counts[1, b])] and len(skip) > 5
